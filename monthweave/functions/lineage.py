@@ -1,0 +1,25 @@
+"""Cut a long plan so that a lost executor costs one re-read and no recomputation."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and return the written rows.
+
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
+    local session without that setting gets a folder of its own.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="monthweave-checkpoint-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)

@@ -1,0 +1 @@
+"""Holds nothing: every input of this library is a static table."""
