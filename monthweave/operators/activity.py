@@ -6,40 +6,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from monthweave.functions.columns import ratio
+from monthweave.operators.spend import Spend
 from monthweave.schemas import BALANCE, MONTH, ORG_ID, REGION, SPEND
 
 
-def active_users(balances: DataFrame, spend: DataFrame) -> DataFrame:
+def active_users(balances: DataFrame, spend: Spend) -> DataFrame:
     """Distinct (organization, month) with a known balance or known spend."""
-    held = balances.where(F.col(BALANCE).isNotNull()).select(ORG_ID, MONTH)
-    spent = spend.where(F.col(SPEND).isNotNull()).select(ORG_ID, MONTH)
-    return held.unionByName(spent).distinct()
+    return _active(balances, spend.by_org())
 
 
 def active_region_counts(
-    active: DataFrame, dim: DataFrame, region: str, region_column: str = REGION
+    balances: DataFrame, spend: Spend, dim: DataFrame, region: str, region_column: str = REGION
 ) -> DataFrame:
     """Per month: active organizations, and those of them in ``region`` (any case).
 
-    ``active`` holds each (organization, month) once, so plain counts are the
-    distinct counts. Only the organizations of the region take part in the join.
+    Only the organizations of the region take part in the join. The mark goes on
+    before the distinct, where linked spend gets it through its owners; each
+    (organization, month) is then there once and plain counts are distinct counts.
     """
-    members = (
-        dim.where(F.upper(region_column) == F.lit(region.upper()))
-        .select(ORG_ID)
-        .distinct()
-        .withColumn("_in_region", F.lit(True))
+    members = dim.where(F.upper(region_column) == F.lit(region.upper())).select(
+        ORG_ID, F.lit(True).alias("_in_region")
+    )
+    active = _active(
+        balances.join(members, ORG_ID, "left"), spend.joined_to(members, "left"), "_in_region"
     )
-    return (
-        active.join(members, ORG_ID, "left")
-        .groupBy(MONTH)
-        .agg(
-            F.count(ORG_ID).alias("active_users"),
-            F.count("_in_region").alias("region_users"),
-        )
+    return active.groupBy(MONTH).agg(
+        F.count(ORG_ID).alias("active_users"), F.count("_in_region").alias("region_users")
     )
 
 
+def _active(balances: DataFrame, spend: DataFrame, *marks: str) -> DataFrame:
+    held = balances.where(F.col(BALANCE).isNotNull()).select(ORG_ID, MONTH, *marks)
+    spent = spend.where(F.col(SPEND).isNotNull()).select(ORG_ID, MONTH, *marks)
+    return held.unionByName(spent).distinct()
+
+
 def active_region_share(counts: DataFrame) -> DataFrame:
     """Share (0 to 1) of the active organizations that are in the region, by month."""
     return counts.select(

@@ -1,7 +1,7 @@
 """Zero-filled organization-by-month panel and its roll-up to segments.
 
-Both read balances unique per (account, month) and spend unique per
-(organization, month); ``contracts`` checks that.
+Both read one row per organization and balances unique per (account, month);
+``contracts`` checks that.
 
 Panel rows are distinct without the account: accounts of one organization with
 equal balances fall into one row, and spend repeats once per distinct balance.
@@ -11,12 +11,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from monthweave.functions.columns import joined_text, or_zero
 from monthweave.operators.calendar import MonthRange
+from monthweave.operators.spend import Spend
 from monthweave.schemas import BALANCE, MONTH, ORG_ID, SPEND
 
 
@@ -43,14 +46,10 @@ def distinct_balances(balances: DataFrame, months: MonthRange) -> DataFrame:
     )
 
 
-def spend_in(spend: DataFrame, months: MonthRange) -> DataFrame:
-    return spend.where(months.covers(F.col(MONTH))).select(ORG_ID, MONTH, SPEND)
-
-
 def org_month_panel(
     dim: DataFrame,
     balances: DataFrame,
-    spend: DataFrame,
+    spend: Spend,
     months: MonthRange,
     attributes: Sequence[str] | None = None,
 ) -> DataFrame:
@@ -65,7 +64,7 @@ def org_month_panel(
     kept = [c for c in (attributes or dim.columns) if c != ORG_ID]
     orgs = dim.select(ORG_ID, *kept)
     held = distinct_balances(balances, months)
-    spent = spend_in(spend, months)
+    spent = spend.table().where(months.covers(F.col(MONTH)))
 
     with_balance = (
         held.join(spent, [ORG_ID, MONTH], "left")
@@ -77,12 +76,10 @@ def org_month_panel(
     spend_by_month = spent.groupBy(ORG_ID).agg(
         F.map_from_entries(F.collect_list(F.struct(MONTH, SPEND))).alias("_spent")
     )
-    no_months = F.array().cast("array<date>")
-    open_months = F.array_except(months.dates(), F.coalesce("_held", no_months))
-    # An organization holding a balance in every month has nothing left to fill;
-    # an empty calendar still leaves the organization itself.
     filled = orgs.join(held_months, ORG_ID, "left").join(spend_by_month, ORG_ID, "left")
     if months.first <= months.last:
+        none_held = F.array().cast("array<date>")
+        open_months = F.array_except(months.dates(), F.coalesce("_held", none_held))
         filled = filled.withColumn(MONTH, F.explode(open_months))
     else:
         filled = filled.withColumn(MONTH, F.lit(None).cast("date"))
@@ -108,51 +105,63 @@ def summarise_panel(panel: DataFrame, segment: Segment) -> DataFrame:
 def segment_month_summary(
     dim: DataFrame,
     balances: DataFrame,
-    spend: DataFrame,
+    spend: Spend,
     months: MonthRange,
     segment: Segment,
+    with_balance: bool = True,
 ) -> DataFrame:
     """What ``summarise_panel`` gives, without building the panel.
 
-    Facts shrink to one row per (organization, month) and meet on that key; spend
-    counts once per distinct balance. The zero months come from one row per
-    segment times the calendar, added as zero amounts into the same sum.
+    Sums are linear, so spend rows go straight to (segment, month), each times
+    the number of distinct balances its organization holds that month. The zero
+    months come from one row per segment times the calendar, added as zero
+    amounts into the same sum. Growth needs no balances; ``with_balance=False``
+    leaves them out.
     """
     members = dim.select(ORG_ID, segment.column())
     held = (
         distinct_balances(balances, months)
         .groupBy(ORG_ID, MONTH)
-        .agg(F.sum(BALANCE).alias("balance"), F.count(F.lit(1)).alias("_balances"))
+        .agg(F.sum(BALANCE).alias("balance"), F.count(F.lit(1)).alias("_times"))
     )
-    facts = (
-        held.join(spend_in(spend, months), [ORG_ID, MONTH], "full")
-        .select(
-            ORG_ID,
-            MONTH,
-            or_zero("balance").alias("balance"),
-            (or_zero(SPEND) * F.coalesce("_balances", F.lit(1))).alias("spend"),
-        )
-        .join(members, ORG_ID)
-        .select(segment.name, MONTH, "balance", "spend", F.lit(0).cast("bigint").alias("customers"))
+    repeats = F.coalesce(F.col("_repeats")[F.col(MONTH)], F.lit(1))
+    spent = (
+        spend.joined_to(_with_repeats(members, held))
+        .where(months.covers(F.col(MONTH)))
+        .select(segment.name, MONTH, (or_zero(SPEND) * repeats).alias("spend"))
     )
-    zero = {f.name: f.dataType for f in facts.schema.fields}
     frame = (
         members.groupBy(segment.name)
         .agg(F.count(F.lit(1)).alias("customers"))
-        .select(
-            segment.name,
-            F.explode_outer(months.dates()).alias(MONTH),
-            F.lit(0).cast(zero["balance"]).alias("balance"),
-            F.lit(0).cast(zero["spend"]).alias("spend"),
-            "customers",
-        )
+        .select(segment.name, F.explode_outer(months.dates()).alias(MONTH), "customers")
     )
-    return (
-        facts.unionByName(frame)
-        .groupBy(segment.name, MONTH)
-        .agg(
-            F.sum("balance").alias("balance"),
-            F.sum("spend").alias("spend"),
-            F.sum("customers").alias("customers"),
-        )
+    parts = [spent, frame]
+    if with_balance:
+        parts.append(held.join(members, ORG_ID).select(segment.name, MONTH, "balance"))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    measures = (["balance"] if with_balance else []) + ["spend", "customers"]
+    return rows.groupBy(segment.name, MONTH).agg(
+        *[or_zero(F.sum(m)).cast(_sum_type(rows, m)).alias(m) for m in measures]
+    )
+
+
+def _with_repeats(members: DataFrame, held: DataFrame) -> DataFrame:
+    """Add ``_repeats``: how often spend counts in each month with several balances.
+
+    The map holds no more entries than the calendar has months, and most
+    organizations have none. The join takes a bucket of the id as second key:
+    its result is then not partitioned by the id alone, so the join that follows
+    shuffles both of its sides, which is what lets AQE split a hot organization.
+    """
+    bucket = F.pmod(F.hash(ORG_ID), F.lit(1024)).alias("_bucket")
+    repeats = (
+        held.where(F.col("_times") > 1)
+        .select(ORG_ID, bucket, F.struct(MONTH, "_times").alias("_entry"))
+        .groupBy(ORG_ID, "_bucket")
+        .agg(F.map_from_entries(F.collect_list("_entry")).alias("_repeats"))
     )
+    return members.select("*", bucket).join(repeats, [ORG_ID, "_bucket"], "left").drop("_bucket")
+
+
+def _sum_type(rows: DataFrame, measure: str) -> DataType:
+    return rows.agg(F.sum(measure).alias(measure)).schema[measure].dataType

@@ -29,7 +29,8 @@ def segment_totals(
     The totals are those of joining both facts to the organizations row by row:
     an organization with k accounts brings its spend k times. Each fact is
     reduced to one row per organization before the join, so the join fans
-    nothing out and a large organization is one row on every side.
+    nothing out and a large organization is one row on every side. ``spend`` may
+    hold several rows per organization, which add up.
     """
     accounts = (
         balances.where(F.col(MONTH) == F.lit(at_month))
@@ -39,7 +40,7 @@ def segment_totals(
     cards = (
         spend.where(F.col(MONTH) == F.lit(at_month))
         .groupBy(ORG_ID)
-        .agg(F.sum(or_zero(SPEND)).alias("_spend"), F.count(F.lit(1)).alias("_cards"))
+        .agg(F.sum(or_zero(SPEND)).alias("_spend"))
     )
     return (
         dim.select(ORG_ID, segment)
@@ -47,7 +48,7 @@ def segment_totals(
         .join(cards, ORG_ID, "left")
         .groupBy(segment)
         .agg(
-            F.sum(or_zero("_balance") * F.coalesce("_cards", F.lit(1))).alias("total_balance"),
+            F.sum(or_zero("_balance")).alias("total_balance"),
             F.sum(or_zero("_spend") * F.coalesce("_accounts", F.lit(1))).alias("total_spend"),
         )
     )

@@ -11,7 +11,14 @@ from monthweave.functions.money import with_decimals
 from monthweave.operators import activity, calendar, growth, panel, ranking, totals
 from monthweave.operators.growth import GrowthSpec
 from monthweave.operators.panel import Segment
-from monthweave.plans.settings import STATE, STATE_INDUSTRY, STATE_INDUSTRY_WEIGHTS, STATE_WEIGHTS, Study
+from monthweave.operators.spend import Spend
+from monthweave.plans.settings import (
+    STATE,
+    STATE_INDUSTRY,
+    STATE_INDUSTRY_WEIGHTS,
+    STATE_WEIGHTS,
+    Study,
+)
 from monthweave.schemas import BALANCE, INDUSTRY, SPEND
 
 
@@ -19,37 +26,50 @@ from monthweave.schemas import BALANCE, INDUSTRY, SPEND
 class Books:
     """Three tables and the study asked of them.
 
+    Totals and distincts are the same over ``movements`` (rows that add up to the
+    balances) and skip the sum per account; without them they read the balances.
     ``cents`` says that amounts are whole minor units; results then come back as
     decimals. With decimal amounts leave it False.
     """
 
     organizations: DataFrame
     balances: DataFrame
-    spend: DataFrame
+    spend: Spend
     study: Study
     cents: bool = False
+    movements: DataFrame | None = None
 
     def _amounts(self, df: DataFrame, *columns: str) -> DataFrame:
         return with_decimals(df, columns) if self.cents else df
 
+    @property
+    def _held(self) -> DataFrame:
+        return self.balances if self.movements is None else self.movements
+
     def _one_task(self, segment: Segment) -> bool:
         return ranking.fits_one_task(self.organizations.select(segment.column()).distinct())
 
     def calendar_spine(self) -> DataFrame:
-        return calendar.spine_over([self.balances, self.spend])
+        return calendar.spine_over([self._held, self.spend.rows])
 
     def monthly_balance_total(self) -> DataFrame:
         return self._amounts(
-            totals.monthly_total(self.balances, BALANCE, "total_balance"), "total_balance"
+            totals.monthly_total(self._held, BALANCE, "total_balance"), "total_balance"
         )
 
     def monthly_spend_total(self) -> DataFrame:
-        return self._amounts(totals.monthly_total(self.spend, SPEND, "total_spend"), "total_spend")
+        return self._amounts(
+            totals.monthly_total(self.spend.rows, SPEND, "total_spend"), "total_spend"
+        )
 
     def industry_totals(self) -> DataFrame:
         return self._amounts(
             totals.segment_totals(
-                self.organizations, self.balances, self.spend, INDUSTRY, self.study.leader_month
+                self.organizations,
+                self.balances,
+                self.spend.by_org(),
+                INDUSTRY,
+                self.study.leader_month,
             ),
             "total_balance",
             "total_spend",
@@ -60,11 +80,11 @@ class Books:
         return totals.leaders(self.industry_totals(), INDUSTRY, one_task)
 
     def active_users(self) -> DataFrame:
-        return activity.active_users(self.balances, self.spend)
+        return activity.active_users(self._held, self.spend)
 
     def active_region_counts(self) -> DataFrame:
         return activity.active_region_counts(
-            self.active_users(), self.organizations, self.study.share_region
+            self._held, self.spend, self.organizations, self.study.share_region
         )
 
     def active_region_share(self) -> DataFrame:
@@ -76,25 +96,27 @@ class Books:
         )
         return self._amounts(rows, BALANCE, SPEND)
 
-    def month_summary(self, segment: Segment) -> DataFrame:
+    def month_summary(self, segment: Segment, with_balance: bool = True) -> DataFrame:
         summary = panel.segment_month_summary(
-            self.organizations, self.balances, self.spend, self.study.months, segment
+            self.organizations, self.balances, self.spend, self.study.months, segment, with_balance
         )
-        return self._amounts(summary, "balance", "spend")
+        return self._amounts(summary, *(["balance"] if with_balance else []), "spend")
 
-    def forward_spend(self, segment: Segment) -> DataFrame:
-        return growth.forward_sums(self.month_summary(segment), segment.name)
+    def forward_spend(self, segment: Segment, with_balance: bool = True) -> DataFrame:
+        return growth.forward_sums(self.month_summary(segment, with_balance), segment.name)
 
     def anchor_averages(self, segment: Segment) -> DataFrame:
         return growth.anchor_averages(
-            self.forward_spend(segment), segment.name, self.study.anchors
+            self.forward_spend(segment, with_balance=False), segment.name, self.study.anchors
         )
 
     def latest_spend(self, segment: Segment) -> DataFrame:
-        return growth.snapshot_at(self.month_summary(segment), segment.name, self.study.latest)
+        summary = self.month_summary(segment, with_balance=False)
+        return growth.snapshot_at(summary, segment.name, self.study.latest)
 
     def growth_ratios(self, segment: Segment, spec: GrowthSpec) -> DataFrame:
-        return growth.growth_ratios(self.month_summary(segment), segment.name, spec)
+        summary = self.month_summary(segment, with_balance=False)
+        return growth.growth_ratios(summary, segment.name, spec)
 
     def growth_ranks(self, segment: Segment, spec: GrowthSpec) -> DataFrame:
         return growth.growth_ranks(

@@ -25,18 +25,21 @@ from monthweave.sources.retail import RetailTables, with_account_id
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _books(tables: RetailTables, months: MonthRange | None = None) -> Books:
+def _books(
+    tables: RetailTables, months: MonthRange | None = None, with_country: bool = False
+) -> Books:
     return Books(
-        tables.organizations(),
+        tables.organizations(with_country),
         tables.balances(months),
         tables.spend(months),
         RETAIL_STUDY,
         cents=True,
+        movements=tables.balance_lines(months),
     )
 
 
-def _panel_books(tables: RetailTables) -> Books:
-    return _books(tables, RETAIL_STUDY.months)
+def _panel_books(tables: RetailTables, with_country: bool = False) -> Books:
+    return _books(tables, RETAIL_STUDY.months, with_country)
 
 
 def _leader_books(tables: RetailTables) -> Books:
@@ -44,29 +47,10 @@ def _leader_books(tables: RetailTables) -> Books:
     return _books(tables, MonthRange(month, month))
 
 
-def _line_books(tables: RetailTables) -> Books:
-    """For sums and distincts over all months, which need no row per key first."""
-    return Books(
-        tables.organizations(),
-        tables.balance_lines(),
-        tables.spend_lines(),
-        RETAIL_STUDY,
-        cents=True,
-    )
-
-
 def _spell_out(df: DataFrame, *amounts: str) -> DataFrame:
     return as_doubles(with_decimals(df, amounts), amounts)
 
 
-def _panel(t: RetailTables) -> DataFrame:
-    books = _panel_books(t)
-    with_country = Books(
-        t.organizations(with_country=True), books.balances, books.spend, books.study, cents=True
-    )
-    return as_doubles(with_country.org_month_panel(), (BALANCE, SPEND))
-
-
 def _nulls(t: RetailTables) -> DataFrame:
     orgs = t.organizations(with_country=True)
     return (
@@ -74,7 +58,7 @@ def _nulls(t: RetailTables) -> DataFrame:
         .unionByName(
             contracts.null_counts(t.balances(), "balances", (MONTH, ORG_ID, ACCOUNT_ID, BALANCE))
         )
-        .unionByName(contracts.null_counts(t.spend(), "spend", (ORG_ID, MONTH, SPEND)))
+        .unionByName(contracts.null_counts(t.spend().table(), "spend", (ORG_ID, MONTH, SPEND)))
     )
 
 
@@ -91,24 +75,26 @@ def _duplicate_balance_lines(t: RetailTables) -> DataFrame:
 TABLE_QUERIES: dict[str, Callable[[RetailTables], DataFrame]] = {
     "scan_organizations": lambda t: t.organizations(with_country=True),
     "scan_balances": lambda t: _spell_out(t.balances(), BALANCE),
-    "scan_spend": lambda t: _spell_out(t.spend(), SPEND),
+    "scan_spend": lambda t: _spell_out(t.spend().table(), SPEND),
     "month_bounds_balances": lambda t: calendar.month_bounds(t.balance_lines()),
-    "month_bounds_spend": lambda t: calendar.month_bounds(t.spend_lines()),
-    "calendar_spine": lambda t: _line_books(t).calendar_spine(),
+    "month_bounds_spend": lambda t: calendar.month_bounds(t.spend().rows),
+    "calendar_spine": lambda t: _books(t).calendar_spine(),
     "monthly_balance_total": lambda t: as_doubles(
-        _line_books(t).monthly_balance_total(), ("total_balance",)
+        _books(t).monthly_balance_total(), ("total_balance",)
     ),
     "monthly_spend_total": lambda t: as_doubles(
-        _line_books(t).monthly_spend_total(), ("total_spend",)
+        _books(t).monthly_spend_total(), ("total_spend",)
     ),
     "industry_totals": lambda t: as_doubles(
         _leader_books(t).industry_totals(), ("total_balance", "total_spend")
     ),
     "industry_leaders": lambda t: _leader_books(t).industry_leaders(),
-    "active_users": lambda t: _line_books(t).active_users(),
-    "active_region_counts": lambda t: _line_books(t).active_region_counts(),
-    "active_region_share": lambda t: _line_books(t).active_region_share(),
-    "org_month_panel": _panel,
+    "active_users": lambda t: _books(t).active_users(),
+    "active_region_counts": lambda t: _books(t).active_region_counts(),
+    "active_region_share": lambda t: _books(t).active_region_share(),
+    "org_month_panel": lambda t: as_doubles(
+        _panel_books(t, with_country=True).org_month_panel(), (BALANCE, SPEND)
+    ),
     "growth_index_state": lambda t: as_doubles(
         _panel_books(t).growth_index_state(), ("latest_spend", "overall_growth_index")
     ),
@@ -117,9 +103,9 @@ TABLE_QUERIES: dict[str, Callable[[RetailTables], DataFrame]] = {
     ),
     "check_org_pk": lambda t: contracts.duplicate_keys(t.organizations(), (ORG_ID,), primary=True),
     "check_balance_unique": lambda t: contracts.duplicate_keys(t.balances(), (ACCOUNT_ID, MONTH)),
-    "check_spend_unique": lambda t: contracts.duplicate_keys(t.spend(), (ORG_ID, MONTH)),
+    "check_spend_unique": lambda t: contracts.duplicate_keys(t.spend().table(), (ORG_ID, MONTH)),
     "check_balance_lines_unique": _duplicate_balance_lines,
-    "check_spend_lines_unique": lambda t: contracts.duplicate_keys(t.spend_lines(), (ORG_ID, MONTH)),
+    "check_spend_lines_unique": lambda t: contracts.duplicate_keys(t.spend().by_org(), (ORG_ID, MONTH)),
     "check_nulls": _nulls,
     "check_lengths": lambda t: contracts.limit_violations(
         t.organizations(), (ORG_ID,), lengths={INDUSTRY: 8, REGION: 8}

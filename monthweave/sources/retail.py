@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from monthweave.functions.columns import month_after, month_start
 from monthweave.functions.money import minor_units
 from monthweave.operators.calendar import MonthRange
+from monthweave.operators.spend import Spend
 from monthweave.schemas import ACCOUNT_ID, BALANCE, INDUSTRY, MONTH, ORG_ID, REGION, SPEND
 
 
@@ -22,8 +23,8 @@ class RetailTables:
     """Tables over a folder of customer, nation, region, orders and lineitem Parquet.
 
     Every fact takes an optional ``MonthRange``, which becomes a date filter on the
-    scan. ``*_lines`` are the facts before they are summed to their key: a sum or
-    a distinct over lines needs no shuffle for that key first.
+    scan. ``balance_lines`` are the movements before they are summed to a balance:
+    a total or a distinct over them needs no shuffle by account first.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -66,17 +67,15 @@ class RetailTables:
             .agg(F.sum(BALANCE).alias(BALANCE))
         )
 
-    def spend_lines(self, months: MonthRange | None = None) -> DataFrame:
+    def spend(self, months: MonthRange | None = None) -> Spend:
+        """Spend by order line; a line finds its organization through its order."""
         lines = _within(self._read("lineitem"), "l_shipdate", months).select(
             F.col("l_orderkey").alias("o_orderkey"),
             _month("l_shipdate", months),
             minor_units(F.col("l_extendedprice")).alias(SPEND),
         )
         owners = self._read("orders").select("o_orderkey", F.col("o_custkey").alias(ORG_ID))
-        return lines.join(owners, "o_orderkey").select(ORG_ID, MONTH, SPEND)
-
-    def spend(self, months: MonthRange | None = None) -> DataFrame:
-        return self.spend_lines(months).groupBy(ORG_ID, MONTH).agg(F.sum(SPEND).alias(SPEND))
+        return Spend(lines, owners, link="o_orderkey")
 
 
 def with_account_id(df: DataFrame) -> DataFrame:
