@@ -26,6 +26,10 @@ class MonthRange:
             return F.array().cast("array<date>")
         return F.sequence(F.lit(self.first), F.lit(self.last), F.expr("interval 1 month"))
 
+    def count(self) -> int:
+        span = (self.last.year - self.first.year) * 12 + self.last.month - self.first.month
+        return max(span + 1, 0)
+
     def covers(self, col: Column) -> Column:
         return col.between(F.lit(self.first), F.lit(self.last))
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 
 from monthweave.functions.money import with_decimals
@@ -22,39 +20,44 @@ from monthweave.plans.settings import (
 from monthweave.schemas import BALANCE, INDUSTRY, SPEND
 
 
-@dataclass(frozen=True)
 class Books:
     """Three tables and the study asked of them.
 
-    Totals and distincts are the same over ``movements`` (rows that add up to the
-    balances) and skip the sum per account; without them they read the balances.
     ``cents`` says that amounts are whole minor units; results then come back as
-    decimals. With decimal amounts leave it False.
+    decimals. With decimal amounts leave it False. Totals and distincts are the
+    same over ``movements`` (rows that add up to the balances) and then skip the
+    sum per account; by default they read the balances.
     """
 
-    organizations: DataFrame
-    balances: DataFrame
-    spend: Spend
-    study: Study
-    cents: bool = False
-    movements: DataFrame | None = None
+    def __init__(
+        self,
+        organizations: DataFrame,
+        balances: DataFrame,
+        spend: Spend,
+        study: Study,
+        cents: bool = False,
+        movements: DataFrame | None = None,
+    ):
+        self.organizations = organizations
+        self.balances = balances
+        self.spend = spend
+        self.study = study
+        self.cents = cents
+        self.movements = balances if movements is None else movements
 
     def _amounts(self, df: DataFrame, *columns: str) -> DataFrame:
         return with_decimals(df, columns) if self.cents else df
 
-    @property
-    def _held(self) -> DataFrame:
-        return self.balances if self.movements is None else self.movements
-
-    def _one_task(self, segment: Segment) -> bool:
-        return ranking.fits_one_task(self.organizations.select(segment.column()).distinct())
+    def _one_task(self, segment: Segment, rows_each: int = 1) -> bool:
+        segments = self.organizations.select(segment.column().alias("segment"))
+        return ranking.fits_one_task(segments, rows_each)
 
     def calendar_spine(self) -> DataFrame:
-        return calendar.spine_over([self._held, self.spend.rows])
+        return calendar.spine_over([self.movements, self.spend.rows])
 
     def monthly_balance_total(self) -> DataFrame:
         return self._amounts(
-            totals.monthly_total(self._held, BALANCE, "total_balance"), "total_balance"
+            totals.monthly_total(self.movements, BALANCE, "total_balance"), "total_balance"
         )
 
     def monthly_spend_total(self) -> DataFrame:
@@ -80,11 +83,11 @@ class Books:
         return totals.leaders(self.industry_totals(), INDUSTRY, one_task)
 
     def active_users(self) -> DataFrame:
-        return activity.active_users(self._held, self.spend)
+        return activity.active_users(self.movements, self.spend)
 
     def active_region_counts(self) -> DataFrame:
         return activity.active_region_counts(
-            self._held, self.spend, self.organizations, self.study.share_region
+            self.movements, self.spend, self.organizations, self.study.share_region
         )
 
     def active_region_share(self) -> DataFrame:
@@ -115,13 +118,11 @@ class Books:
         return growth.snapshot_at(summary, segment.name, self.study.latest)
 
     def growth_ratios(self, segment: Segment, spec: GrowthSpec) -> DataFrame:
-        summary = self.month_summary(segment, with_balance=False)
-        return growth.growth_ratios(summary, segment.name, spec)
+        return self._ratios(segment, spec)[0]
 
     def growth_ranks(self, segment: Segment, spec: GrowthSpec) -> DataFrame:
-        return growth.growth_ranks(
-            self.growth_ratios(segment, spec), segment.name, spec, self._one_task(segment)
-        )
+        ratios, one_task = self._ratios(segment, spec)
+        return growth.growth_ranks(ratios, segment.name, spec, one_task)
 
     def index_components(self, segment: Segment, spec: GrowthSpec) -> DataFrame:
         return growth.index_components(self.growth_ranks(segment, spec), segment.name, spec)
@@ -138,3 +139,15 @@ class Books:
 
     def growth_index_state_industry(self) -> DataFrame:
         return self.growth_index(STATE_INDUSTRY, self.study.growth(STATE_INDUSTRY_WEIGHTS))
+
+    def _ratios(self, segment: Segment, spec: GrowthSpec) -> tuple[DataFrame, bool]:
+        """Ratios, and whether the summary they come from fits one task.
+
+        Where it does, it moves there at once: windows, ranks, the sum over the
+        anchors and the final sort then need no shuffle of their own.
+        """
+        one_task = self._one_task(segment, rows_each=self.study.months.count())
+        summary = self.month_summary(segment, with_balance=False)
+        if one_task:
+            summary = summary.repartition(1)
+        return growth.growth_ratios(summary, segment.name, spec), one_task

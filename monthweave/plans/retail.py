@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from monthweave.functions.money import as_doubles, with_decimals
 from monthweave.operators import calendar, contracts
 from monthweave.operators.calendar import MonthRange
 from monthweave.operators.panel import Segment
+from monthweave.operators.spend import Spend
 from monthweave.plans.books import Books
 from monthweave.plans.settings import (
     RETAIL_STUDY,
@@ -25,26 +27,42 @@ from monthweave.sources.retail import RetailTables, with_account_id
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _books(
-    tables: RetailTables, months: MonthRange | None = None, with_country: bool = False
-) -> Books:
-    return Books(
-        tables.organizations(with_country),
-        tables.balances(months),
-        tables.spend(months),
-        RETAIL_STUDY,
-        cents=True,
-        movements=tables.balance_lines(months),
-    )
+class RetailBooks(Books):
+    """Books over the order tables, each table set up when a question first needs it."""
+
+    def __init__(
+        self, tables: RetailTables, months: MonthRange | None = None, with_country: bool = False
+    ):
+        self._tables = tables
+        self._months = months
+        self._with_country = with_country
+        self.study = RETAIL_STUDY
+        self.cents = True
+
+    @cached_property
+    def organizations(self) -> DataFrame:
+        return self._tables.organizations(self._with_country)
+
+    @cached_property
+    def balances(self) -> DataFrame:
+        return self._tables.balances(self._months)
+
+    @cached_property
+    def movements(self) -> DataFrame:
+        return self._tables.balance_lines(self._months)
+
+    @cached_property
+    def spend(self) -> Spend:
+        return self._tables.spend(self._months)
 
 
 def _panel_books(tables: RetailTables, with_country: bool = False) -> Books:
-    return _books(tables, RETAIL_STUDY.months, with_country)
+    return RetailBooks(tables, RETAIL_STUDY.months, with_country)
 
 
 def _leader_books(tables: RetailTables) -> Books:
     month = RETAIL_STUDY.leader_month
-    return _books(tables, MonthRange(month, month))
+    return RetailBooks(tables, MonthRange(month, month))
 
 
 def _spell_out(df: DataFrame, *amounts: str) -> DataFrame:
@@ -78,20 +96,20 @@ TABLE_QUERIES: dict[str, Callable[[RetailTables], DataFrame]] = {
     "scan_spend": lambda t: _spell_out(t.spend().table(), SPEND),
     "month_bounds_balances": lambda t: calendar.month_bounds(t.balance_lines()),
     "month_bounds_spend": lambda t: calendar.month_bounds(t.spend().rows),
-    "calendar_spine": lambda t: _books(t).calendar_spine(),
+    "calendar_spine": lambda t: RetailBooks(t).calendar_spine(),
     "monthly_balance_total": lambda t: as_doubles(
-        _books(t).monthly_balance_total(), ("total_balance",)
+        RetailBooks(t).monthly_balance_total(), ("total_balance",)
     ),
     "monthly_spend_total": lambda t: as_doubles(
-        _books(t).monthly_spend_total(), ("total_spend",)
+        RetailBooks(t).monthly_spend_total(), ("total_spend",)
     ),
     "industry_totals": lambda t: as_doubles(
         _leader_books(t).industry_totals(), ("total_balance", "total_spend")
     ),
     "industry_leaders": lambda t: _leader_books(t).industry_leaders(),
-    "active_users": lambda t: _books(t).active_users(),
-    "active_region_counts": lambda t: _books(t).active_region_counts(),
-    "active_region_share": lambda t: _books(t).active_region_share(),
+    "active_users": lambda t: RetailBooks(t).active_users(),
+    "active_region_counts": lambda t: RetailBooks(t).active_region_counts(),
+    "active_region_share": lambda t: RetailBooks(t).active_region_share(),
     "org_month_panel": lambda t: as_doubles(
         _panel_books(t, with_country=True).org_month_panel(), (BALANCE, SPEND)
     ),

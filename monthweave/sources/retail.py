@@ -19,6 +19,19 @@ from monthweave.operators.spend import Spend
 from monthweave.schemas import ACCOUNT_ID, BALANCE, INDUSTRY, MONTH, ORG_ID, REGION, SPEND
 
 
+# The columns read and their types.
+COLUMNS = {
+    "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": "l_orderkey bigint, l_extendedprice double, l_shipdate timestamp_ntz",
+}
+
+
 class RetailTables:
     """Tables over a folder of customer, nation, region, orders and lineitem Parquet.
 
@@ -32,7 +45,7 @@ class RetailTables:
         self._folder = folder
 
     def _read(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+        return self._spark.read.schema(COLUMNS[name]).parquet(f"{self._folder}/{name}.parquet")
 
     def organizations(self, with_country: bool = False) -> DataFrame:
         places = self._read("nation").select(
