@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from monthweave.functions.columns import ratio
+from monthweave.functions.layout import in_month_order
 from monthweave.operators.spend import Spend
 from monthweave.schemas import BALANCE, MONTH, ORG_ID, REGION, SPEND
 
@@ -43,6 +44,5 @@ def _active(balances: DataFrame, spend: DataFrame, *marks: str) -> DataFrame:
 
 def active_region_share(counts: DataFrame) -> DataFrame:
     """Share (0 to 1) of the active organizations that are in the region, by month."""
-    return counts.select(
-        MONTH, ratio(F.col("region_users"), F.col("active_users")).alias("region_share")
-    ).orderBy(F.col(MONTH).asc_nulls_last())
+    share = ratio(F.col("region_users"), F.col("active_users")).alias("region_share")
+    return in_month_order(counts.select(MONTH, share))

@@ -15,7 +15,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
 
 from monthweave.functions.columns import joined_text, or_zero
 from monthweave.operators.calendar import MonthRange
@@ -62,33 +61,27 @@ def org_month_panel(
     empty range keeps each organization once, with a null month.
     """
     kept = [c for c in (attributes or dim.columns) if c != ORG_ID]
-    orgs = dim.select(ORG_ID, *kept)
     held = distinct_balances(balances, months)
     spent = spend.table().where(months.covers(F.col(MONTH)))
+    orgs = _with_month_map(dim.select(ORG_ID, *kept), spent, SPEND, "_spent")
+    spend_of_month = or_zero(F.col("_spent")[F.col(MONTH)]).alias(SPEND)
 
-    with_balance = (
-        held.join(spent, [ORG_ID, MONTH], "left")
-        .join(orgs, ORG_ID)
-        .select(ORG_ID, *kept, MONTH, BALANCE, or_zero(SPEND).alias(SPEND))
-    )
+    with_balance = held.join(orgs, ORG_ID).select(ORG_ID, *kept, MONTH, BALANCE, spend_of_month)
 
     held_months = held.groupBy(ORG_ID).agg(F.collect_set(MONTH).alias("_held"))
-    spend_by_month = spent.groupBy(ORG_ID).agg(
-        F.map_from_entries(F.collect_list(F.struct(MONTH, SPEND))).alias("_spent")
-    )
-    filled = orgs.join(held_months, ORG_ID, "left").join(spend_by_month, ORG_ID, "left")
-    if months.first <= months.last:
+    gaps = orgs.join(held_months, ORG_ID, "left")
+    if months.count():
         none_held = F.array().cast("array<date>")
         open_months = F.array_except(months.dates(), F.coalesce("_held", none_held))
-        filled = filled.withColumn(MONTH, F.explode(open_months))
+        gaps = gaps.withColumn(MONTH, F.explode(open_months))
     else:
-        filled = filled.withColumn(MONTH, F.lit(None).cast("date"))
-    without_balance = filled.select(
+        gaps = gaps.withColumn(MONTH, F.lit(None).cast("date"))
+    without_balance = gaps.select(
         ORG_ID,
         *kept,
         MONTH,
         F.lit(0).cast(held.schema[BALANCE].dataType).alias(BALANCE),
-        or_zero(F.col("_spent")[F.col(MONTH)]).alias(SPEND),
+        spend_of_month,
     )
     return with_balance.unionByName(without_balance)
 
@@ -124,11 +117,12 @@ def segment_month_summary(
         .groupBy(ORG_ID, MONTH)
         .agg(F.sum(BALANCE).alias("balance"), F.count(F.lit(1)).alias("_times"))
     )
-    repeats = F.coalesce(F.col("_repeats")[F.col(MONTH)], F.lit(1))
+    repeated = held.where(F.col("_times") > 1)
+    times = F.coalesce(F.col("_repeats")[F.col(MONTH)], F.lit(1))
     spent = (
-        spend.joined_to(_with_repeats(members, held))
+        spend.joined_to(_with_month_map(members, repeated, "_times", "_repeats"))
         .where(months.covers(F.col(MONTH)))
-        .select(segment.name, MONTH, (or_zero(SPEND) * repeats).alias("spend"))
+        .select(segment.name, MONTH, (or_zero(SPEND) * times).alias("spend"))
     )
     frame = (
         members.groupBy(segment.name)
@@ -141,27 +135,25 @@ def segment_month_summary(
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     measures = (["balance"] if with_balance else []) + ["spend", "customers"]
     return rows.groupBy(segment.name, MONTH).agg(
-        *[or_zero(F.sum(m)).cast(_sum_type(rows, m)).alias(m) for m in measures]
+        *[or_zero(F.sum(m)).alias(m) for m in measures]
     )
 
 
-def _with_repeats(members: DataFrame, held: DataFrame) -> DataFrame:
-    """Add ``_repeats``: how often spend counts in each month with several balances.
+def _with_month_map(
+    members: DataFrame, by_month: DataFrame, value: str, output: str
+) -> DataFrame:
+    """Add ``output``, a map from month to ``value``, to each organization.
 
-    The map holds no more entries than the calendar has months, and most
-    organizations have none. The join takes a bucket of the id as second key:
-    its result is then not partitioned by the id alone, so the join that follows
-    shuffles both of its sides, which is what lets AQE split a hot organization.
+    ``by_month`` holds each (organization, month) once, so a map has no more
+    entries than the calendar has months. The join takes a bucket of the id as
+    second key: its result is then not partitioned by the id alone, and a join on
+    the id that follows shuffles both of its sides. Only such joins let AQE split
+    an organization that holds a large part of the other side.
     """
     bucket = F.pmod(F.hash(ORG_ID), F.lit(1024)).alias("_bucket")
-    repeats = (
-        held.where(F.col("_times") > 1)
-        .select(ORG_ID, bucket, F.struct(MONTH, "_times").alias("_entry"))
+    maps = (
+        by_month.select(ORG_ID, bucket, F.struct(MONTH, value).alias("_entry"))
         .groupBy(ORG_ID, "_bucket")
-        .agg(F.map_from_entries(F.collect_list("_entry")).alias("_repeats"))
+        .agg(F.map_from_entries(F.collect_list("_entry")).alias(output))
     )
-    return members.select("*", bucket).join(repeats, [ORG_ID, "_bucket"], "left").drop("_bucket")
-
-
-def _sum_type(rows: DataFrame, measure: str) -> DataType:
-    return rows.agg(F.sum(measure).alias(measure)).schema[measure].dataType
+    return members.select("*", bucket).join(maps, [ORG_ID, "_bucket"], "left").drop("_bucket")

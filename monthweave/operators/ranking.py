@@ -37,7 +37,7 @@ def fits_one_task(keys: DataFrame, rows_each: int = 1, limit: int = ONE_TASK_ROW
     The count is a sketch of fixed size with five percent error: it picks between
     two exact ways, so it need not be exact itself.
     """
-    found = keys.agg(F.approx_count_distinct(keys.columns[0])).first()[0]
+    [(found,)] = keys.agg(F.approx_count_distinct(keys.columns[0])).collect()
     return found * max(rows_each, 1) <= limit
 
 

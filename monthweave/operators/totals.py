@@ -8,17 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from monthweave.functions.columns import month_start, or_zero
+from monthweave.functions.layout import in_month_order
 from monthweave.operators.ranking import Rank, add_ranks
 from monthweave.schemas import BALANCE, MONTH, ORG_ID, SPEND
 
 
 def monthly_total(df: DataFrame, measure: str, output: str, month: str = MONTH) -> DataFrame:
     """Sum of ``measure`` per calendar month, in month order."""
-    return (
-        df.groupBy(month_start(month).alias(MONTH))
-        .agg(F.sum(measure).alias(output))
-        .orderBy(F.col(MONTH).asc_nulls_last())
-    )
+    totals = df.groupBy(month_start(month).alias(MONTH)).agg(F.sum(measure).alias(output))
+    return in_month_order(totals)
 
 
 def segment_totals(
