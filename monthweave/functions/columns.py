@@ -13,9 +13,10 @@ def month_start(col: Column | str) -> Column:
     return F.trunc(col, "month")
 
 
-def month_after(month: date) -> date:
-    """First day of the month that follows ``month``."""
-    return date(month.year + month.month // 12, month.month % 12 + 1, 1)
+def months_later(month: date, n: int) -> date:
+    """First day of the month ``n`` months after ``month``."""
+    number = month.year * 12 + month.month - 1 + n
+    return date(number // 12, number % 12 + 1, 1)
 
 
 def or_zero(col: Column | str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import date
 from functools import reduce
@@ -9,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthweave.functions.columns import month_start
+from monthweave.functions.columns import month_start, months_later
 from monthweave.schemas import MONTH
 
 
@@ -20,18 +21,55 @@ class MonthRange:
     first: date
     last: date
 
+    def ranges(self) -> tuple[MonthRange, ...]:
+        return (self,) if self.first <= self.last else ()
+
+    def count(self) -> int:
+        span = (self.last.year - self.first.year) * 12 + self.last.month - self.first.month
+        return max(span + 1, 0)
+
     def dates(self) -> Column:
         """The months as one array; rows explode it, so no join makes the spine."""
-        if self.first > self.last:
+        if not self.ranges():
             return F.array().cast("array<date>")
         return F.sequence(F.lit(self.first), F.lit(self.last), F.expr("interval 1 month"))
 
+    def covers(self, col: Column) -> Column:
+        return col.between(F.lit(self.first), F.lit(self.last))
+
+
+@dataclass(frozen=True)
+class MonthRanges:
+    """Several month ranges, in order and apart from each other; ``merged`` makes them so."""
+
+    parts: tuple[MonthRange, ...]
+
+    @classmethod
+    def merged(cls, ranges: Iterable[MonthRange]) -> MonthRanges:
+        out: list[MonthRange] = []
+        for r in sorted((r for r in ranges if r.ranges()), key=lambda r: r.first):
+            if out and r.first <= months_later(out[-1].last, 1):
+                out[-1] = MonthRange(out[-1].first, max(out[-1].last, r.last))
+            else:
+                out.append(r)
+        return cls(tuple(out))
+
+    def ranges(self) -> tuple[MonthRange, ...]:
+        return self.parts
+
     def count(self) -> int:
-        span = (self.last.year - self.first.year) * 12 + self.last.month - self.first.month
-        return max(span + 1, 0)
+        return sum(r.count() for r in self.parts)
+
+    def dates(self) -> Column:
+        if not self.parts:
+            return F.array().cast("array<date>")
+        return F.concat(*[r.dates() for r in self.parts])
 
     def covers(self, col: Column) -> Column:
-        return col.between(F.lit(self.first), F.lit(self.last))
+        return reduce(lambda a, b: a | b, [r.covers(col) for r in self.parts], F.lit(False))
+
+
+Months = MonthRange | MonthRanges
 
 
 def month_bounds(df: DataFrame, month: str = MONTH) -> DataFrame:
@@ -39,8 +77,8 @@ def month_bounds(df: DataFrame, month: str = MONTH) -> DataFrame:
     return df.agg(F.min(month).alias("first_month"), F.max(month).alias("last_month"))
 
 
-def calendar_spine(spark: SparkSession, months: MonthRange) -> DataFrame:
-    """One row per month of a known range."""
+def calendar_spine(spark: SparkSession, months: Months) -> DataFrame:
+    """One row per month of known ranges."""
     return spark.range(0, 1, 1, 1).select(F.explode(months.dates()).alias(MONTH))
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from monthweave.functions.columns import ratio
+from monthweave.functions.columns import months_later, ratio
+from monthweave.operators.calendar import MonthRange, MonthRanges
 from monthweave.operators.ranking import Rank, add_ranks
 from monthweave.schemas import MONTH
 
@@ -41,6 +42,30 @@ class GrowthSpec:
     def anchors(self) -> tuple[date, ...]:
         return tuple(self.weights)
 
+    def months_read(self, calendar: MonthRange) -> MonthRanges:
+        """The months of ``calendar`` that the index depends on.
+
+        These are the anchors, the months their forward sums reach, and the latest
+        month. Following months stay next to their anchor, so the sums over the
+        next rows are those of the full calendar.
+        """
+        return anchor_months(self.anchors, self.horizons, calendar, (self.latest,))
+
+
+def anchor_months(
+    anchors: Sequence[date],
+    horizons: Sequence[int],
+    calendar: MonthRange,
+    others: Sequence[date] = (),
+) -> MonthRanges:
+    """Anchors with the months up to their furthest horizon, and ``others``, within ``calendar``."""
+    reach = [(a, months_later(a, max(horizons))) for a in anchors] + [(o, o) for o in others]
+    return MonthRanges.merged(
+        MonthRange(first, min(last, calendar.last))
+        for first, last in reach
+        if calendar.first <= first <= calendar.last
+    )
+
 
 def forward_sums(summary: DataFrame, segment: str, horizons: Sequence[int] = (2, 4)) -> DataFrame:
     """Spend and customers of the next h months, this month excluded.

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from monthweave.functions.columns import joined_text, or_zero
-from monthweave.operators.calendar import MonthRange
+from monthweave.operators.calendar import Months
 from monthweave.operators.spend import Spend
 from monthweave.schemas import BALANCE, MONTH, ORG_ID, SPEND
 
@@ -36,7 +36,7 @@ class Segment:
         return joined_text(self.columns, self.sep).alias(self.name)
 
 
-def distinct_balances(balances: DataFrame, months: MonthRange) -> DataFrame:
+def distinct_balances(balances: DataFrame, months: Months) -> DataFrame:
     """Distinct (organization, month, balance) within the range, null balance as zero."""
     return (
         balances.where(months.covers(F.col(MONTH)))
@@ -49,7 +49,7 @@ def org_month_panel(
     dim: DataFrame,
     balances: DataFrame,
     spend: Spend,
-    months: MonthRange,
+    months: Months,
     attributes: Sequence[str] | None = None,
 ) -> DataFrame:
     """Every organization in every month, with balance and spend or zero.
@@ -99,7 +99,7 @@ def segment_month_summary(
     dim: DataFrame,
     balances: DataFrame,
     spend: Spend,
-    months: MonthRange,
+    months: Months,
     segment: Segment,
     with_balance: bool = True,
 ) -> DataFrame:

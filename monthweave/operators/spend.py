@@ -15,13 +15,16 @@ class Spend:
     """Rows whose amounts add up to the spend of each (organization, month).
 
     Either every row names its organization, or ``link`` leads to it through
-    ``owners`` (one row per link). Sums over segments then attach what they need
-    to the owners first, so the large rows are shuffled once, on the link.
+    ``owners`` (one row per link). Where the rows outnumber the owners, columns of
+    the organization go to the owners first and the rows are shuffled once, on the
+    link. Where only a few rows are read, ``owners_first=False`` finds their
+    organization first, and no wide row per owner is shuffled.
     """
 
     rows: DataFrame
     owners: DataFrame | None = None
     link: str | None = None
+    owners_first: bool = True
 
     def by_org(self) -> DataFrame:
         """Rows with their organization; null where no owner is known."""
@@ -34,7 +37,9 @@ class Spend:
         """Rows with the columns of ``members``, a table with one row per organization."""
         if self.owners is None:
             return self.rows.join(members, ORG_ID, how)
-        return self.rows.join(self.owners.join(members, ORG_ID, how), self.link, how)
+        if self.owners_first:
+            return self.rows.join(self.owners.join(members, ORG_ID, how), self.link, how)
+        return self.rows.join(self.owners, self.link, how).join(members, ORG_ID, how)
 
     def table(self) -> DataFrame:
         """One row per (organization, month)."""

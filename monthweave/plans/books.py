@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 
 from monthweave.functions.money import with_decimals
 from monthweave.operators import activity, calendar, growth, panel, ranking, totals
+from monthweave.operators.calendar import MonthRange, Months
 from monthweave.operators.growth import GrowthSpec
 from monthweave.operators.panel import Segment
 from monthweave.operators.spend import Spend
@@ -45,6 +46,10 @@ class Books:
         self.cents = cents
         self.movements = balances if movements is None else movements
 
+    def facts(self, months: Months) -> tuple[DataFrame, Spend]:
+        """Balances and spend of at least ``months``; operators filter what they read."""
+        return self.balances, self.spend
+
     def _amounts(self, df: DataFrame, *columns: str) -> DataFrame:
         return with_decimals(df, columns) if self.cents else df
 
@@ -66,17 +71,12 @@ class Books:
         )
 
     def industry_totals(self) -> DataFrame:
-        return self._amounts(
-            totals.segment_totals(
-                self.organizations,
-                self.balances,
-                self.spend.by_org(),
-                INDUSTRY,
-                self.study.leader_month,
-            ),
-            "total_balance",
-            "total_spend",
+        month = self.study.leader_month
+        balances, spend = self.facts(MonthRange(month, month))
+        found = totals.segment_totals(
+            self.organizations, balances, spend.by_org(), INDUSTRY, month
         )
+        return self._amounts(found, "total_balance", "total_spend")
 
     def industry_leaders(self) -> DataFrame:
         one_task = self._one_task(Segment(INDUSTRY, (INDUSTRY,)))
@@ -94,28 +94,39 @@ class Books:
         return activity.active_region_share(self.active_region_counts())
 
     def org_month_panel(self, attributes: Sequence[str] | None = None) -> DataFrame:
-        rows = panel.org_month_panel(
-            self.organizations, self.balances, self.spend, self.study.months, attributes
-        )
+        months = self.study.months
+        balances, spend = self.facts(months)
+        rows = panel.org_month_panel(self.organizations, balances, spend, months, attributes)
         return self._amounts(rows, BALANCE, SPEND)
 
-    def month_summary(self, segment: Segment, with_balance: bool = True) -> DataFrame:
+    def month_summary(
+        self, segment: Segment, with_balance: bool = True, months: Months | None = None
+    ) -> DataFrame:
+        months = self.study.months if months is None else months
+        balances, spend = self.facts(months)
         summary = panel.segment_month_summary(
-            self.organizations, self.balances, self.spend, self.study.months, segment, with_balance
+            self.organizations, balances, spend, months, segment, with_balance
         )
         return self._amounts(summary, *(["balance"] if with_balance else []), "spend")
 
-    def forward_spend(self, segment: Segment, with_balance: bool = True) -> DataFrame:
-        return growth.forward_sums(self.month_summary(segment, with_balance), segment.name)
+    def forward_spend(self, segment: Segment) -> DataFrame:
+        return growth.forward_sums(self.month_summary(segment), segment.name)
 
-    def anchor_averages(self, segment: Segment) -> DataFrame:
-        return growth.anchor_averages(
-            self.forward_spend(segment, with_balance=False), segment.name, self.study.anchors
-        )
+    def anchor_averages(
+        self, segment: Segment, horizons: Sequence[int] = (2, 4)
+    ) -> DataFrame:
+        """Reads only the anchors and the months they look ahead to."""
+        months = growth.anchor_months(self.study.anchors, horizons, self.study.months)
+        summary = self.month_summary(segment, with_balance=False, months=months)
+        forward = growth.forward_sums(summary, segment.name, horizons)
+        return growth.anchor_averages(forward, segment.name, self.study.anchors, horizons)
 
     def latest_spend(self, segment: Segment) -> DataFrame:
-        summary = self.month_summary(segment, with_balance=False)
-        return growth.snapshot_at(summary, segment.name, self.study.latest)
+        latest = self.study.latest
+        summary = self.month_summary(
+            segment, with_balance=False, months=MonthRange(latest, latest)
+        )
+        return growth.snapshot_at(summary, segment.name, latest)
 
     def growth_ratios(self, segment: Segment, spec: GrowthSpec) -> DataFrame:
         return self._ratios(segment, spec)[0]
@@ -143,11 +154,12 @@ class Books:
     def _ratios(self, segment: Segment, spec: GrowthSpec) -> tuple[DataFrame, bool]:
         """Ratios, and whether the summary they come from fits one task.
 
-        Where it does, it moves there at once: windows, ranks, the sum over the
+        Only the months the index depends on are read. Where the summary fits, it moves there at once: windows, ranks, the sum over the
         anchors and the final sort then need no shuffle of their own.
         """
-        one_task = self._one_task(segment, rows_each=self.study.months.count())
-        summary = self.month_summary(segment, with_balance=False)
+        months = spec.months_read(self.study.months)
+        one_task = self._one_task(segment, rows_each=months.count())
+        summary = self.month_summary(segment, with_balance=False, months=months)
         if one_task:
             summary = summary.repartition(1)
         return growth.growth_ratios(summary, segment.name, spec), one_task

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from monthweave.functions.money import as_doubles, with_decimals
 from monthweave.operators import calendar, contracts
-from monthweave.operators.calendar import MonthRange
+from monthweave.operators.calendar import Months
 from monthweave.operators.panel import Segment
 from monthweave.operators.spend import Spend
 from monthweave.plans.books import Books
@@ -30,39 +31,34 @@ Query = Callable[[SparkSession, str], DataFrame]
 class RetailBooks(Books):
     """Books over the order tables, each table set up when a question first needs it."""
 
-    def __init__(
-        self, tables: RetailTables, months: MonthRange | None = None, with_country: bool = False
-    ):
+    def __init__(self, tables: RetailTables, with_country: bool = False):
         self._tables = tables
-        self._months = months
         self._with_country = with_country
         self.study = RETAIL_STUDY
         self.cents = True
 
+    def facts(self, months: Months) -> tuple[DataFrame, Spend]:
+        """Limited at the scan. An order has a few lines, so lines of half the calendar
+        or more outnumber the orders."""
+        most = 2 * months.count() >= self.study.months.count()
+        spend = replace(self._tables.spend(months), owners_first=most)
+        return self._tables.balances(months), spend
+
     @cached_property
     def organizations(self) -> DataFrame:
         return self._tables.organizations(self._with_country)
 
     @cached_property
     def balances(self) -> DataFrame:
-        return self._tables.balances(self._months)
+        return self._tables.balances()
 
     @cached_property
     def movements(self) -> DataFrame:
-        return self._tables.balance_lines(self._months)
+        return self._tables.balance_lines()
 
     @cached_property
     def spend(self) -> Spend:
-        return self._tables.spend(self._months)
-
-
-def _panel_books(tables: RetailTables, with_country: bool = False) -> Books:
-    return RetailBooks(tables, RETAIL_STUDY.months, with_country)
-
-
-def _leader_books(tables: RetailTables) -> Books:
-    month = RETAIL_STUDY.leader_month
-    return RetailBooks(tables, MonthRange(month, month))
+        return self._tables.spend()
 
 
 def _spell_out(df: DataFrame, *amounts: str) -> DataFrame:
@@ -104,20 +100,20 @@ TABLE_QUERIES: dict[str, Callable[[RetailTables], DataFrame]] = {
         RetailBooks(t).monthly_spend_total(), ("total_spend",)
     ),
     "industry_totals": lambda t: as_doubles(
-        _leader_books(t).industry_totals(), ("total_balance", "total_spend")
+        RetailBooks(t).industry_totals(), ("total_balance", "total_spend")
     ),
-    "industry_leaders": lambda t: _leader_books(t).industry_leaders(),
+    "industry_leaders": lambda t: RetailBooks(t).industry_leaders(),
     "active_users": lambda t: RetailBooks(t).active_users(),
     "active_region_counts": lambda t: RetailBooks(t).active_region_counts(),
     "active_region_share": lambda t: RetailBooks(t).active_region_share(),
     "org_month_panel": lambda t: as_doubles(
-        _panel_books(t, with_country=True).org_month_panel(), (BALANCE, SPEND)
+        RetailBooks(t, with_country=True).org_month_panel(), (BALANCE, SPEND)
     ),
     "growth_index_state": lambda t: as_doubles(
-        _panel_books(t).growth_index_state(), ("latest_spend", "overall_growth_index")
+        RetailBooks(t).growth_index_state(), ("latest_spend", "overall_growth_index")
     ),
     "growth_index_state_industry": lambda t: as_doubles(
-        _panel_books(t).growth_index_state_industry(), ("latest_spend", "overall_growth_index")
+        RetailBooks(t).growth_index_state_industry(), ("latest_spend", "overall_growth_index")
     ),
     "check_org_pk": lambda t: contracts.duplicate_keys(t.organizations(), (ORG_ID,), primary=True),
     "check_balance_unique": lambda t: contracts.duplicate_keys(t.balances(), (ACCOUNT_ID, MONTH)),
@@ -136,25 +132,25 @@ def _segment_queries(prefix: str, segment: Segment, weights) -> dict:
     spec = RETAIL_STUDY.growth(weights)
     return {
         f"{prefix}_month_summary": lambda t: as_doubles(
-            _panel_books(t).month_summary(segment), ("balance", "spend")
+            RetailBooks(t).month_summary(segment), ("balance", "spend")
         ),
         f"{prefix}_forward_spend": lambda t: as_doubles(
-            _panel_books(t).forward_spend(segment), ("balance", "spend", "fwd2_spend", "fwd4_spend")
+            RetailBooks(t).forward_spend(segment), ("balance", "spend", "fwd2_spend", "fwd4_spend")
         ),
         f"{prefix}_anchor_averages": lambda t: as_doubles(
-            _panel_books(t).anchor_averages(segment), ("spend",)
+            RetailBooks(t).anchor_averages(segment), ("spend",)
         ),
         f"{prefix}_latest_spend": lambda t: as_doubles(
-            _panel_books(t).latest_spend(segment), ("latest_spend",)
+            RetailBooks(t).latest_spend(segment), ("latest_spend",)
         ),
         f"{prefix}_growth_ratios": lambda t: as_doubles(
-            _panel_books(t).growth_ratios(segment, spec), ("latest_spend",)
+            RetailBooks(t).growth_ratios(segment, spec), ("latest_spend",)
         ),
         f"{prefix}_growth_ranks": lambda t: as_doubles(
-            _panel_books(t).growth_ranks(segment, spec), ("latest_spend",)
+            RetailBooks(t).growth_ranks(segment, spec), ("latest_spend",)
         ),
         f"{prefix}_index_components": lambda t: as_doubles(
-            _panel_books(t).index_components(segment, spec), ("latest_spend", "growth_index")
+            RetailBooks(t).index_components(segment, spec), ("latest_spend", "growth_index")
         ),
     }
 

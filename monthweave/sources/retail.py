@@ -8,13 +8,14 @@ order priority) and its shipped lines are card spend. Amounts are whole cents
 from __future__ import annotations
 
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthweave.functions.columns import month_after, month_start
+from monthweave.functions.columns import month_start, months_later
 from monthweave.functions.money import minor_units
-from monthweave.operators.calendar import MonthRange
+from monthweave.operators.calendar import Months
 from monthweave.operators.spend import Spend
 from monthweave.schemas import ACCOUNT_ID, BALANCE, INDUSTRY, MONTH, ORG_ID, REGION, SPEND
 
@@ -35,7 +36,7 @@ COLUMNS = {
 class RetailTables:
     """Tables over a folder of customer, nation, region, orders and lineitem Parquet.
 
-    Every fact takes an optional ``MonthRange``, which becomes a date filter on the
+    Every fact takes the months wanted, which become a date filter on the
     scan. ``balance_lines`` are the movements before they are summed to a balance:
     a total or a distinct over them needs no shuffle by account first.
     """
@@ -64,7 +65,7 @@ class RetailTables:
             .select(F.col("c_custkey").alias(ORG_ID), F.col("c_mktsegment").alias(INDUSTRY), *columns)
         )
 
-    def balance_lines(self, months: MonthRange | None = None) -> DataFrame:
+    def balance_lines(self, months: Months | None = None) -> DataFrame:
         orders = _within(self._read("orders"), "o_orderdate", months)
         return orders.select(
             _month("o_orderdate", months),
@@ -73,14 +74,14 @@ class RetailTables:
             minor_units(F.col("o_totalprice")).alias(BALANCE),
         )
 
-    def balances(self, months: MonthRange | None = None) -> DataFrame:
+    def balances(self, months: Months | None = None) -> DataFrame:
         return with_account_id(
             self.balance_lines(months)
             .groupBy(MONTH, ORG_ID, "_account")
             .agg(F.sum(BALANCE).alias(BALANCE))
         )
 
-    def spend(self, months: MonthRange | None = None) -> Spend:
+    def spend(self, months: Months | None = None) -> Spend:
         """Spend by order line; a line finds its organization through its order."""
         lines = _within(self._read("lineitem"), "l_shipdate", months).select(
             F.col("l_orderkey").alias("o_orderkey"),
@@ -97,22 +98,24 @@ def with_account_id(df: DataFrame) -> DataFrame:
     return df.select(MONTH, ORG_ID, account.alias(ACCOUNT_ID), BALANCE)
 
 
-def _within(df: DataFrame, column: str, months: MonthRange | None) -> DataFrame:
+def _within(df: DataFrame, column: str, months: Months | None) -> DataFrame:
     """Filter on the stored date, so the file scan can skip what lies outside."""
     if months is None:
         return df
-    return df.where(
-        (F.col(column) >= _midnight(months.first))
-        & (F.col(column) < _midnight(month_after(months.last)))
-    )
+    day = F.col(column)
+    spans = [
+        (day >= _midnight(r.first)) & (day < _midnight(months_later(r.last, 1)))
+        for r in months.ranges()
+    ]
+    return df.where(reduce(lambda a, b: a | b, spans, F.lit(False)))
 
 
 def _midnight(day: date) -> Column:
     return F.lit(datetime(day.year, day.month, day.day).isoformat(" ")).cast("timestamp_ntz")
 
 
-def _month(column: str, months: MonthRange | None) -> Column:
+def _month(column: str, months: Months | None) -> Column:
     """The month of a date; a constant in a one-month scan, so grouping drops it."""
-    if months is not None and months.first == months.last:
-        return F.lit(months.first).alias(MONTH)
+    if months is not None and months.count() == 1:
+        return F.lit(months.ranges()[0].first).alias(MONTH)
     return month_start(column).alias(MONTH)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import random
 from collections import defaultdict
+from dataclasses import replace
 from datetime import date
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from monthweave.operators.calendar import MonthRange
+from monthweave.operators.calendar import MonthRange, MonthRanges
+from monthweave.operators.growth import AnchorWeights, GrowthSpec, growth_ratios
 from monthweave.operators.panel import Segment, org_month_panel, segment_month_summary
 from monthweave.operators.ranking import Rank, ranked_by_ranges, ranked_by_window
 from monthweave.operators.spend import Spend
@@ -136,6 +138,7 @@ def test_linked_spend_equals_direct_spend(spark):
         return {tuple(r) for r in found.select(sorted(found.columns)).collect()}
 
     assert summary(linked) == summary(direct)
+    assert summary(replace(linked, owners_first=False)) == summary(direct)
     assert {tuple(r) for r in linked.table().dropna().collect()} == {
         tuple(r) for r in direct.table().collect()
     }
@@ -188,3 +191,39 @@ def test_result_does_not_depend_on_row_order(spark):
 
     shuffled = frames[1].orderBy(F.rand(1)), frames[2].repartition(7)
     assert summary(frames[1], frames[2]) == summary(*shuffled)
+
+
+ANCHOR_CASES = [
+    ((2, 7), 11),
+    ((3, 5), 11),  # the look-ahead of the first runs into the second
+    ((2, 10), 4),  # the second looks past the end; the latest lies within the first's reach
+    ((0, 9), 13),  # first anchor and latest lie outside the calendar
+]
+
+
+@pytest.mark.parametrize("anchors,latest", ANCHOR_CASES)
+def test_months_read_give_the_ratios_of_the_full_calendar(spark, anchors, latest):
+    frames = as_frames(spark, *random_tables(10, False))
+    weights = AnchorWeights(Decimal("0.4"))
+    spec = GrowthSpec(MONTHS[latest], {MONTHS[a]: weights for a in anchors}, horizons=(1, 2))
+    segment = Segment("region_or_state", ("region_or_state",))
+
+    def ratios(months):
+        summary = segment_month_summary(
+            frames[0], frames[1], Spend(frames[2]), months, segment, with_balance=False
+        )
+        return sorted(map(tuple, growth_ratios(summary, segment.name, spec).collect()))
+
+    read = spec.months_read(STUDIED)
+    assert read.count() < STUDIED.count()
+    full = ratios(STUDIED)
+    assert ratios(read) == full and full
+
+
+def test_merged_ranges():
+    def r(a, b):
+        return MonthRange(MONTHS[a], MONTHS[b])
+
+    merged = MonthRanges.merged([r(6, 8), r(0, 2), r(3, 4), r(7, 7), r(9, 5)])
+    assert merged.ranges() == (r(0, 4), r(6, 8))
+    assert merged.count() == 8 and MonthRanges.merged([]).count() == 0

@@ -66,6 +66,7 @@ def final_plan(df) -> str:
 @pytest.mark.parametrize(
     "name,split_joins",
     [
+        ("state_month_summary", 2),
         ("growth_index_state_industry", 2),
         ("org_month_panel", 1),
         ("active_region_share", 1),

@@ -68,13 +68,19 @@ def test_order_lines_are_shuffled_once_on_their_link(spark, shuffle_joins):
     """Lines meet their owners, then shrink to segment and month: no shuffle of lines
     by organization. Both sides of the two large joins are plain shuffles, which is
     what AQE's skew split asks for."""
-    plan = plan_of(spark, "growth_index_state")
+    plan = plan_of(spark, "state_month_summary")
     joins = re.findall(r"SortMergeJoin \[(\w+?)#\w+\], \[(\w+?)#\w+\]", plan)
     assert ("o_orderkey", "o_orderkey") in joins
     assert ("organization_id", "organization_id") in joins
     lines = plan[plan.index("SortMergeJoin [o_orderkey") :]
     after = [line.lstrip(" :+-") for line in lines.splitlines()[1:3]]
     assert after[0].startswith("Sort") and after[1].startswith("Exchange hashpartitioning(o_orderkey")
-    owners = plan[plan.index("SortMergeJoin [organization_id") :]
-    sides = re.findall(r"Exchange hashpartitioning\(organization_id#\w+, 4\)", owners)
-    assert len(sides) == 2
+    owners = lines[lines.index("SortMergeJoin [organization_id") :]
+    owners = owners[: owners.index("FileScan parquet [c_custkey")]
+    assert len(re.findall(r"Exchange hashpartitioning\(organization_id#\w+, 4\)", owners)) == 2
+
+
+def test_few_months_find_the_organization_first(spark, shuffle_joins):
+    """The index reads a few months: orders are shuffled once and stay two columns wide."""
+    plan = plan_of(spark, "growth_index_state")
+    assert plan.index("SortMergeJoin [organization_id") < plan.index("SortMergeJoin [o_orderkey")
