@@ -46,13 +46,10 @@ def add_ranks(
 ) -> DataFrame:
     """Add every rank within ``group`` (the whole table if None).
 
-    ``one_task`` tells that all of ``df`` fits a single task, where what follows
-    then needs no shuffle either. ``group`` must take few values, as anchor months
-    do.
+    ``one_task`` tells that no group is too large for a single task. ``group`` must
+    take few values, as anchor months do.
     """
-    if one_task:
-        return ranked_by_window(df.repartition(1), ranks, group)
-    return ranked_by_ranges(df, ranks, group)
+    return ranked_by_window(df, ranks, group) if one_task else ranked_by_ranges(df, ranks, group)
 
 
 def ranked_by_window(df: DataFrame, ranks: Sequence[Rank], group: str | None) -> DataFrame:

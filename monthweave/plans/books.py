@@ -154,8 +154,9 @@ class Books:
     def _ratios(self, segment: Segment, spec: GrowthSpec) -> tuple[DataFrame, bool]:
         """Ratios, and whether the summary they come from fits one task.
 
-        Only the months the index depends on are read. Where the summary fits, it moves there at once: windows, ranks, the sum over the
-        anchors and the final sort then need no shuffle of their own.
+        Only the months the index depends on are read. A summary that fits one task
+        moves there at once: windows, ranks, the sum over the anchors and the final
+        sort then need no shuffle of their own.
         """
         months = spec.months_read(self.study.months)
         one_task = self._one_task(segment, rows_each=months.count())

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from monthweave.operators.calendar import MonthRange, MonthRanges
 from monthweave.operators.growth import AnchorWeights, GrowthSpec, growth_ratios
 from monthweave.operators.panel import Segment, org_month_panel, segment_month_summary
-from monthweave.operators.ranking import Rank, ranked_by_ranges, ranked_by_window
+from monthweave.operators.ranking import Rank, fits_one_task, ranked_by_ranges, ranked_by_window
 from monthweave.operators.spend import Spend
 from monthweave.operators.totals import segment_totals
 from monthweave.schemas import BALANCES, ORGANIZATIONS, SPENDING
@@ -227,3 +227,11 @@ def test_merged_ranges():
     merged = MonthRanges.merged([r(6, 8), r(0, 2), r(3, 4), r(7, 7), r(9, 5)])
     assert merged.ranges() == (r(0, 4), r(6, 8))
     assert merged.count() == 8 and MonthRanges.merged([]).count() == 0
+
+
+def test_size_check(spark):
+    few = spark.range(5000).selectExpr("id % 40 AS s")
+    assert fits_one_task(few, limit=60) and not fits_one_task(few, limit=20)
+    assert fits_one_task(few, rows_each=10, limit=600)
+    assert not fits_one_task(few, rows_each=10, limit=200)
+    assert not fits_one_task(spark.range(3_000_000).selectExpr("id AS s"))

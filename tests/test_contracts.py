@@ -38,10 +38,15 @@ def test_primary_key(spark):
     orgs = loose(
         spark,
         ORGANIZATIONS,
-        [org_row("o1", "b2b", "CA"), org_row("o1", "b2b", "UT"), org_row(None, "x", "CA"), org_row("o2", "x", "CA")],
+        [
+            org_row("o1", "b2b", "CA"),
+            org_row("o1", "b2b", "UT"),
+            org_row(None, "x", "CA"),
+            org_row("o2", "x", "CA"),
+        ],
     )
-    found = {(r.organization_id, r.n_rows) for r in duplicate_keys(orgs, ("organization_id",), True).collect()}
-    assert found == {("o1", 2), (None, 1)}
+    found = duplicate_keys(orgs, ("organization_id",), primary=True).collect()
+    assert {tuple(r) for r in found} == {("o1", 2), (None, 1)}
 
 
 def test_unique_keys_ignore_nulls(spark):
@@ -67,11 +72,12 @@ def test_unique_keys_ignore_nulls(spark):
 def test_nulls(spark):
     rows = [org_row("o1", None, "CA"), org_row("o2", None, None), org_row("o3", "b2b", "CA")]
     orgs = loose(spark, ORGANIZATIONS, rows)
-    counts = {r.column_name: r.null_rows for r in null_counts(orgs, "o", ORGANIZATIONS.required).collect()}
+    counted = null_counts(orgs, "o", ORGANIZATIONS.required).collect()
+    counts = {r.column_name: r.null_rows for r in counted}
     assert counts["industry"] == 2 and counts["region_or_state"] == 1
     assert sum(counts.values()) == 3 and "venture_capital_investors" not in counts
-    found = {r.organization_id: r.null_columns for r in null_rows(orgs, ORGANIZATIONS.required).collect()}
-    assert found == {"o1": ["industry"], "o2": ["industry", "region_or_state"]}
+    broken = null_rows(orgs, ORGANIZATIONS.required).collect()
+    assert {r.organization_id: r.null_columns for r in broken} == {"o1": ["industry"], "o2": ["industry", "region_or_state"]}
 
 
 def test_every_required_column_is_checked(spark):

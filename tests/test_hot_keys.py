@@ -105,7 +105,8 @@ def test_an_organization_with_a_third_of_all_accounts_is_split(spark, small_spli
     found = panel.collect()
     assert "skew=true" in final_plan(panel)
 
-    held = {(r[0], r[1], r[2]) for r in balances.select("organization_id", "the_month", "available_balance").collect()}
+    keys = balances.select("organization_id", "the_month", "available_balance")
+    held = {tuple(r) for r in keys.collect()}
     with_balance = {(org, month) for org, month, _ in held}
     assert len(found) == len(held) + 501 * 22 - len(with_balance)
     rows = {(r.organization_id, r.the_month, r.available_balance) for r in found}
