@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from monthweave.llm.containment import contained_items
 from monthweave.llm.exact_dedup import DigestIndex
+from monthweave.llm.near_dedup import near_duplicates
 from monthweave.llm.rendezvous import shard_texts
 from monthweave.llm.storage import shared_folder
 
@@ -23,6 +25,13 @@ def new_index(spark: SparkSession) -> DigestIndex:
     return DigestIndex.open(spark, f"{shared_folder(spark)}/digests-{uuid.uuid4().hex}")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), "item_id", "n_item", "n_shared", "containment"
+    )
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = new_index(spark).deduplicate(read(spark, sf_dir, "documents"))
     return verdicts.select(
@@ -41,12 +50,48 @@ def op3_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = near_duplicates(read(spark, sf_dir, "documents"))
+    return classes.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_rendezvous_shards": op3_rendezvous_shards,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
 }
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def shingle_ctes(table: str, key: str, name: str) -> str:
+    """CTEs ``{name}_words`` (key, words) and ``{name}_sets`` (key, shingle), the latter distinct."""
+    return f"""
+        {name}_words AS (
+          SELECT {key} AS key, list_filter(regexp_split_to_array(
+            translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words
+          FROM {table}),
+        {name}_sets AS (
+          SELECT DISTINCT key, unnest(CASE
+            WHEN len(words) = 0 THEN []
+            WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+            ELSE list_transform(range(len(words) - 4), lambda i: array_to_string(words[i + 1 : i + 5], ' '))
+          END) AS shingle
+          FROM {name}_words)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": f"""
+        WITH {shingle_ctes("documents", "doc_id", "d")}, {shingle_ctes("benchmark", "item_id", "b")},
+        sizes AS (SELECT key, count(*) AS n_item FROM b_sets GROUP BY key),
+        together AS (
+          SELECT d.key AS doc_id, b.key AS item_id, count(*) AS n_shared
+          FROM d_sets d JOIN b_sets b USING (shingle) GROUP BY ALL)
+        SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
+        FROM together JOIN sizes ON key = item_id
+        WHERE n_shared >= ceil(0.75 * n_item - 1e-9)
+    """,
     "op2_exact_dedup": r"""
         WITH bare AS (
           SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -59,4 +104,22 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
         FROM bare JOIN best USING (text_sha256)
     """,
+    "op4_minhash_near_dedup": f"""
+        WITH RECURSIVE {shingle_ctes("documents", "doc_id", "d")},
+        sizes AS (SELECT key, count(*) AS n FROM d_sets GROUP BY key),
+        together AS (
+          SELECT x.key AS a, y.key AS b, count(*) AS shared
+          FROM d_sets x JOIN d_sets y ON x.shingle = y.shingle AND x.key <> y.key
+          GROUP BY x.key, y.key),
+        links AS (
+          SELECT a, b FROM together
+          JOIN sizes s ON s.key = a JOIN sizes t ON t.key = b
+          WHERE 100 * shared >= 75 * (s.n + t.n - shared)),
+        reach(node, seen) AS (
+          SELECT key, key FROM d_words
+          UNION SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.seen),
+        least AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+        SELECT node AS doc_id, coalesce(n, 0) AS n_shingles, component_id, node = component_id AS kept
+        FROM least LEFT JOIN sizes ON key = node
+    """,
 }

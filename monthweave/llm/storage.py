@@ -1,9 +1,12 @@
-"""Where intermediate results go: only to folders that all executors share."""
+"""Where intermediate results go: only to folders that all executors share; and how
+the package reaches the Python workers."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +31,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a context, as ``--py-files`` would."""
+    context = spark.sparkContext
+    package = Path(__file__).resolve().parents[1]
+    if getattr(context, "_monthweave_shipped", False) or not package.is_dir():
+        return
+    path = Path(tempfile.mkdtemp(prefix="monthweave-code-")) / "monthweave.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(path))
+    context._monthweave_shipped = True
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, which Spark's cleaner may remove.
 
@@ -62,4 +79,5 @@ def with_row(df: DataFrame) -> DataFrame:
     The number is made of the input partition and the place in it. Reading the same
     files again gives the same numbers; rows from a shuffle must be written first.
     """
+    ship_code(df.sparkSession)
     return df.withColumn(ROW, F.monotonically_increasing_id())
