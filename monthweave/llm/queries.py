@@ -5,9 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from monthweave.llm import byte_bpe
 from monthweave.llm.containment import contained_items
 from monthweave.llm.exact_dedup import DigestIndex
 from monthweave.llm.near_dedup import near_duplicates
@@ -55,11 +57,29 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op7_byte_bpe(
+    spark: SparkSession,
+    sf_dir: str,
+    ranks: str | None = None,
+    pattern: str = public_tokenizers.PATTERN,
+) -> DataFrame:
+    path = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    shared = byte_bpe.SharedVocabulary(spark, byte_bpe.read_vocabulary(path, pattern))
+    encoded = byte_bpe.encode(read(spark, sf_dir, "documents"), shared)
+    return byte_bpe.decode(encoded, shared).select(
+        F.col("id").alias("doc_id"),
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_rendezvous_shards": op3_rendezvous_shards,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op7_byte_bpe": op7_byte_bpe,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
