@@ -6,10 +6,10 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthweave.llm import byte_bpe
+from monthweave.llm import bigru, byte_bpe
 from monthweave.llm.containment import contained_items
 from monthweave.llm.exact_dedup import DigestIndex
 from monthweave.llm.near_dedup import near_duplicates
@@ -74,12 +74,34 @@ def op7_byte_bpe(
     )
 
 
+def remainder(id_column: str, divisor: int) -> Column:
+    """crc32 of the id as text, modulo ``divisor``; a null id counts as empty text."""
+    name = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
+    return F.crc32(name.cast("binary")) % divisor
+
+
+def language_model(docs: DataFrame) -> bigru.Model | None:
+    return bigru.fit(docs.filter(remainder("doc_id", 4) != 2))
+
+
+def op8_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = bigru.identify(docs, language_model(docs))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        (remainder("id", 4) == 2).alias("held_out"),
+        "lang_pred",
+        "score",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_rendezvous_shards": op3_rendezvous_shards,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_bigru_language": op8_bigru_language,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
