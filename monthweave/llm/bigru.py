@@ -7,9 +7,8 @@ at most ``SAMPLE_DOCS`` labelled documents a language, taken by a hash of their
 and at most ``MAX_LANGUAGES`` languages, the most frequent ones.
 
 Cases: a null text or one without a letter is ``und`` with score 0. Without any labelled
-text every text is. Repeated rows are labelled each, null ids are carried along, and an empty
-table gives no rows. Ties between languages go to the first in order. Other columns
-are ignored.
+text every text is. Repeated rows are labelled each and all other columns carried along; an empty
+table gives no rows. Ties between languages go to the first in order.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from monthweave.llm.storage import ROW, with_row
+from monthweave.llm.storage import ship_code
 from monthweave.llm.words import text_bytes
 
 UNDETERMINED = "und"
@@ -282,19 +281,20 @@ def fit(
     return train(sample_of(docs, id_column, text_column, label_column))
 
 
-def _predict(model: Model | None) -> Callable:
+def _predict(model: Model | None, text_column: str) -> Callable:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known = np.asarray(batch.column("letters"))
+            known = np.asarray(batch.column("_letters"))
             labels, scores = [UNDETERMINED] * len(known), np.zeros(len(known))
             if model is not None and known.any():
-                found = pooled(model, *text_bytes(batch.column("text")))
+                found = pooled(model, *text_bytes(batch.column(text_column)))
                 best = found.argmax(1)
                 for i in np.flatnonzero(known):
                     labels[i], scores[i] = model.languages[best[i]], min(1.0, found[i, best[i]])
+            names = [n for n in batch.schema.names if n != "_letters"]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(ROW), batch.column("id"), pa.array(labels), pa.array(scores)],
-                [ROW, "id", "lang_pred", "score"],
+                [*(batch.column(n) for n in names), pa.array(labels), pa.array(scores)],
+                [*names, "lang_pred", "score"],
             )
 
     return predict
@@ -304,17 +304,11 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def identify(
-    docs: DataFrame, model: Model | None, id_column: str = "doc_id", text_column: str = "text"
-) -> DataFrame:
-    """Columns _row (place in ``docs``), id, lang_pred, score."""
-    return (
-        with_row(docs)
-        .select(
-            ROW,
-            F.col(id_column).cast("long").alias("id"),
-            F.col(text_column).alias("text"),
-            has_letter(F.col(text_column)).alias("letters"),
-        )
-        .mapInArrow(_predict(model), f"{ROW} long, id long, lang_pred string, score double")
+def identify(docs: DataFrame, model: Model | None, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` with ``lang_pred`` and ``score``, which replace columns of these names."""
+    ship_code(docs.sparkSession)
+    kept = docs.drop("lang_pred", "score", "_letters")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields]
+    return kept.withColumn("_letters", has_letter(F.col(text_column))).mapInArrow(
+        _predict(model, text_column), ", ".join([*kinds, "lang_pred string", "score double"])
     )

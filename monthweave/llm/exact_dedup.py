@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthweave.llm.storage import ROW, cut, with_row
+from monthweave.llm.storage import ROW, cut, with_row, without_rows
 
 DELETED = " \t\n\x0b\x0c\r"
 SCHEMA = "digest binary, keep_id long, keep_row long, batch string"
@@ -111,9 +111,5 @@ class DigestIndex:
         self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     ) -> DataFrame:
         """The rows of ``docs`` that ``deduplicate`` keeps, with all their columns."""
-        verdicts = self.deduplicate(docs, id_column, text_column)
-        return (
-            with_row(docs)
-            .join(verdicts.filter("kept").select(ROW), ROW, "left_semi")
-            .select(*docs.columns)
-        )
+        dropped = self.deduplicate(docs, id_column, text_column).filter(~F.col("kept"))
+        return without_rows(docs, dropped)

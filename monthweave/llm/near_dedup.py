@@ -170,7 +170,11 @@ def near_duplicates(
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
-    """Columns _row (place in ``docs``), id, n_shingles, component_id, kept."""
+    """Columns _row (place in ``docs``), id, n_shingles, component_id, stays, kept.
+
+    ``kept`` marks rows whose id is their component's, ``stays`` exactly one row of each
+    component; they differ where ids are null or repeated.
+    """
     texts = with_row(docs).select(
         ROW, F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")
     )
@@ -228,15 +232,17 @@ def near_duplicates(
 
 
 def _classes(base: DataFrame, heads: DataFrame, labels: DataFrame) -> DataFrame:
-    """Give every row the smallest id of its component."""
-    ids = base.filter("key is not null").groupBy("key").agg(F.min("id").alias("least"))
+    """Give every row the smallest id of its component and mark one row of it."""
+    first = F.struct(F.col("id").isNull().alias("no_id"), "id", F.col(ROW))
+    ids = base.filter("key is not null").groupBy("key").agg(F.min(first).alias("least"))
     named = (
         heads.join(ids, "key")
         .join(labels.withColumnRenamed("node", ROW), ROW, "left")
         .select("key", "least", F.coalesce("component", ROW).alias("component"))
     )
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_key = named.join(least, "component").select("key", "component_id")
+    least = named.groupBy("component").agg(F.min("least").alias("best"))
+    by_key = named.join(least, "component").select("key", "best")
+    alone = F.col("key").isNull()
     return (
         base.select(ROW, "id", "n_shingles", "key")
         .join(by_key, "key", "left")
@@ -244,7 +250,8 @@ def _classes(base: DataFrame, heads: DataFrame, labels: DataFrame) -> DataFrame:
             ROW,
             "id",
             "n_shingles",
-            F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+            F.when(alone, F.col("id")).otherwise(F.col("best.id")).alias("component_id"),
+            (alone | (F.col(ROW) == F.col(f"best.{ROW}"))).alias("stays"),
         )
         .withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
     )

@@ -57,14 +57,15 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
-def op7_byte_bpe(
-    spark: SparkSession,
-    sf_dir: str,
-    ranks: str | None = None,
-    pattern: str = public_tokenizers.PATTERN,
-) -> DataFrame:
+def vocabulary(
+    spark: SparkSession, ranks: str | None = None, pattern: str = public_tokenizers.PATTERN
+) -> byte_bpe.SharedVocabulary:
     path = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    shared = byte_bpe.SharedVocabulary(spark, byte_bpe.read_vocabulary(path, pattern))
+    return byte_bpe.SharedVocabulary(spark, byte_bpe.read_vocabulary(path, pattern))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
+    shared = vocabulary(spark, ranks)
     encoded = byte_bpe.encode(read(spark, sf_dir, "documents"), shared)
     return byte_bpe.decode(encoded, shared).select(
         F.col("id").alias("doc_id"),
@@ -86,10 +87,10 @@ def language_model(docs: DataFrame) -> bigru.Model | None:
 
 def op8_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    found = bigru.identify(docs, language_model(docs))
+    found = bigru.identify(docs.select("doc_id", "text"), language_model(docs))
     return found.select(
-        F.col("id").alias("doc_id"),
-        (remainder("id", 4) == 2).alias("held_out"),
+        "doc_id",
+        (remainder("doc_id", 4) == 2).alias("held_out"),
         "lang_pred",
         "score",
     )

@@ -81,3 +81,11 @@ def with_row(df: DataFrame) -> DataFrame:
     """
     ship_code(df.sparkSession)
     return df.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def without_rows(df: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose number (see ``with_row``) is not in ``dropped``.
+
+    The rows to drop are the smaller side, which Spark broadcasts if its size allows.
+    """
+    return with_row(df).join(dropped.select(ROW), ROW, "left_anti").select(*df.columns)
