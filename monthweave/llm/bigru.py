@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from monthweave.llm.storage import ship_code
-from monthweave.llm.words import text_bytes
+from monthweave.llm.words import small_batches, text_bytes
 
 UNDETERMINED = "und"
 SAMPLE_DOCS = 256
@@ -283,7 +283,7 @@ def fit(
 
 def _predict(model: Model | None, text_column: str) -> Callable:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, text_column):
             known = np.asarray(batch.column("_letters"))
             labels, scores = [UNDETERMINED] * len(known), np.zeros(len(known))
             if model is not None and known.any():

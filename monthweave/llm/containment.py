@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from monthweave.llm.storage import ROW, cut, keep, with_row
-from monthweave.llm.words import SHINGLE_WORDS, U64, shingle_sets
+from monthweave.llm.words import SHINGLE_WORDS, U64, shingle_sets, small_batches
 
 THRESHOLD = 0.75
 #: Items that need fewer shared shingles than this skip the sketch of the documents.
@@ -134,7 +134,7 @@ def _suspects(of_items, of_small_items) -> Callable:
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         large, small = of_items.value, of_small_items.value
-        for batch in batches:
+        for batch in small_batches(batches):
             places, found, bits = [], [], []
             for place, hashes in enumerate(shingle_sets(batch.column("text"))):
                 if not len(hashes):

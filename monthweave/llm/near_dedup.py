@@ -35,7 +35,7 @@ from pyspark.sql.types import IntegerType
 
 from monthweave.llm.components import connected_components
 from monthweave.llm.storage import ROW, cut, keep, with_row
-from monthweave.llm.words import U64, mixed, shingle_sets, shingles_of
+from monthweave.llm.words import U64, mixed, shingle_sets, small_batches
 
 MINIMA = 128
 BAND_ROWS = 4
@@ -80,7 +80,7 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches):
         text = batch.column("text")
         sets = list(shingle_sets(text))
         sizes = np.array([len(s) for s in sets], np.int64)
@@ -109,7 +109,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches):
         sets = [s.view(np.int64) for s in shingle_sets(batch.column("text"))]
         yield pa.RecordBatch.from_arrays(
             [batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"]

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthweave.llm import bigru, byte_bpe
+from monthweave.llm import bigru, byte_bpe, pii_crf
 from monthweave.llm.containment import contained_items
 from monthweave.llm.exact_dedup import DigestIndex
 from monthweave.llm.near_dedup import near_duplicates
@@ -57,6 +57,25 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def written(spans: str) -> Column:
+    """kind:start:end of every span, comma-joined."""
+    name = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))
+    return F.array_join(F.transform(spans, name), ",")
+
+
+def op5_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = pii_crf.find_personal_data(docs, pii_crf.fit(docs))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *(count(kind).alias(f"n_{kind}") for kind in pii_crf.KINDS),
+        F.sha2(written("base"), 256).alias("base_sha256"),
+        written("spans").alias("spans"),
+        (F.size("spans") - F.size("base")).cast("long").alias("n_added"),
+    )
+
+
 def vocabulary(
     spark: SparkSession, ranks: str | None = None, pattern: str = public_tokenizers.PATTERN
 ) -> byte_bpe.SharedVocabulary:
@@ -101,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_rendezvous_shards": op3_rendezvous_shards,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_pii_crf": op5_pii_crf,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_bigru_language": op8_bigru_language,
 }

@@ -61,6 +61,26 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[starts[0] : starts[-1]], starts - starts[0]
 
 
+def small_batches(
+    batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 21
+) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes of text, or of one longer text.
+
+    Working arrays take many times the room of the text they describe.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            yield batch
+            continue
+        starts = text_bytes(batch.column(column))[1]
+        low = 0
+        while low < batch.num_rows:
+            high = int(np.searchsorted(starts, starts[low] + limit, "right")) - 1
+            high = min(max(high, low + 1), batch.num_rows)
+            yield batch.slice(low, high - low)
+            low = high
+
+
 def word_places(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of every word; words do not reach over the start of a row."""
     if not len(data):
