@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthweave.llm import bigru, byte_bpe, pii_crf
+from monthweave.llm import bigru, byte_bpe, pii_crf, suffix_tree
 from monthweave.llm.containment import contained_items
 from monthweave.llm.exact_dedup import DigestIndex
 from monthweave.llm.near_dedup import near_duplicates
@@ -115,6 +115,20 @@ def op8_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = suffix_tree.train(docs.filter(remainder("doc_id", 7) != 2))
+    return suffix_tree.score(docs, model).select(
+        F.col("id").alias("doc_id"),
+        (remainder("id", 7) == 2).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.total).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_exact_dedup": op2_exact_dedup,
@@ -123,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii_crf": op5_pii_crf,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_bigru_language": op8_bigru_language,
+    "op10_suffix_tree_scores": op10_suffix_tree_scores,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
