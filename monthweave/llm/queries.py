@@ -13,6 +13,7 @@ from monthweave.llm import bigru, byte_bpe, pii_crf, suffix_tree
 from monthweave.llm.containment import contained_items
 from monthweave.llm.exact_dedup import DigestIndex
 from monthweave.llm.near_dedup import near_duplicates
+from monthweave.llm.quality_bayes import score_quality
 from monthweave.llm.rendezvous import shard_texts
 from monthweave.llm.storage import shared_folder
 
@@ -115,6 +116,13 @@ def op8_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select(
+        F.col("id").alias("doc_id"), "evidence", "host_rate", "path_rate", "score", "kept"
+    )
+
+
 def op10_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = suffix_tree.train(docs.filter(remainder("doc_id", 7) != 2))
@@ -137,6 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii_crf": op5_pii_crf,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_bigru_language": op8_bigru_language,
+    "op9_quality_bayes": op9_quality_bayes,
     "op10_suffix_tree_scores": op10_suffix_tree_scores,
 }
 
