@@ -16,6 +16,7 @@ from monthweave.llm.near_dedup import near_duplicates
 from monthweave.llm.quality_bayes import score_quality
 from monthweave.llm.rendezvous import shard_texts
 from monthweave.llm.storage import shared_folder
+from monthweave.llm.suffix_dedup import remove_repeats
 
 SHARDS = 24
 
@@ -77,6 +78,18 @@ def op5_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(read(spark, sf_dir, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["stop"] - s["start"])
+    return found.select(
+        F.col("id").alias("doc_id"),
+        (F.octet_length("kept") + gone).alias("n_bytes"),
+        gone.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def vocabulary(
     spark: SparkSession, ranks: str | None = None, pattern: str = public_tokenizers.PATTERN
 ) -> byte_bpe.SharedVocabulary:
@@ -143,6 +156,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_rendezvous_shards": op3_rendezvous_shards,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_pii_crf": op5_pii_crf,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_bigru_language": op8_bigru_language,
     "op9_quality_bayes": op9_quality_bayes,

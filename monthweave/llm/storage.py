@@ -3,6 +3,7 @@ the package reaches the Python workers."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -67,6 +68,12 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of frames that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a folder written by ``keep``."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
