@@ -4,15 +4,15 @@
    Equal sets are one node from here on, whatever the number of their copies.
 2. Bands of four minima put nodes into buckets. At a Jaccard similarity of 0.75 two
    nodes miss each other in all 32 bands once in 190,000 pairs.
-3. A bucket is worked off in rounds instead of in pairs. In a round, some of its nodes
-   are centers, one at first, four times as many each time; the other nodes that are not yet
-   in the center's component are compared with it: first the signatures, then, where
-   these agree well enough, the full sets. Confirmed links join components. Centers
-   have met the whole bucket and leave it; a bucket whose remaining nodes are all in
-   one component is done. So a class of n copies costs about n comparisons, yet every two
-   nodes of a bucket that end in different components were compared. Buckets full of
-   unlike nodes are the costly case: there all comparisons are needed for a whole result.
-4. Components are grown by large-star and small-star steps.
+3. Every node is compared with one hub, the node among all of its buckets that meets the most others:
+   first the signatures, then, where these agree well enough, the full sets. That is one pair a node
+   and joins nearly all that belongs together, a large group of copies around its origin included.
+4. Buckets whose nodes are now in one component are done. In the others all nodes of different
+   components are compared, on full sets, within the tasks: a matrix product counts the common
+   shingles of a block of nodes, and only the links of a spanning forest come out. A large bucket
+   is cut into blocks that meet in pairs, those of its main component only with the others, so no
+   task gets more than two blocks. Buckets of the same nodes are compared once.
+5. Components are grown by large-star and small-star steps.
 
 Cases: a null text, an empty one and one without words has no set, size 0, and is alone in
 its class. A text of fewer than five words has its whole sequence as its one shingle. Repeated
@@ -23,7 +23,7 @@ rows. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -44,7 +44,11 @@ THRESHOLD = 0.75
 #: Signatures that agree in less than this share are not compared in full: at a true
 #: similarity of 0.75 that is over five standard deviations away.
 SIGNATURE_SHARE = 0.55
-GROWTH = 4
+#: Nodes and shingles of a block.
+BLOCK_NODES = 1024
+BLOCK_SHINGLES = 1 << 20
+#: Columns of the matrix whose product is taken at once.
+COLUMNS = 2048
 #: Shingles hashed at a time; bounds the working arrays.
 PIECE = 1 << 15
 
@@ -124,46 +128,204 @@ def agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((left == right).sum(1, dtype=np.int32))
 
 
-def _pairs(members: DataFrame, round_no: int) -> tuple[DataFrame, DataFrame]:
-    """Centers of each bucket, and the distinct pairs of a center and a node of another component."""
-    slots = GROWTH**round_no
-    slot = F.pmod(F.xxhash64("node", F.lit(round_no)), F.lit(slots)) if round_no else F.lit(0)
-    picked = members.select("bucket", slot.alias("slot"), F.struct("node", "component").alias("c"))
-    centers = (
-        picked.groupBy("bucket", "slot")
-        .agg(F.min("c.node").alias("center"))
-        .select("bucket", "center")
-    )
-    named = members.select("bucket", F.col("node").alias("center"), F.col("component").alias("of"))
-    centers = named.join(centers, ["bucket", "center"], "left_semi") if round_no else centers
-    pairs = members.join(centers, "bucket").filter("node <> center")
-    if round_no:
-        pairs = pairs.filter("component <> of")
-    pairs = pairs.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"))
-    return centers.select("bucket", F.col("center").alias("node")), pairs.distinct()
+def _side(of: DataFrame, at: str, value: str) -> DataFrame:
+    return of.select(F.col("node").alias(at), F.col(value).alias(f"{value}_{at}"))
 
 
 def _confirmed(pairs: DataFrame, marks: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose signatures agree and whose full sets then reach the threshold."""
-    side = lambda of, at, value: of.select(F.col("node").alias(at), F.col(value).alias(f"{value}_{at}"))
     near = (
-        pairs.join(side(marks, "a", "mark"), "a")
-        .join(side(marks, "b", "mark"), "b")
+        pairs.join(_side(marks, "a", "mark"), "a")
+        .join(_side(marks, "b", "mark"), "b")
         .filter(agreeing("mark_a", "mark_b") >= int(SIGNATURE_SHARE * MINIMA))
         .select("a", "b")
     )
     shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
     union = F.size("shingles_a") + F.size("shingles_b") - shared
-    percent = int(round(threshold * 100))
     return (
         cut(near)
-        .join(side(sets, "a", "shingles"), "a")
-        .join(side(sets, "b", "shingles"), "b")
-        .filter(shared * 100 >= union * percent)
+        .join(_side(sets, "a", "shingles"), "a")
+        .join(_side(sets, "b", "shingles"), "b")
+        .filter(shared * 100 >= union * _percent(threshold))
         .select("a", "b")
     )
 
 
+def _percent(threshold: float) -> int:
+    return int(round(threshold * 100))
+
+
+def hub_pairs(members: DataFrame) -> DataFrame:
+    """For every node the pair with the most met node of its buckets, if that is another one."""
+    met = members.groupBy("node").agg(F.sum("met").alias("degree"))
+    ranked = members.join(met, "node").select("bucket", "node", F.struct("degree", "node").alias("rank"))
+    heads = ranked.groupBy("bucket").agg(F.max("rank").alias("head"))
+    best = (
+        members.select("bucket", "node")
+        .join(heads, "bucket")
+        .groupBy("node")
+        .agg(F.max("head").getField("node").alias("hub"))
+        .filter("node <> hub")
+    )
+    return best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+def open_cells(members: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
+    """Where nodes of different components still have to meet: columns cell, node, component, part.
+
+    A cell is a block of a bucket (part 0 only) or two blocks of it (parts 0 and 1).
+    """
+    named = members.join(labels, "node", "left").withColumn(
+        "component", F.coalesce("component", "node")
+    )
+    mark = F.xxhash64("node")
+    buckets = named.groupBy("bucket").agg(
+        F.min("component").alias("lo"),
+        F.max("component").alias("hi"),
+        F.count(F.lit(1)).alias("nodes"),
+        F.bit_xor(mark).alias("mark"),
+        F.sum(mark % 1000003).alias("mark_sum"),
+        F.min("node").alias("a"),
+        F.max("node").alias("b"),
+        F.sum("size").alias("shingles"),
+        F.max(F.struct("degree", "component")).getField("component").alias("main"),
+    )
+    different = (
+        buckets.filter("lo < hi")
+        .groupBy("nodes", "mark", "mark_sum", "a", "b")
+        .agg(
+            F.min("bucket").alias("bucket"),
+            F.first("shingles").alias("shingles"),
+            F.first("main").alias("main"),
+        )
+    )
+    two = different.filter("nodes = 2").join(tested, ["a", "b"], "left_anti")
+    open_buckets = (
+        different.filter("nodes > 2")
+        .unionByName(two)
+        .select(
+            "bucket",
+            "main",
+            F.greatest(
+                F.ceil(F.col("nodes") / BLOCK_NODES), F.ceil(F.col("shingles") / BLOCK_SHINGLES)
+            ).alias("blocks"),
+        )
+    )
+    # In a bucket of several blocks those of the main component come first and do not
+    # meet each other.
+    placed = named.join(open_buckets, "bucket").select(
+        "bucket",
+        "node",
+        "component",
+        "blocks",
+        ((F.col("component") == F.col("main")) & (F.col("blocks") > 1)).alias("is_main"),
+        F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).alias("block"),
+    )
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    mixed_cells = placed.select("*", other).filter("blocks > 1")
+    across = mixed_cells.select(
+        "bucket",
+        F.lit(1).alias("kind"),
+        F.when(F.col("is_main"), F.col("block")).otherwise(F.col("other")).alias("i"),
+        F.when(F.col("is_main"), F.col("other")).otherwise(F.col("block")).alias("j"),
+        "node",
+        "component",
+        F.when(F.col("is_main"), 0).otherwise(1).alias("part"),
+    )
+    among = placed.filter("blocks = 1").select("*", F.col("block").alias("other")).unionByName(
+        mixed_cells.filter(~F.col("is_main"))
+    ).select(
+        "bucket",
+        F.lit(0).alias("kind"),
+        F.least("block", "other").alias("i"),
+        F.greatest("block", "other").alias("j"),
+        "node",
+        "component",
+        F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("part"),
+    )
+    return across.unionByName(among).select(
+        F.struct("bucket", "kind", "i", "j").alias("cell"), "node", "component", "part"
+    )
+
+
+def linked_pairs(sets: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which of the sets reach the threshold with which, as a square of booleans."""
+    sizes = np.array([len(s) for s in sets])
+    values, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    use = counts[column] > 1
+    number = np.cumsum(counts > 1) - 1
+    row, column = row[use], number[column[use]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    width = int(column[-1]) + 1 if len(column) else 0
+    for low in range(0, width, COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        block = np.zeros((len(sets), min(COLUMNS, width - low)), np.float32)
+        block[row[a:b], column[a:b] - low] = 1
+        common += block @ block.T
+    np.fill_diagonal(common, sizes)
+    union = sizes[:, None] + sizes[None, :] - common
+    return common * 100 >= union * _percent(threshold)
+
+
+def spanning_links(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links of a forest that joins all that is linked."""
+    todo = np.ones(len(linked), bool)
+    out = []
+    for root in range(len(linked)):
+        if not todo[root]:
+            continue
+        todo[root] = False
+        queue = [root]
+        while queue:
+            x = queue.pop()
+            near = np.flatnonzero(linked[x] & todo)
+            todo[near] = False
+            out += [(x, int(y)) for y in near]
+            queue += near.tolist()
+    return out
+
+
+def _compare(threshold: float) -> Callable:
+    """Links within each cell; the rows of a cell come one after the other."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, nodes, components, parts, sets = None, [], [], [], []
+
+        def links() -> pa.RecordBatch:
+            part, component = np.array(parts), np.array(components)
+            linked = linked_pairs(sets, threshold)
+            # Links within a component are known already, except as far as the forest needs them.
+            linked &= component[:, None] != component[None, :]
+            if part.any():
+                linked &= part[:, None] != part[None, :]
+            found = spanning_links(linked)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([nodes[x] for x, _ in found], pa.int64()), pa.array([nodes[y] for _, y in found], pa.int64())],
+                ["a", "b"],
+            )
+
+        for batch in batches:
+            flat = batch.column("shingles").flatten().to_numpy(zero_copy_only=False)
+            at = np.concatenate([[0], np.cumsum(batch.column("shingles").value_lengths().to_numpy())])
+            rows = zip(*(batch.column(n).to_pylist() for n in ("cell", "node", "component", "part")))
+            for k, (mine, node, component, part) in enumerate(rows):
+                if mine != cell and nodes:
+                    yield links()
+                    nodes, components, parts, sets = [], [], [], []
+                cell = mine
+                nodes.append(node)
+                components.append(component)
+                parts.append(part)
+                sets.append(flat[at[k] : at[k + 1]])
+        if nodes:
+            yield links()
+
+    return compare
+
+
 def near_duplicates(
     docs: DataFrame,
     threshold: float = THRESHOLD,
@@ -187,47 +349,30 @@ def near_duplicates(
     )
     heads = base.filter("key is not null").groupBy("key").agg(F.min(ROW).alias(ROW))
     nodes = base.join(heads.select(ROW), ROW, "left_semi").withColumnRenamed(ROW, "node")
-    entries = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-    members = keep(
-        entries.join(shared.filter("lo < hi").select("bucket"), "bucket").select(
-            "bucket", "node", F.col("node").alias("component")
-        ),
-        "buckets",
-    )
+    entries = nodes.select("node", F.col("n_shingles").alias("size"), F.explode("bands").alias("bucket"))
+    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("met")).filter("met > 1")
+    members = keep(entries.join(shared, "bucket"), "buckets")
     met = cut(members.select("node").distinct())
-    marks = nodes.select("node", "mark")
     sets = keep(
         texts.select(F.col(ROW).alias("node"), "text")
         .join(met, "node", "left_semi")
         .mapInArrow(_sets, "node long, shingles array<long>"),
         "sets",
     )
-    labels = met.select("node", F.col("node").alias("component")).limit(0)
-    links, tested, round_no = None, None, 0
-    while not members.isEmpty():
-        centers, pairs = _pairs(members, round_no)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = cut(_confirmed(pairs, marks, sets, threshold))
-        links = found if links is None else links.unionByName(found)
-        labels = cut(connected_components(links))
-        left = members.drop("component").join(centers, ["bucket", "node"], "left_anti")
-        left = left.join(labels, "node", "left").withColumn(
-            "component", F.coalesce("component", "node")
-        )
-        open_buckets = (
-            left.groupBy("bucket")
-            .agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-            .filter("lo < hi")
-        )
-        members = keep(
-            left.join(open_buckets.select("bucket"), "bucket").select("bucket", "node", "component"),
-            "buckets",
-        )
-        round_no += 1
+    tested = cut(hub_pairs(members))
+    links = cut(_confirmed(tested, nodes.select("node", "mark"), sets, threshold))
+    labels = cut(connected_components(links))
+    degrees = members.groupBy("node").agg(F.sum("met").alias("degree"))
+    cells = open_cells(members.join(degrees, "node"), labels, tested)
+    more = cut(
+        cells.join(sets, "node")
+        .select(F.xxhash64("cell").alias("cell"), "node", "component", "part", "shingles")
+        .repartition("cell")
+        .sortWithinPartitions("cell")
+        .mapInArrow(_compare(threshold), "a long, b long")
+    )
+    if not more.isEmpty():
+        labels = cut(connected_components(links.unionByName(more)))
     return _classes(base, heads, labels)
 
 

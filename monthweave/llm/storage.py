@@ -93,6 +93,8 @@ def with_row(df: DataFrame) -> DataFrame:
 def without_rows(df: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows of ``df`` whose number (see ``with_row``) is not in ``dropped``.
 
-    The rows to drop are the smaller side, which Spark broadcasts if its size allows.
+    The rows to drop are the smaller side, which Spark broadcasts if its size allows. A column
+    of ``df`` that has the number's name is kept as it is.
     """
-    return with_row(df).join(dropped.select(ROW), ROW, "left_anti").select(*df.columns)
+    whole = df.select(F.struct("*").alias("_whole"))
+    return with_row(whole).join(dropped.select(ROW), ROW, "left_anti").select("_whole.*")

@@ -1,0 +1,68 @@
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+
+from monthweave.llm.containment import contained_items, is_minimum, least_bits
+from tests.llm.cases import SHARED, TEXTS, changed, messy, nothing, random_text, shingles
+
+
+def items_of(spark, rows):
+    df = spark.createDataFrame(rows, "item_id long, text string")
+    return df.selectExpr("*", "'z' AS doc_id", "1 AS item", "2 AS _row", "'q' AS id")
+
+
+def expected(docs, items, threshold=0.75):
+    held = [(i, shingles(t)) for i, t in docs]
+    out = []
+    for item, text in items:
+        s = shingles(text)
+        for doc, d in held:
+            if s and len(s & d) >= threshold * len(s) - 1e-9:
+                out.append((doc, item, len(s), len(s & d)))
+    return sorted(out, key=repr)
+
+
+def found(df):
+    return sorted(((r.id, r.item_id, r.n_item, r.n_shared) for r in df.collect()), key=repr)
+
+
+ITEMS = [(1, SHARED), (2, None), (3, ""), (4, "one"), (5, "quick brown fox jumps over the lazy"), (6, "  "), (6, "one"), (None, "x y")]
+
+
+def test_messy_rows(spark):
+    pairs = contained_items(messy(spark), items_of(spark, ITEMS))
+    assert found(pairs) == expected(TEXTS, ITEMS)
+    assert all(r.containment == r.n_shared / r.n_item for r in pairs.collect())
+
+
+def test_empty_tables(spark):
+    none = items_of(spark, []).limit(0)
+    assert contained_items(messy(spark), none).count() == 0
+    assert contained_items(nothing(spark), items_of(spark, ITEMS)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_scattered_and_long(spark, seed):
+    rnd = random.Random(seed)
+    items = [(i, random_text(rnd, rnd.randrange(1, 70), 3000)) for i in range(60)]
+    docs = []
+    for i in range(80):
+        parts = [random_text(rnd, rnd.choice([3, 40, 4000]), 3000) for _ in range(3)]
+        for _ in range(rnd.randrange(3)):
+            item = rnd.choice(items)[1]
+            w = item.split(" ")
+            parts.insert(1, changed(rnd, item, rnd.randrange(0, 1 + len(w) // 12)))
+        docs.append((i, " ".join(parts)))
+    got = found(contained_items(messy(spark, docs), items_of(spark, items)))
+    assert got == expected(docs, items) and got
+
+
+def test_least_bits_tell_when_a_hash_is_a_minimum():
+    hashes = np.sort(np.random.default_rng(1).integers(0, 2**63, 300, dtype=np.uint64) * np.uint64(2))
+    hashes[1:4] = hashes[0] + np.arange(1, 4, dtype=np.uint64)
+    bits = least_bits(hashes)
+    for k in range(1, 20):
+        assert ((bits <= k) == is_minimum(hashes, k)).all()

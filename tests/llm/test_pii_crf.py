@@ -1,0 +1,99 @@
+from __future__ import annotations
+
+import itertools
+import random
+import re
+
+import numpy as np
+import pytest
+
+from monthweave.llm import pii_crf
+from tests.llm.cases import TEXTS, messy, nothing
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(text):
+    d = [int(c) for c in text if c.isdigit()][::-1]
+    return 14 <= len(d) <= 19 and sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d)) % 10 == 0
+
+
+def right(kind, text):
+    if kind == "ip":
+        return all(int(x) <= 255 for x in text.split("."))
+    if kind == "card":
+        return luhn(text)
+    return kind == "email" or 10 <= sum(c.isdigit() for c in text) <= 15
+
+
+def expected(text):
+    found = [(k, m.start(), m.end()) for k, p in PATTERNS.items() for m in re.finditer(p, text) if right(k, m.group())]
+    return sorted(found, key=lambda s: (s[1], pii_crf.KINDS.index(s[0])))
+
+
+def test_patterns():
+    rnd = random.Random(5)
+    bits = ["@", ".", "a", "b@c.d", "1", "23", "+1 (", " ", "-", "4111 1111 1111 1111", "é", "255.1.", "%", "8", "0000"]
+    for _ in range(20000):
+        text = "".join(rnd.choice(bits) for _ in range(rnd.randrange(18)))
+        assert pii_crf.pattern_spans(text) == expected(text), text
+
+
+def test_long_runs_stay_cheap():
+    text = "a" * 200_000 + " " + "1" * 200_000 + " " + "+1(" * 60_000 + "@" * 50_000 + "1." * 50_000
+    assert pii_crf.pattern_spans(text) is not None
+    assert pii_crf.pattern_spans("1.2.3." + "9" * 5000) == []
+
+
+@pytest.fixture(scope="module")
+def field(spark):
+    return pii_crf.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+
+
+def test_viterbi_is_the_best_path(field):
+    text = "mail ab@c.de or\ncall +1 (555) 123-4567 now 10.0.0.1"
+    data = np.frombuffer(text.encode(), np.uint8)
+    words = pii_crf.shapes(data, np.array([0, len(data)]))
+    got, scores = pii_crf.viterbi(field, words), field.scores(words.features)
+    for low, high in zip(words.line_starts[:-1], words.line_starts[1:]):
+        def value(path):
+            steps = sum(field.step[a, b] for a, b in zip(path, path[1:]))
+            return field.begin[path[0]] + steps + sum(scores[low + i, k] for i, k in enumerate(path))
+
+        best = max(itertools.product(range(len(pii_crf.LABELS)), repeat=min(high - low, 5)), key=value) if high - low <= 5 else None
+        if best is not None:
+            assert abs(value(best) - value(tuple(got[low:high]))) < 1e-3
+
+
+def test_field_finds_what_the_patterns_find(field):
+    texts = ["write to jane.doe@mail.example.com today", "the host 10.20.30.40 is down", "call +1 (415) 555-2671 please"]
+    for text, kind in zip(texts, ("email", "ip", "phone")):
+        data = np.frombuffer(text.encode(), np.uint8)
+        found = pii_crf.added_spans(field, data, np.array([0, len(data)]))
+        assert [s[0] for s in found.get(0, [])] == [kind]
+    clean = "nothing of that kind in this Line, nor in CAPS; see (there)."
+    data = np.frombuffer(clean.encode(), np.uint8)
+    assert pii_crf.added_spans(field, data, np.array([0, len(data)])) == {}
+
+
+def test_rows(spark, field):
+    rows = TEXTS + [(20, "é ab@c.de 1234 5678 9012 3456 4111 1111 1111 1111"), (21, "+1 415 555 26711\n+14155552671")]
+    found = pii_crf.find_personal_data(messy(spark, rows), field).collect()
+    assert len(found) == len(rows)
+    texts = dict(rows)
+    for r in found:
+        if r.id is not None:
+            base = [tuple(s) for s in r.base]
+            assert base == expected(texts[r.id] or "")
+            spans = [tuple(s) for s in r.spans]
+            assert set(base) <= set(spans)
+            assert spans == sorted(spans, key=lambda s: (s[1], pii_crf.KINDS.index(s[0])))
+            assert all(0 <= a < b <= len(texts[r.id]) for _, a, b in spans)
+    assert pii_crf.find_personal_data(nothing(spark), field).count() == 0
+    assert pii_crf.fit(nothing(spark)) is None
+    assert all(r.base == r.spans for r in pii_crf.find_personal_data(messy(spark, rows), None).collect())
