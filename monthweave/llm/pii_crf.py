@@ -115,6 +115,8 @@ _DIGIT_ENDS = np.array([0, 1, 2, 3, 4, 6, 9, 13, 19])
 _LENGTH_ENDS = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24])
 #: Values of each feature; the last one of the neighbour features stands for none.
 SIZES = (1024, 10 * 5, 10 * 10, 10 * 10, 41, 41)
+#: The first feature is a set of classes, whose weights add up, so that new sets get a score too.
+_MEMBERS = (np.arange(SIZES[0])[:, None] >> np.arange(10) & 1).astype(np.float64)
 
 
 @dataclass(frozen=True)
@@ -225,13 +227,14 @@ def train(features: np.ndarray, labels: np.ndarray, valid: np.ndarray) -> Field:
     The gradient is the observed counts less the expected ones of forward and backward sums.
     """
     k, (n, width) = len(LABELS), labels.shape
-    weights = [np.zeros((s, k)) for s in SIZES] + [np.zeros((k, k)), np.zeros(k)]
+    weights = [np.zeros((s, k)) for s in (10, *SIZES[1:])] + [np.zeros((k, k)), np.zeros(k)]
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     one = np.eye(k)[labels] * valid[:, :, None]
     pairs = valid[:, 1:] & valid[:, :-1]
     seen_step = np.einsum("nti,ntj->ij", one[:, :-1], one[:, 1:] * pairs[:, :, None])
     for step_no in range(1, STEPS + 1):
-        *emit, step, begin = weights
+        classes, *emit, step, begin = weights
+        emit = [_MEMBERS @ classes, *emit]
         score = sum(w[f] for w, f in zip(emit, features))
         alpha, beta = np.empty((n, width, k)), np.zeros((n, width, k))
         alpha[:, 0] = score[:, 0] + begin
@@ -252,12 +255,14 @@ def train(features: np.ndarray, labels: np.ndarray, valid: np.ndarray) -> Field:
             g = np.zeros((size, k))
             np.add.at(g, values.ravel(), miss.reshape(-1, k))
             grads.append(g)
+        grads[0] = _MEMBERS.T @ grads[0]
         grads += [seen_step - expected_step, miss[:, 0].sum(0)]
         for w, g, m, v in zip(weights, grads, first, second):
             g = g / n - DECAY * w
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             w += RATE * (m / (1 - 0.9**step_no)) / (np.sqrt(v / (1 - 0.99**step_no)) + 1e-8)
+    weights[0] = _MEMBERS @ weights[0]
     *emit, step, begin = (w.astype(np.float32) for w in weights)
     return Field(tuple(emit), step, begin)
 

@@ -330,7 +330,7 @@ def tree_scores(machine: Automaton, symbols: np.ndarray, begins: np.ndarray, dep
         if t >= depth:
             total[:n] += logs.take(at)
         state[:n] = moves.take(at)
-    return np.bincount(row, total, len(sizes))
+    return np.bincount(row, total, len(sizes)).astype(float)  # whole numbers if there are no rows
 
 
 _machines: dict[int, Automaton] = {}
@@ -361,7 +361,7 @@ def _score(tree, head) -> Callable:
             row = np.repeat(np.arange(len(sizes)), sizes)
             place = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
             hit = known[place] == words if len(known) else np.zeros(len(words), bool)
-            sums = np.bincount(row[hit], gains[place[hit]], len(sizes))
+            sums = np.bincount(row[hit], gains[place[hit]], len(sizes)).astype(float)
             found = np.bincount(row[hit], minlength=len(sizes))
             rest, row = words[~hit].view(np.int64), row[~hit]
             order = np.lexsort((rest, row))
