@@ -39,6 +39,8 @@ GROUP_STRINGS = 2048
 PIECE_WINDOWS = 16
 #: Bytes of the segments in a block.
 BLOCK_BYTES = 1 << 20
+#: Segments a task knows to have sent; it starts afresh when they are more.
+REMEMBERED = 300_000
 #: Bytes whose anchors are found at a time; places within must fit PLACE_BITS.
 SPAN = 1 << 17
 PLACE_BITS = 18
@@ -119,12 +121,15 @@ def _digest(*parts: bytes) -> int:
 
 
 def _segments(length: int) -> Callable:
-    """Cut the segments out; of equal ones in a batch only the first carries its bytes."""
+    """Cut the segments out; of equal ones in a task only the first carries its bytes, or the
+    first since the task last forgot what it had seen."""
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in small_batches(batches):
             out: list[tuple] = []
-            seen: set[tuple[int, int]] = set()
+            if len(seen) > REMEMBERED:
+                seen.clear()
             for row, text, anchors, runs in zip(
                 batch.column(ROW).to_pylist(),
                 batch.column("text"),
