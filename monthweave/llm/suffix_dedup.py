@@ -38,7 +38,7 @@ ANCHOR_SHARE = 0.4
 GROUP_STRINGS = 2048
 PIECE_WINDOWS = 16
 #: Bytes of the segments in a block.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 17
 #: Segments a task knows to have sent; it starts afresh when they are more.
 REMEMBERED = 300_000
 #: Bytes whose anchors are found at a time; places within must fit PLACE_BITS.
