@@ -3,8 +3,10 @@
 Sums over large tables run on whole minor units (cents) held in a bigint: the
 sum is exact, stays in generated code and shuffles 8 bytes per value, where a
 decimal sum allocates an object per row. Decimals come back once the rows have
-been reduced. A bigint sum holds 9.2e16 units of two decimal places and, in
-Spark's default ANSI mode, overflow fails the job and never wraps.
+been reduced. A bigint sum holds 9.2e16 units of two decimal places; ``check_overflow``
+makes sure that the session fails on overflow and never wraps. Amounts that are no
+amounts fail the job too: NaN, infinity, what a double holds less exactly than a minor
+unit, and decimals with a remainder below it.
 """
 
 from __future__ import annotations
@@ -12,14 +14,30 @@ from __future__ import annotations
 from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Doubles beyond this many minor units have no place for halves.
+LARGEST = float(2**52)
+
+
+def check_overflow(spark: SparkSession) -> None:
+    """Refuse a session in which a sum of minor units may wrap."""
+    if spark.conf.get("spark.sql.ansi.enabled", "true").lower() != "true":
+        raise RuntimeError("exact sums need spark.sql.ansi.enabled")
+
+
 def minor_units(col: Column, scale: int = 2) -> Column:
-    """Whole minor units of a double that holds at most ``scale`` decimal places."""
-    return F.floor(col * F.lit(float(10**scale)) + F.lit(0.5))
+    """Whole minor units of a double, halves away from zero.
+
+    NaN is larger than any limit to Spark, so one comparison refuses all that is no amount.
+    """
+    units = F.abs(col) * F.lit(float(10**scale))
+    whole = F.floor(units + F.lit(0.5))
+    bad = F.raise_error(F.concat(F.lit("no exact amount: "), col.cast("string"))).cast("bigint")
+    return F.when(units > F.lit(LARGEST), bad).when(col < 0, -whole).otherwise(whole)
 
 
 def decimal_from_minor(col: Column, scale: int = 2) -> Column:
@@ -28,10 +46,17 @@ def decimal_from_minor(col: Column, scale: int = 2) -> Column:
 
 
 def with_minor_units(df: DataFrame, columns: Sequence[str], scale: int = 2) -> DataFrame:
-    """Turn decimal columns into whole minor units, to make the sums over them cheap."""
-    return df.withColumns(
-        {c: (F.col(c) * F.lit(10**scale)).cast("bigint") for c in columns}
-    )
+    """Turn decimal columns into whole minor units, to make the sums over them cheap.
+
+    A remainder below a minor unit fails the job.
+    """
+
+    def units(name: str) -> Column:
+        whole = (F.col(name) * F.lit(10**scale)).cast("bigint")
+        bad = F.raise_error(F.concat(F.lit(f"{name} has a remainder: "), F.col(name).cast("string")))
+        return F.when(whole != F.col(name) * F.lit(10**scale), bad.cast("bigint")).otherwise(whole)
+
+    return df.withColumns({c: units(c) for c in columns})
 
 
 def with_decimals(df: DataFrame, columns: Sequence[str], scale: int = 2) -> DataFrame:

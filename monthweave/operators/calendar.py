@@ -21,6 +21,10 @@ class MonthRange:
     first: date
     last: date
 
+    def __post_init__(self):
+        if self.first.day != 1 or self.last.day != 1:
+            raise ValueError("a month range runs from a first of the month to another")
+
     def ranges(self) -> tuple[MonthRange, ...]:
         return (self,) if self.first <= self.last else ()
 
@@ -35,7 +39,13 @@ class MonthRange:
         return F.sequence(F.lit(self.first), F.lit(self.last), F.expr("interval 1 month"))
 
     def covers(self, col: Column) -> Column:
-        return col.between(F.lit(self.first), F.lit(self.last))
+        """Whether a date is one of the months; other days of a month are not."""
+        return _within(self.ranges(), col)
+
+
+def _within(ranges: tuple[MonthRange, ...], col: Column) -> Column:
+    spans = [col.between(F.lit(r.first), F.lit(r.last)) for r in ranges]
+    return reduce(lambda a, b: a | b, spans, F.lit(False)) & (month_start(col) == col)
 
 
 @dataclass(frozen=True)
@@ -66,15 +76,21 @@ class MonthRanges:
         return F.concat(*[r.dates() for r in self.parts])
 
     def covers(self, col: Column) -> Column:
-        return reduce(lambda a, b: a | b, [r.covers(col) for r in self.parts], F.lit(False))
+        return _within(self.parts, col)
 
 
 Months = MonthRange | MonthRanges
 
 
-def month_bounds(df: DataFrame, month: str = MONTH) -> DataFrame:
-    """One row: first and last month found."""
-    return df.agg(F.min(month).alias("first_month"), F.max(month).alias("last_month"))
+def month_bounds(df: DataFrame, month: str = MONTH, rounded: bool = False) -> DataFrame:
+    """One row: first and last month found.
+
+    ``rounded`` is for a column of days: the two results are rounded down, not every row.
+    """
+    found = df.agg(F.min(month).alias("first_month"), F.max(month).alias("last_month"))
+    if not rounded:
+        return found
+    return found.select(*[month_start(c).alias(c) for c in found.columns])
 
 
 def calendar_spine(spark: SparkSession, months: Months) -> DataFrame:

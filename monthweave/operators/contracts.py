@@ -36,6 +36,27 @@ def null_counts(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
     return counted.select(F.lit(table).alias("table_name"), F.inline(pairs))
 
 
+def off_calendar(df: DataFrame, table: str, month: str) -> DataFrame:
+    """One row: how many rows are dated another day than the first of a month.
+
+    No question over months counts them.
+    """
+    other = F.trunc(month, "month") != F.col(month)
+    return df.agg(F.count_if(other).alias("off_calendar_rows"), F.count(F.lit(1)).alias("all_rows")).select(
+        F.lit(table).alias("table_name"), "off_calendar_rows", "all_rows"
+    )
+
+
+def orphans(facts: DataFrame, dim: DataFrame, key: str) -> DataFrame:
+    """Keys of ``facts`` that ``dim`` does not have, with their row count; a null is none."""
+    return (
+        facts.where(F.col(key).isNotNull())
+        .groupBy(key)
+        .agg(F.count(F.lit(1)).alias("n_rows"))
+        .join(dim.select(key).distinct(), key, "left_anti")
+    )
+
+
 def null_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows with a null in a required column, with the names of those columns."""
     missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in columns]))

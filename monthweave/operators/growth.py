@@ -30,7 +30,7 @@ class GrowthSpec:
     """Settings of a growth index.
 
     ``weights`` names the anchor months. ``missing`` stands in for an unknown
-    value when ranking, below all real ones. A higher rank means more growth.
+    value when ranking; with amounts that are not negative it lies below all real ones. A higher rank means more growth.
     """
 
     latest: date
@@ -135,16 +135,14 @@ def growth_ratios(summary: DataFrame, segment: str, spec: GrowthSpec) -> DataFra
     )
 
 
-def growth_ranks(
-    ratios: DataFrame, segment: str, spec: GrowthSpec, one_task: bool
-) -> DataFrame:
+def growth_ranks(ratios: DataFrame, segment: str, spec: GrowthSpec) -> DataFrame:
     """Ascending ranks of latest spend and of each ratio among all segments of an anchor."""
     measures = ["latest_spend", *[f"ratio{h}" for h in spec.horizons]]
     keyed = ratios.withColumns(
         {f"_by_{m}": F.coalesce(F.col(m), F.lit(spec.missing)) for m in measures}
     )
     ranked = add_ranks(
-        keyed, [Rank(f"rank_{m}", f"_by_{m}") for m in measures], group=MONTH, one_task=one_task
+        keyed, [Rank(f"rank_{m}", f"_by_{m}") for m in measures], key=(segment, MONTH), group=MONTH
     )
     return ranked.select(segment, MONTH, *measures, *[f"rank_{m}" for m in measures])
 

@@ -68,7 +68,9 @@ def org_month_panel(
 
     with_balance = held.join(orgs, ORG_ID).select(ORG_ID, *kept, MONTH, BALANCE, spend_of_month)
 
-    held_months = held.groupBy(ORG_ID).agg(F.collect_set(MONTH).alias("_held"))
+    # A list, not a set: Spark would take the distinct out from under a set, and then
+    # read and shuffle the balances a second time.
+    held_months = held.groupBy(ORG_ID).agg(F.collect_list(MONTH).alias("_held"))
     gaps = orgs.join(held_months, ORG_ID, "left")
     if months.count():
         none_held = F.array().cast("array<date>")
@@ -150,7 +152,8 @@ def _with_month_map(
     the id that follows shuffles both of its sides. Only such joins let AQE split
     an organization that holds a large part of the other side.
     """
-    bucket = F.pmod(F.hash(ORG_ID), F.lit(1024)).alias("_bucket")
+    # Never null, so no null filter sets one use of the balances apart from another.
+    bucket = F.hash(ORG_ID).bitwiseAND(1023).alias("_bucket")
     maps = (
         by_month.select(ORG_ID, bucket, F.struct(MONTH, value).alias("_entry"))
         .groupBy(ORG_ID, "_bucket")

@@ -1,9 +1,8 @@
-"""Exact ``rank()`` over groups of any size.
+"""Exact ``rank()`` over groups of any size, in one plan for all sizes.
 
-A rank window sends a whole group to one task. That is right for a few thousand
-segments and wrong for billions, so ``fits_one_task`` looks first: up to
-``ONE_TASK_ROWS`` rows take the window, more take ``ranked_by_ranges``, which
-gives the same ranks from range-sized pieces.
+A rank window over a whole group would send it to one task. Here each group is cut into
+value ranges by a fixed scale. A value's rank is the rows of earlier ranges plus its
+rank within its own. Only one row for each range meets the others of its group.
 """
 
 from __future__ import annotations
@@ -11,14 +10,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from monthweave.functions.lineage import cut_lineage
-
-ONE_TASK_ROWS = 1_000_000
-RANGES = 256
+#: Ranges for each unit of the natural logarithm of one plus a value: neighbouring ranges
+#: are a thousandth apart, so a group has some thousand ranges whatever its size.
+RANGES_PER_LOG = 1024
 
 
 @dataclass(frozen=True)
@@ -30,90 +28,45 @@ class Rank:
     descending: bool = False
 
 
-def fits_one_task(keys: DataFrame, rows_each: int = 1, limit: int = ONE_TASK_ROWS) -> bool:
-    """Whether the distinct values of a one-column table, ``rows_each`` rows for each,
-    stay within ``limit``.
-
-    The count is a sketch of fixed size with five percent error: it picks between
-    two exact ways, so it need not be exact itself.
-    """
-    [(found,)] = keys.agg(F.approx_count_distinct(keys.columns[0])).collect()
-    return found * max(rows_each, 1) <= limit
+def value_range(value: Column) -> Column:
+    """The number of a value's range; it never falls as the value grows."""
+    size = F.floor(F.log1p(F.abs(value.cast("double"))) * RANGES_PER_LOG)
+    return F.when(value < 0, -size - 1).otherwise(size)
 
 
 def add_ranks(
-    df: DataFrame, ranks: Sequence[Rank], group: str | None, one_task: bool
+    df: DataFrame, ranks: Sequence[Rank], key: Sequence[str], group: str | None = None
 ) -> DataFrame:
     """Add every rank within ``group`` (the whole table if None).
 
-    ``one_task`` tells that no group is too large for a single task. ``group`` must
-    take few values, as anchor months do.
-    """
-    return ranked_by_window(df, ranks, group) if one_task else ranked_by_ranges(df, ranks, group)
-
-
-def ranked_by_window(df: DataFrame, ranks: Sequence[Rank], group: str | None) -> DataFrame:
-    part = W.partitionBy(group) if group else W.partitionBy()
-    return df.withColumns(
-        {r.output: F.rank().over(part.orderBy(_order(r))).cast("bigint") for r in ranks}
-    )
-
-
-def ranked_by_ranges(
-    df: DataFrame, ranks: Sequence[Rank], group: str | None, ranges: int = RANGES
-) -> DataFrame:
-    """Same result as the window, with every group cut into value ranges.
-
-    Ties are counted before any sort. Quantiles of the distinct values split each
-    group into ``ranges`` pieces; a value's rank is the rows in earlier pieces
-    plus the rows before it in its own piece plus one.
+    ``key`` tells rows apart. Every row becomes one row a rank, all ranks are found in
+    one pass, and the rows are put together again.
     """
-    key = "_rank_group"
-    base = cut_lineage(df.withColumn(key, F.col(group) if group else F.lit(0)))
-    out = base
-    for r in ranks:
-        out = out.join(_rank_table(base, key, r, ranges), [key, r.value])
-    return out.select(*df.columns, *[r.output for r in ranks])
-
-
-def _rank_table(base: DataFrame, key: str, rank: Rank, ranges: int) -> DataFrame:
-    value = rank.value
-    counted = base.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
-    cuts = [i / ranges for i in range(1, ranges)]
-    splits = counted.groupBy(key).agg(
-        F.percentile_approx(value, cuts, 100 * ranges).alias("_splits")
-    )
-    # One row per group of at most `ranges` numbers, and groups are few by contract.
-    placed = counted.join(F.broadcast(splits), key).select(
-        key,
-        value,
-        "_n",
-        F.size(F.filter("_splits", lambda s: s < F.col(value))).alias("_range"),
+    in_group = F.col(group) if group else F.lit(0)
+    row = F.struct(*df.columns)
+    measures = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("measure"),
+                (-value_range(F.col(r.value)) if r.descending else value_range(F.col(r.value))).alias("range"),
+                # One column a rank, since their types differ; the others stay null.
+                *[F.when(F.lit(i == j), F.col(q.value)).alias(f"v{j}") for j, q in enumerate(ranks)],
+            )
+            for i, r in enumerate(ranks)
+        ]
     )
-    before = (W.unboundedPreceding, -1)
-    piece_order = F.desc("_range") if rank.descending else F.asc("_range")
-    starts = (
-        placed.groupBy(key, "_range")
-        .agg(F.sum("_n").alias("_rows"))
-        .select(
-            key,
-            "_range",
-            F.coalesce(
-                F.sum("_rows").over(W.partitionBy(key).orderBy(piece_order).rowsBetween(*before)),
-                F.lit(0),
-            ).alias("_start"),
-        )
+    rows = df.select(in_group.alias("_group"), row.alias("_row"), F.inline(measures))
+    counted = rows.groupBy("_group", "measure", "range").agg(F.count(F.lit(1)).alias("_rows"))
+    before = W.partitionBy("_group", "measure").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    starts = counted.select(
+        "_group", "measure", "range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start")
     )
-    in_piece = W.partitionBy(key, "_range").orderBy(_order(rank)).rowsBetween(*before)
-    return placed.join(F.broadcast(starts), [key, "_range"]).select(
-        key,
-        value,
-        (F.col("_start") + F.coalesce(F.sum("_n").over(in_piece), F.lit(0)) + 1)
-        .cast("bigint")
-        .alias(rank.output),
+    order = [F.desc(f"v{j}") if r.descending else F.asc(f"v{j}") for j, r in enumerate(ranks)]
+    within = W.partitionBy("_group", "measure", "range").orderBy(*order)
+    placed = rows.withColumn("_place", F.rank().over(within)).join(starts, ["_group", "measure", "range"])
+    rank = (F.col("_start") + F.col("_place")).cast("bigint")
+    together = placed.groupBy(*[F.col(f"_row.{k}").alias(f"_key_{k}") for k in key]).agg(
+        F.any_value("_row").alias("_row"),
+        *[F.max(F.when(F.col("measure") == i, rank)).alias(r.output) for i, r in enumerate(ranks)],
     )
-
-
-def _order(rank: Rank):
-    col = F.col(rank.value)
-    return col.desc_nulls_last() if rank.descending else col.asc_nulls_last()
+    return together.select("_row.*", *[r.output for r in ranks])

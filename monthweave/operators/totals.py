@@ -52,7 +52,7 @@ def segment_totals(
     )
 
 
-def leaders(totals: DataFrame, segment: str, one_task: bool) -> DataFrame:
+def leaders(totals: DataFrame, segment: str) -> DataFrame:
     """Segments that rank first on balance or on spend, with both ranks; ties stay."""
     ranked = add_ranks(
         totals,
@@ -60,8 +60,7 @@ def leaders(totals: DataFrame, segment: str, one_task: bool) -> DataFrame:
             Rank("balance_rank", "total_balance", descending=True),
             Rank("spend_rank", "total_spend", descending=True),
         ],
-        group=None,
-        one_task=one_task,
+        key=(segment,),
     )
     first = (F.col("balance_rank") == 1) | (F.col("spend_rank") == 1)
     return ranked.where(first).select(segment, "balance_rank", "spend_rank")

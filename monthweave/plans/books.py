@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from monthweave.functions.money import with_decimals
-from monthweave.operators import activity, calendar, growth, panel, ranking, totals
+from monthweave.operators import activity, calendar, growth, panel, totals
 from monthweave.operators.calendar import MonthRange, Months
 from monthweave.operators.growth import GrowthSpec
 from monthweave.operators.panel import Segment
@@ -46,17 +46,16 @@ class Books:
         self.cents = cents
         self.movements = balances if movements is None else movements
 
-    def facts(self, months: Months) -> tuple[DataFrame, Spend]:
-        """Balances and spend of at least ``months``; operators filter what they read."""
+    def facts(self, months: Months, few: bool = False) -> tuple[DataFrame, Spend]:
+        """Balances and spend of at least ``months``; operators filter what they read.
+
+        ``few`` says that the question reads a small part of the calendar.
+        """
         return self.balances, self.spend
 
     def _amounts(self, df: DataFrame, *columns: str) -> DataFrame:
         return with_decimals(df, columns) if self.cents else df
 
-    def _one_task(self, segment: Segment, rows_each: int = 1) -> bool:
-        segments = self.organizations.select(segment.column().alias("segment"))
-        return ranking.fits_one_task(segments, rows_each)
-
     def calendar_spine(self) -> DataFrame:
         return calendar.spine_over([self.movements, self.spend.rows])
 
@@ -72,15 +71,14 @@ class Books:
 
     def industry_totals(self) -> DataFrame:
         month = self.study.leader_month
-        balances, spend = self.facts(MonthRange(month, month))
+        balances, spend = self.facts(MonthRange(month, month), few=True)
         found = totals.segment_totals(
             self.organizations, balances, spend.by_org(), INDUSTRY, month
         )
         return self._amounts(found, "total_balance", "total_spend")
 
     def industry_leaders(self) -> DataFrame:
-        one_task = self._one_task(Segment(INDUSTRY, (INDUSTRY,)))
-        return totals.leaders(self.industry_totals(), INDUSTRY, one_task)
+        return totals.leaders(self.industry_totals(), INDUSTRY)
 
     def active_users(self) -> DataFrame:
         return activity.active_users(self.movements, self.spend)
@@ -102,8 +100,9 @@ class Books:
     def month_summary(
         self, segment: Segment, with_balance: bool = True, months: Months | None = None
     ) -> DataFrame:
+        few = months is not None
         months = self.study.months if months is None else months
-        balances, spend = self.facts(months)
+        balances, spend = self.facts(months, few)
         summary = panel.segment_month_summary(
             self.organizations, balances, spend, months, segment, with_balance
         )
@@ -129,11 +128,13 @@ class Books:
         return growth.snapshot_at(summary, segment.name, latest)
 
     def growth_ratios(self, segment: Segment, spec: GrowthSpec) -> DataFrame:
-        return self._ratios(segment, spec)[0]
+        """Only the months that the index depends on are read."""
+        months = spec.months_read(self.study.months)
+        summary = self.month_summary(segment, with_balance=False, months=months)
+        return growth.growth_ratios(summary, segment.name, spec)
 
     def growth_ranks(self, segment: Segment, spec: GrowthSpec) -> DataFrame:
-        ratios, one_task = self._ratios(segment, spec)
-        return growth.growth_ranks(ratios, segment.name, spec, one_task)
+        return growth.growth_ranks(self.growth_ratios(segment, spec), segment.name, spec)
 
     def index_components(self, segment: Segment, spec: GrowthSpec) -> DataFrame:
         return growth.index_components(self.growth_ranks(segment, spec), segment.name, spec)
@@ -150,17 +151,3 @@ class Books:
 
     def growth_index_state_industry(self) -> DataFrame:
         return self.growth_index(STATE_INDUSTRY, self.study.growth(STATE_INDUSTRY_WEIGHTS))
-
-    def _ratios(self, segment: Segment, spec: GrowthSpec) -> tuple[DataFrame, bool]:
-        """Ratios, and whether the summary they come from fits one task.
-
-        Only the months the index depends on are read. A summary that fits one task
-        moves there at once: windows, ranks, the sum over the anchors and the final
-        sort then need no shuffle of their own.
-        """
-        months = spec.months_read(self.study.months)
-        one_task = self._one_task(segment, rows_each=months.count())
-        summary = self.month_summary(segment, with_balance=False, months=months)
-        if one_task:
-            summary = summary.repartition(1)
-        return growth.growth_ratios(summary, segment.name, spec), one_task

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,11 +37,10 @@ class RetailBooks(Books):
         self.study = RETAIL_STUDY
         self.cents = True
 
-    def facts(self, months: Months) -> tuple[DataFrame, Spend]:
-        """Limited at the scan. An order has a few lines, so lines of half the calendar
-        or more outnumber the orders."""
-        most = 2 * months.count() >= self.study.months.count()
-        spend = replace(self._tables.spend(months), owners_first=most)
+    def facts(self, months: Months, few: bool = False) -> tuple[DataFrame, Spend]:
+        """Limited at the scan. An order has a few lines, so the lines of the whole calendar
+        outnumber the orders, those of a few months do not."""
+        spend = replace(self._tables.spend(months), owners_first=not few)
         return self._tables.balances(months), spend
 
     @cached_property
@@ -66,20 +65,51 @@ def _spell_out(df: DataFrame, *amounts: str) -> DataFrame:
 
 
 def _nulls(t: RetailTables) -> DataFrame:
-    orgs = t.organizations(with_country=True)
-    return (
-        contracts.null_counts(orgs, "organizations", (ORG_ID, INDUSTRY, REGION, "country"))
-        .unionByName(
-            contracts.null_counts(t.balances(), "balances", (MONTH, ORG_ID, ACCOUNT_ID, BALANCE))
-        )
-        .unionByName(contracts.null_counts(t.spend().table(), "spend", (ORG_ID, MONTH, SPEND)))
+    """Counted on the rows as they are read: a sum would hide a null beside an amount."""
+    lines = with_account_id(t.balance_lines())
+    parts = (
+        (t.organizations(with_country=True), "organizations", (ORG_ID, INDUSTRY, REGION, "country")),
+        (lines, "balances", (MONTH, ORG_ID, ACCOUNT_ID, BALANCE)),
+        (t.spend().by_org(), "spend", (ORG_ID, MONTH, SPEND)),
+        (RetailBooks(t).calendar_spine(), "calendar", (MONTH,)),
     )
+    return reduce(DataFrame.unionByName, [contracts.null_counts(*p) for p in parts])
+
+
+def _violations(df: DataFrame, table: str, key: tuple[str, ...], **limits) -> DataFrame:
+    """Violations of any table under the same columns."""
+    row_key = F.concat_ws(" ", *[F.col(k).cast("string") for k in key]).alias("row_key")
+    found = contracts.limit_violations(df, key, **limits)
+    return found.select(F.lit(table).alias("table_name"), row_key, "column_name", "declared", "value")
+
+
+# Tighter than the data, so that these checks do report rows.
+TEXT_LIMIT, ACCOUNT_LIMIT, AMOUNT_LIMIT = 8, 5, (8, 2)
+
+
+def _lengths(t: RetailTables) -> DataFrame:
+    texts = dict.fromkeys((INDUSTRY, REGION, "country"), TEXT_LIMIT)
+    orgs = _violations(t.organizations(with_country=True), "organizations", (ORG_ID,), lengths=texts)
+    accounts = _violations(
+        t.balances(), "balances", (ACCOUNT_ID, MONTH), lengths={ACCOUNT_ID: ACCOUNT_LIMIT}
+    )
+    return orgs.unionByName(accounts)
 
 
 def _amounts_in_range(t: RetailTables) -> DataFrame:
     balances = with_decimals(t.balances(), (BALANCE,))
-    found = contracts.limit_violations(balances, (ACCOUNT_ID, MONTH), decimals={BALANCE: (8, 2)})
-    return found.withColumn("value", F.col("value").cast("double"))
+    spend = with_decimals(t.spend().table(), (SPEND,))
+    found = _violations(balances, "balances", (ACCOUNT_ID, MONTH), decimals={BALANCE: AMOUNT_LIMIT})
+    return found.unionByName(
+        _violations(spend, "spend", (ORG_ID, MONTH), decimals={SPEND: AMOUNT_LIMIT})
+    )
+
+
+def _off_calendar(t: RetailTables) -> DataFrame:
+    days = t.dated()
+    return contracts.off_calendar(days.balance_lines(), "balances", MONTH).unionByName(
+        contracts.off_calendar(days.spend().rows, "spend", MONTH)
+    )
 
 
 def _duplicate_balance_lines(t: RetailTables) -> DataFrame:
@@ -90,8 +120,8 @@ TABLE_QUERIES: dict[str, Callable[[RetailTables], DataFrame]] = {
     "scan_organizations": lambda t: t.organizations(with_country=True),
     "scan_balances": lambda t: _spell_out(t.balances(), BALANCE),
     "scan_spend": lambda t: _spell_out(t.spend().table(), SPEND),
-    "month_bounds_balances": lambda t: calendar.month_bounds(t.balance_lines()),
-    "month_bounds_spend": lambda t: calendar.month_bounds(t.spend().rows),
+    "month_bounds_balances": lambda t: calendar.month_bounds(t.dated().balance_lines(), rounded=True),
+    "month_bounds_spend": lambda t: calendar.month_bounds(t.dated().spend().rows, rounded=True),
     "calendar_spine": lambda t: RetailBooks(t).calendar_spine(),
     "monthly_balance_total": lambda t: as_doubles(
         RetailBooks(t).monthly_balance_total(), ("total_balance",)
@@ -109,6 +139,13 @@ TABLE_QUERIES: dict[str, Callable[[RetailTables], DataFrame]] = {
     "org_month_panel": lambda t: as_doubles(
         RetailBooks(t, with_country=True).org_month_panel(), (BALANCE, SPEND)
     ),
+    # Days instead of months: only what is dated the first of a month counts.
+    "org_month_panel_dated": lambda t: as_doubles(
+        RetailBooks(t.dated(), with_country=True).org_month_panel(), (BALANCE, SPEND)
+    ),
+    "state_month_summary_dated": lambda t: as_doubles(
+        RetailBooks(t.dated()).month_summary(STATE), ("balance", "spend")
+    ),
     "growth_index_state": lambda t: as_doubles(
         RetailBooks(t).growth_index_state(), ("latest_spend", "overall_growth_index")
     ),
@@ -116,15 +153,15 @@ TABLE_QUERIES: dict[str, Callable[[RetailTables], DataFrame]] = {
         RetailBooks(t).growth_index_state_industry(), ("latest_spend", "overall_growth_index")
     ),
     "check_org_pk": lambda t: contracts.duplicate_keys(t.organizations(), (ORG_ID,), primary=True),
-    "check_balance_unique": lambda t: contracts.duplicate_keys(t.balances(), (ACCOUNT_ID, MONTH)),
-    "check_spend_unique": lambda t: contracts.duplicate_keys(t.spend().table(), (ORG_ID, MONTH)),
+    # Rows of one day, before anything is summed.
+    "check_balance_unique": lambda t: _duplicate_balance_lines(t.dated()),
+    "check_spend_unique": lambda t: contracts.duplicate_keys(t.dated().spend().by_org(), (ORG_ID, MONTH)),
     "check_balance_lines_unique": _duplicate_balance_lines,
     "check_spend_lines_unique": lambda t: contracts.duplicate_keys(t.spend().by_org(), (ORG_ID, MONTH)),
     "check_nulls": _nulls,
-    "check_lengths": lambda t: contracts.limit_violations(
-        t.organizations(), (ORG_ID,), lengths={INDUSTRY: 8, REGION: 8}
-    ),
+    "check_lengths": _lengths,
     "check_amounts": _amounts_in_range,
+    "check_first_of_month": _off_calendar,
 }
 
 

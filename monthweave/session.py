@@ -23,6 +23,8 @@ def build_session(
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # Sums of whole cents fail on overflow.
+        .config("spark.sql.ansi.enabled", "true")
         # Room for the generated code of many queries, so repeats need not compile.
         .config("spark.sql.codegen.cache.maxEntries", "2000")
         # Recording the Python call site of each expression takes longer than

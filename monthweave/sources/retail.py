@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monthweave.functions.columns import month_start, months_later
-from monthweave.functions.money import minor_units
+from monthweave.functions.money import check_overflow, minor_units
 from monthweave.operators.calendar import Months
 from monthweave.operators.spend import Spend
 from monthweave.schemas import ACCOUNT_ID, BALANCE, INDUSTRY, MONTH, ORG_ID, REGION, SPEND
@@ -38,12 +38,26 @@ class RetailTables:
 
     Every fact takes the months wanted, which become a date filter on the
     scan. ``balance_lines`` are the movements before they are summed to a balance:
-    a total or a distinct over them needs no shuffle by account first.
+    a total or a distinct over them needs no shuffle by account first. With ``dated`` facts
+    keep their days in the month column instead of being rounded down to months.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, dated: bool = False):
+        check_overflow(spark)
         self._spark = spark
         self._folder = folder
+        self._dated = dated
+
+    def dated(self) -> RetailTables:
+        return RetailTables(self._spark, self._folder, dated=True)
+
+    def _month(self, column: str, months: Months | None) -> Column:
+        """The month of a date; a constant in a one-month scan, so grouping drops it."""
+        if self._dated:
+            return F.to_date(column).alias(MONTH)
+        if months is not None and months.count() == 1:
+            return F.lit(months.ranges()[0].first).alias(MONTH)
+        return month_start(column).alias(MONTH)
 
     def _read(self, name: str) -> DataFrame:
         return self._spark.read.schema(COLUMNS[name]).parquet(f"{self._folder}/{name}.parquet")
@@ -68,7 +82,7 @@ class RetailTables:
     def balance_lines(self, months: Months | None = None) -> DataFrame:
         orders = _within(self._read("orders"), "o_orderdate", months)
         return orders.select(
-            _month("o_orderdate", months),
+            self._month("o_orderdate", months),
             F.col("o_custkey").alias(ORG_ID),
             F.left("o_orderpriority", F.lit(1)).alias("_account"),
             minor_units(F.col("o_totalprice")).alias(BALANCE),
@@ -85,7 +99,7 @@ class RetailTables:
         """Spend by order line; a line finds its organization through its order."""
         lines = _within(self._read("lineitem"), "l_shipdate", months).select(
             F.col("l_orderkey").alias("o_orderkey"),
-            _month("l_shipdate", months),
+            self._month("l_shipdate", months),
             minor_units(F.col("l_extendedprice")).alias(SPEND),
         )
         owners = self._read("orders").select("o_orderkey", F.col("o_custkey").alias(ORG_ID))
@@ -113,9 +127,3 @@ def _within(df: DataFrame, column: str, months: Months | None) -> DataFrame:
 def _midnight(day: date) -> Column:
     return F.lit(datetime(day.year, day.month, day.day).isoformat(" ")).cast("timestamp_ntz")
 
-
-def _month(column: str, months: Months | None) -> Column:
-    """The month of a date; a constant in a one-month scan, so grouping drops it."""
-    if months is not None and months.count() == 1:
-        return F.lit(months.ranges()[0].first).alias(MONTH)
-    return month_start(column).alias(MONTH)

@@ -14,7 +14,10 @@ def read_table(
 ) -> DataFrame:
     """Scan ``table`` from files of format ``fmt`` (parquet, orc, csv, json)."""
     if fmt == "csv":
-        options = {"header": "true", "mode": "FAILFAST", **options}
+        options = {"header": "true", **options}
+    if fmt in ("csv", "json"):
+        # A broken row fails the job; it would come back as nulls otherwise.
+        options = {"mode": "FAILFAST", **options}
     return spark.read.format(fmt).schema(table.schema).options(**options).load(path)
 
 

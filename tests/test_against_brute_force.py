@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from monthweave.operators.calendar import MonthRange, MonthRanges
 from monthweave.operators.growth import AnchorWeights, GrowthSpec, growth_ratios
 from monthweave.operators.panel import Segment, org_month_panel, segment_month_summary
-from monthweave.operators.ranking import Rank, fits_one_task, ranked_by_ranges, ranked_by_window
+from monthweave.operators.ranking import Rank, add_ranks, value_range
 from monthweave.operators.spend import Spend
 from monthweave.operators.totals import segment_totals
 from monthweave.schemas import BALANCES, ORGANIZATIONS, SPENDING
@@ -167,7 +167,7 @@ def test_null_text_in_a_segment_counts_as_empty(spark):
 
 @pytest.mark.parametrize("descending", [False, True])
 @pytest.mark.parametrize("group", [None, "g"])
-def test_ranks_by_ranges_equal_window_ranks(spark, group, descending):
+def test_ranks_count_the_values_before(spark, group, descending):
     """A third of the rows tie on one value, as segments without spend do."""
     rng = random.Random(8)
     data = [
@@ -176,9 +176,20 @@ def test_ranks_by_ranges_equal_window_ranks(spark, group, descending):
     ]
     df = spark.createDataFrame(data, "id long, g string, v double, w long")
     ranks = [Rank("rv", "v", descending), Rank("rw", "w", descending)]
-    want = ranked_by_window(df, ranks, group).orderBy("id").collect()
-    got = ranked_by_ranges(df, ranks, group, ranges=16).orderBy("id").collect()
-    assert want == got
+    found = {r.id: (r.rv, r.rw) for r in add_ranks(df, ranks, ("id",), group).collect()}
+    sign = -1 if descending else 1
+    for i, g, v, w in data[::37]:
+        peers = [d for d in data if group is None or d[1] == g]
+        want = tuple(1 + sum(sign * d[k] < sign * x for d in peers) for k, x in ((2, v), (3, w)))
+        assert found[i] == want
+    assert len(found) == len(data)
+
+
+def test_ranges_follow_the_values(spark):
+    values = sorted([-1e9, -99.0, -1.5, -1e-9, 0.0, 1e-9, 0.5, 0.5001, 1.0, 2.0, 1e6, 1e6 + 1, 1e15])
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    found = [r[0] for r in df.select(value_range(F.col("v")), "v").orderBy("v").collect()]
+    assert found == sorted(found) and found[0] < found[4] < found[-1]
 
 
 def test_result_does_not_depend_on_row_order(spark):
@@ -229,9 +240,30 @@ def test_merged_ranges():
     assert merged.count() == 8 and MonthRanges.merged([]).count() == 0
 
 
-def test_size_check(spark):
-    few = spark.range(5000).selectExpr("id % 40 AS s")
-    assert fits_one_task(few, limit=60) and not fits_one_task(few, limit=20)
-    assert fits_one_task(few, rows_each=10, limit=600)
-    assert not fits_one_task(few, rows_each=10, limit=200)
-    assert not fits_one_task(spark.range(3_000_000).selectExpr("id AS s"))
+def test_ranges_need_first_of_month_ends():
+    with pytest.raises(ValueError):
+        MonthRange(date(2020, 1, 15), date(2020, 3, 1))
+    with pytest.raises(ValueError):
+        MonthRange(date(2020, 1, 1), date(2020, 3, 31))
+
+
+def test_rows_of_another_day_belong_to_no_month(spark):
+    orgs = spark.createDataFrame([("o", "CA")], "organization_id string, region_or_state string")
+    balances = spark.createDataFrame(
+        [(date(2020, 1, 15), "o", "a", 5)],
+        "the_month date, organization_id string, account_id string, available_balance long",
+    )
+    spend = spark.createDataFrame(
+        [("o", date(2020, 1, 15), 7)],
+        "organization_id string, the_month date, debit_card_spend_that_month long",
+    )
+    months = MonthRange(date(2020, 1, 1), date(2020, 3, 1))
+    panel = org_month_panel(orgs, balances, Spend(spend), months).collect()
+    assert sorted((r.the_month.month, r.available_balance, r.debit_card_spend_that_month) for r in panel) == [
+        (1, 0, 0), (2, 0, 0), (3, 0, 0),
+    ]
+    segment = Segment("region_or_state", ("region_or_state",))
+    found = segment_month_summary(orgs, balances, Spend(spend), months, segment).collect()
+    assert sorted((r.the_month.month, r.balance, r.spend, r.customers) for r in found) == [
+        (1, 0, 0, 1), (2, 0, 0, 1), (3, 0, 0, 1),
+    ]

@@ -117,15 +117,3 @@ def test_an_organization_with_a_third_of_all_accounts_is_split(spark, small_spli
     summary = books.month_summary(STATE)
     rolled = summarise_panel(panel, STATE).select(summary.columns)
     assert sorted(map(tuple, summary.collect())) == sorted(map(tuple, rolled.collect()))
-
-
-def test_many_segments_take_the_ranged_ranks(spark, monkeypatch):
-    """The way for more segments than one task takes gives the same index."""
-    folder = "/root/testdata/sf0.001"
-    query = contract.queries()["growth_index_state_industry"]
-    small = [tuple(r) for r in query(spark, folder).collect()]
-    leaders = contract.queries()["industry_leaders"]
-    few = sorted(tuple(r) for r in leaders(spark, folder).collect())
-    monkeypatch.setattr(Books, "_one_task", lambda self, segment, rows_each=1: False)
-    assert [tuple(r) for r in query(spark, folder).collect()] == small
-    assert sorted(tuple(r) for r in leaders(spark, folder).collect()) == few

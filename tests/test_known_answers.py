@@ -166,10 +166,9 @@ EXPECTED_RANKS = [
 ]
 
 
-@pytest.mark.parametrize("one_task", [True, False])
-def test_growth_ranks(books, one_task):
+def test_growth_ranks(books):
     spec = ACCOUNT_STUDY.growth(STATE_WEIGHTS)
-    ranks = growth.growth_ranks(books.growth_ratios(STATE, spec), STATE.name, spec, one_task)
+    ranks = growth.growth_ranks(books.growth_ratios(STATE, spec), STATE.name, spec)
     assert sorted(rows(ranks)) == EXPECTED_RANKS
 
 
@@ -195,7 +194,7 @@ def test_growth_index_state_industry(books):
 
 def test_index_is_zero_at_other_months(books):
     spec = ACCOUNT_STUDY.growth(STATE_WEIGHTS)
-    ranks = growth.growth_ranks(books.growth_ratios(STATE, spec), STATE.name, spec, True)
+    ranks = growth.growth_ranks(books.growth_ratios(STATE, spec), STATE.name, spec)
     moved = ranks.withColumn("the_month", F.add_months("the_month", 1))
     found = growth.index_components(moved, STATE.name, spec)
     assert {float(r.growth_index) for r in found.collect()} == {0.0}

@@ -9,9 +9,11 @@ import pytest
 
 import __spark_entry__ as contract
 from check_oracle import duckdb_rows, duckdb_tables, normalised
+from monthweave.plans import retail
+from oracles.retail import oracle_sql
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-NAMES = sorted(contract.queries())
+NAMES = sorted(retail.queries())
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +22,8 @@ def con():
 
 
 def test_every_query_has_a_twin():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(retail.queries()) == set(oracle_sql())
+    assert set(NAMES) <= set(contract.queries()) and set(NAMES) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -84,3 +87,33 @@ def test_few_months_find_the_organization_first(spark, shuffle_joins):
     """The index reads a few months: orders are shuffled once and stay two columns wide."""
     plan = plan_of(spark, "growth_index_state")
     assert plan.index("SortMergeJoin [organization_id") < plan.index("SortMergeJoin [o_orderkey")
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_building_a_query_starts_no_job(spark, name):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", name)
+    before = set(tracker.getJobIdsForGroup("building"))
+    contract.queries()[name](spark, FOLDER)
+    after = set(tracker.getJobIdsForGroup("building"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert after == before
+
+
+def scans(spark, name: str, marker: str) -> int:
+    """Scans of a table that are run, those behind a reused exchange counted once."""
+    df = contract.queries()[name](spark, FOLDER)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+    return len(re.findall(rf"FileScan parquet \[[^\]]*{marker}", final))
+
+
+@pytest.mark.parametrize("name", ["growth_index_state", "growth_index_state_industry"])
+def test_ranks_read_the_lines_once(spark, shuffle_joins, name):
+    assert scans(spark, name, "l_extendedprice") == 1
+
+
+@pytest.mark.parametrize("name", ["org_month_panel", "state_month_summary"])
+def test_balances_are_read_once(spark, shuffle_joins, name):
+    assert scans(spark, name, "o_totalprice") == 1

@@ -49,3 +49,17 @@ def test_null_in_a_required_column_is_refused(spark):
 def test_month_range_count():
     assert MonthRange(month("2019-12"), month("2020-02")).count() == 3
     assert MonthRange(month("2020-02"), month("2019-12")).count() == 0
+
+
+@pytest.mark.parametrize("fmt, good, bad", [
+    ("json", '{"organization_id": "o1", "the_month": "2020-01-01", "debit_card_spend_that_month": 1.5}', '{"organization_id": "o1", "the_month": "2020-01-01", "debit_card_spend_that_month": "x"}'),
+    ("json", '{"organization_id": "o1", "the_month": "2020-01-01", "debit_card_spend_that_month": 1.5}', '{"organization_id": '),
+    ("csv", "o1,2020-01-01,1.50", "o1,2020-01-01,x"),
+])
+def test_a_broken_row_fails_the_job(spark, tmp_path, fmt, good, bad):
+    header = "organization_id,the_month,debit_card_spend_that_month\n" if fmt == "csv" else ""
+    (tmp_path / "good").write_text(f"{header}{good}\n")
+    assert read_table(spark, SPENDING, str(tmp_path / "good"), fmt).count() == 1
+    (tmp_path / "bad").write_text(f"{header}{good}\n{bad}\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_table(spark, SPENDING, str(tmp_path / "bad"), fmt).collect()
