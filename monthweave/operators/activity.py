@@ -25,12 +25,39 @@ def active_region_counts(
     before the distinct, where linked spend gets it through its owners; each
     (organization, month) is then there once and plain counts are distinct counts.
     """
-    members = dim.where(F.upper(region_column) == F.lit(region.upper())).select(
-        ORG_ID, F.lit(True).alias("_in_region")
-    )
+    members = _members(dim, region, region_column)
     active = _active(
         balances.join(members, ORG_ID, "left"), spend.joined_to(members, "left"), "_in_region"
     )
+    return _counts(active)
+
+
+def linked_region_counts(
+    owners: DataFrame, rows: DataFrame, link: str, dim: DataFrame, region: str, region_column: str = REGION
+) -> DataFrame:
+    """The same where each balance movement owns spend rows: ``owners`` has one row a link
+    with organization, month and balance, ``rows`` have the link, month and spend.
+
+    Owners get their mark once and are shuffled once for it. Rows shrink to the set of months of
+    their link, no longer than the calendar, before they meet their owner, so a
+    link that holds most of them is one row. Rows without an owner count no one.
+    """
+    marked = owners.join(_members(dim, region, region_column), ORG_ID, "left")
+    spent = rows.where(F.col(SPEND).isNotNull()).groupBy(link).agg(F.collect_set(MONTH).alias("_spent"))
+    none = F.array().cast("array<date>")
+    held = F.when(F.col(BALANCE).isNotNull(), F.array(MONTH)).otherwise(none)
+    months = F.array_union(F.coalesce("_spent", none), held)
+    both = marked.join(spent, link, "full_outer")
+    return _counts(both.select(ORG_ID, "_in_region", F.explode(months).alias(MONTH)).distinct())
+
+
+def _members(dim: DataFrame, region: str, region_column: str) -> DataFrame:
+    return dim.where(F.upper(region_column) == F.lit(region.upper())).select(
+        ORG_ID, F.lit(True).alias("_in_region")
+    )
+
+
+def _counts(active: DataFrame) -> DataFrame:
     return active.groupBy(MONTH).agg(
         F.count(ORG_ID).alias("active_users"), F.count("_in_region").alias("region_users")
     )

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from monthweave.functions.columns import ratio
 from monthweave.functions.money import with_decimals
 from monthweave.operators import activity, calendar, growth, panel, totals
 from monthweave.operators.calendar import MonthRange, Months
@@ -18,7 +20,7 @@ from monthweave.plans.settings import (
     STATE_WEIGHTS,
     Study,
 )
-from monthweave.schemas import BALANCE, INDUSTRY, SPEND
+from monthweave.schemas import BALANCE, INDUSTRY, MONTH, SPEND
 
 
 class Books:
@@ -108,6 +110,27 @@ class Books:
         )
         return self._amounts(summary, *(["balance"] if with_balance else []), "spend")
 
+    def spend_over_balance(self, segment: Segment) -> DataFrame:
+        """Spend per unit of balance by segment and month, null without a balance."""
+        return self.month_summary(segment).select(
+            segment.name, MONTH, "balance", "spend",
+            ratio(F.col("spend"), F.col("balance")).alias("spend_over_balance"),
+        )
+
+    def top_average_balances(self, segment: Segment, top: int = 5) -> DataFrame:
+        """The segments of the largest balance per organization in the latest month, best first.
+
+        Equal averages are put in the order of their names.
+        """
+        latest = self.study.latest
+        summary = self.month_summary(segment, months=MonthRange(latest, latest))
+        average = ratio(F.col("balance"), F.col("customers")).alias("average_balance")
+        return (
+            summary.select(segment.name, "balance", "customers", average)
+            .orderBy(F.col("average_balance").desc_nulls_last(), segment.name)
+            .limit(top)
+        )
+
     def forward_spend(self, segment: Segment) -> DataFrame:
         return growth.forward_sums(self.month_summary(segment), segment.name)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monthweave.functions.money import as_doubles, with_decimals
-from monthweave.operators import calendar, contracts
+from monthweave.operators import activity, calendar, contracts
 from monthweave.operators.calendar import Months
 from monthweave.operators.panel import Segment
 from monthweave.operators.spend import Spend
@@ -43,6 +43,13 @@ class RetailBooks(Books):
         spend = replace(self._tables.spend(months), owners_first=not few)
         return self._tables.balances(months), spend
 
+    def active_region_counts(self) -> DataFrame:
+        """Orders are movements and owners of lines at once, so they are read once."""
+        orders, lines = self._tables.orders_and_lines()
+        return activity.linked_region_counts(
+            orders, lines, "o_orderkey", self.organizations, self.study.share_region
+        )
+
     @cached_property
     def organizations(self) -> DataFrame:
         return self._tables.organizations(self._with_country)
@@ -136,6 +143,13 @@ TABLE_QUERIES: dict[str, Callable[[RetailTables], DataFrame]] = {
     "active_users": lambda t: RetailBooks(t).active_users(),
     "active_region_counts": lambda t: RetailBooks(t).active_region_counts(),
     "active_region_share": lambda t: RetailBooks(t).active_region_share(),
+    # The spend of a segment's month over its balance, as a chart of both would show it.
+    "state_spend_over_balance": lambda t: as_doubles(
+        RetailBooks(t).spend_over_balance(STATE), ("balance", "spend")
+    ),
+    "top_states_by_average_balance": lambda t: as_doubles(
+        RetailBooks(t).top_average_balances(STATE), ("balance",)
+    ),
     "org_month_panel": lambda t: as_doubles(
         RetailBooks(t, with_country=True).org_month_panel(), (BALANCE, SPEND)
     ),

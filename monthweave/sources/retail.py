@@ -95,6 +95,16 @@ class RetailTables:
             .agg(F.sum(BALANCE).alias(BALANCE))
         )
 
+    def orders_and_lines(self) -> tuple[DataFrame, DataFrame]:
+        """All movements with their order key, and all lines with that of their order."""
+        orders = self._read("orders").select(
+            "o_orderkey",
+            F.col("o_custkey").alias(ORG_ID),
+            self._month("o_orderdate", None),
+            minor_units(F.col("o_totalprice")).alias(BALANCE),
+        )
+        return orders, self.spend().rows
+
     def spend(self, months: Months | None = None) -> Spend:
         """Spend by order line; a line finds its organization through its order."""
         lines = _within(self._read("lineitem"), "l_shipdate", months).select(
