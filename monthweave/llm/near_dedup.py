@@ -175,8 +175,10 @@ def open_cells(members: DataFrame, labels: DataFrame, tested: DataFrame) -> Data
 
     A cell is a block of a bucket (part 0 only) or two blocks of it (parts 0 and 1).
     """
-    named = members.join(labels, "node", "left").withColumn(
-        "component", F.coalesce("component", "node")
+    named = cut(
+        members.join(labels, "node", "left").withColumn(
+            "component", F.coalesce("component", "node")
+        )
     )
     mark = F.xxhash64("node")
     buckets = named.groupBy("bucket").agg(
@@ -213,13 +215,15 @@ def open_cells(members: DataFrame, labels: DataFrame, tested: DataFrame) -> Data
     )
     # In a bucket of several blocks those of the main component come first and do not
     # meet each other.
-    placed = named.join(open_buckets, "bucket").select(
-        "bucket",
-        "node",
-        "component",
-        "blocks",
-        ((F.col("component") == F.col("main")) & (F.col("blocks") > 1)).alias("is_main"),
-        F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).alias("block"),
+    placed = cut(
+        named.join(open_buckets, "bucket").select(
+            "bucket",
+            "node",
+            "component",
+            "blocks",
+            ((F.col("component") == F.col("main")) & (F.col("blocks") > 1)).alias("is_main"),
+            F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).alias("block"),
+        )
     )
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     mixed_cells = placed.select("*", other).filter("blocks > 1")
