@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from monthweave.llm.storage import ship_code
+from monthweave.llm.storage import hash_below, ship_code
 from monthweave.llm.words import small_batches, text_bytes
 
 UNDETERMINED = "und"
@@ -251,19 +251,25 @@ def sample_of(docs: DataFrame, id_column: str, text_column: str, label_column: s
     """Bounded (text window, label) pairs of labelled rows, by a hash of the ids."""
     mark = F.xxhash64(F.col(id_column), F.lit("sample"))
     named = docs.filter(F.col(label_column).isNotNull())
-    common = [
-        r[0]
+    common = {
+        r[0]: r[1]
         for r in named.groupBy(label_column)
         .agg(F.count(F.lit(1)).alias("n"))
         .orderBy(F.desc("n"), label_column)
         .limit(MAX_LANGUAGES)
         .collect()
-    ]
-    ranked = named.select(F.col(id_column).alias("id"), F.col(label_column).alias("label")).withColumn(
-        "place", F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("id", F.lit("sample")), "id"))
+    }
+    label, order = F.col("label"), F.xxhash64("id", F.lit("sample"))
+    few = F.lit(False)
+    for language, n in common.items():
+        few = few | ((label == language) & hash_below(order, SAMPLE_DOCS, n))
+    ranked = (
+        named.select(F.col(id_column).alias("id"), F.col(label_column).alias("label"))
+        .filter(few)
+        .withColumn("place", F.row_number().over(W.partitionBy("label").orderBy(order, "id")))
     )
     # At most MAX_LANGUAGES x SAMPLE_DOCS ids.
-    picked = ranked.filter(F.col("place") <= SAMPLE_DOCS).filter(F.col("label").isin(common))
+    picked = ranked.filter(F.col("place") <= SAMPLE_DOCS)
     size = F.length(text_column)
     start = F.pmod(mark, F.greatest(size - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
     windows = (

@@ -25,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from monthweave.llm.storage import ROW, with_row
+from monthweave.llm.storage import ROW, hash_below, with_row
 from monthweave.llm.words import small_batches, text_bytes, word_places
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 SAMPLE_DOCS = 600
+SAMPLE_POOL = 30_000
 LINE_WORDS = 512
 WINDOW_WORDS = 6
 STEPS = 120
@@ -302,11 +303,12 @@ def labelled_windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> Field | None:
-    """A field from at most SAMPLE_DOCS documents with a digit or an at sign, by a hash of their ids."""
+    """A field from at most SAMPLE_DOCS documents with an at sign or a longer number, by a hash of
+    their ids, out of SAMPLE_POOL documents or so."""
+    order = F.xxhash64("id", F.lit("labelled"))
     some = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).filter(
-        F.col("text").rlike("@|[0-9][0-9.() -]*[0-9]")
+        hash_below(order, SAMPLE_POOL, docs.count()) & F.col("text").rlike("@|[0-9][0-9.() -]*[0-9]")
     )
-    order = F.xxhash64("id", F.lit("labelled"))
     picked = some.select("id").orderBy(order, "id").limit(SAMPLE_DOCS).distinct()
     texts = some.join(F.broadcast(picked), "id").select("text").limit(2 * SAMPLE_DOCS)
     windows = labelled_windows(sorted(r.text for r in texts.collect()))

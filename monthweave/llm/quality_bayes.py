@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from monthweave.llm.storage import ROW, cut, keep, with_row
+from monthweave.llm.storage import ROW, cut, hash_below, keep, with_row
 from monthweave.llm.words import small_batches, text_bytes, word_hashes, word_places
 
 SAMPLE_ROWS = 20_000
@@ -208,9 +208,12 @@ def score_quality(
         .groupBy(F.col(id_column).cast("long").alias("id"))
         .agg((F.avg(label_column) >= 0.5).cast("double").alias("good"))
     )
-    known = described.join(marked, "id")
+    mark = F.xxhash64("id", F.lit("fit"))
+    chosen = hash_below(mark, SAMPLE_ROWS, marked.count())
     sample = (
-        known.select("features", "good", F.xxhash64("id", F.lit("fit")).alias("mark"), ROW)
+        described.filter(chosen)
+        .join(marked.filter(chosen), "id")
+        .select("features", "good", mark.alias("mark"), ROW)
         .orderBy("mark", ROW)
         .limit(SAMPLE_ROWS)
         .collect()

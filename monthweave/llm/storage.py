@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
@@ -90,6 +90,33 @@ def with_row(df: DataFrame) -> DataFrame:
     return df.withColumn(ROW, F.monotonically_increasing_id())
 
 
+def hash_below(mark: Column, wanted: int, total: int) -> Column:
+    """Whether a 64-bit hash is among about the 1.5 x ``wanted`` smallest of ``total``.
+
+    A bounded sample by the smallest hashes filters by this first, so that its sort gets
+    few rows from any number of tasks.
+    """
+    share = min(1.0, (1.5 * wanted + 100) / max(total, 1))
+    return mark <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63))
+
+
+def largest(df: DataFrame, column: str, wanted: int, steps: float = 256.0) -> DataFrame:
+    """At most ``wanted`` rows: all with a positive ``column`` from some bound on.
+
+    The bound comes from a histogram on a logarithmic scale, so no task sorts or gathers the
+    whole; rows of the one step that would exceed ``wanted`` are left out.
+    """
+    step = F.floor(F.log(column) * steps)
+    found = df.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()
+    total, bound = 0, None
+    for row in sorted(found, reverse=True):
+        total += row.n
+        if total > wanted:
+            break
+        bound = row.step
+    return df.filter(F.lit(False) if bound is None else step >= bound)
+
+
 def without_rows(df: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows of ``df`` whose number (see ``with_row``) is not in ``dropped``.
 

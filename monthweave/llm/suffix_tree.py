@@ -3,14 +3,14 @@
 The symbols are the UTF-8 bytes of the text, A to Z made lower case, and an end. Every
 context of up to ``depth`` symbols is counted over the whole corpus. A context is retained if
 its next-symbol distribution diverges from that of its suffix one symbol shorter: count times
-Kullback-Leibler divergence of at least ``MIN_GAIN`` nats. Of these the ``MAX_CONTEXTS`` of most
-gain make the tree; that is the model's size, and what is broadcast. Distributions are
+Kullback-Leibler divergence of at least ``MIN_GAIN`` nats. Of these at most ``MAX_CONTEXTS``, those of most
+gain, make the tree; that is the model's size, and what is broadcast. Distributions are
 smoothed by those of the shorter suffixes, down to a uniform one. A text is read as a
 sequence of states, each the longest suffix of what came before that the tree holds,
 and every symbol scored in its state.
 
 Beside it stands a unigram model of words with one added to every count. Words are
-counted over the whole corpus; the ``HEAD`` most frequent are looked up where the text
+counted over the whole corpus; the most frequent, ``HEAD`` at most, are looked up where the text
 is read, all others by a shuffle join on their 64-bit hashes.
 
 Cases: null counts as empty and is one end token. Repeated rows are scored each, null
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthweave.llm.storage import ROW, cut, keep, ship_code, with_row
+from monthweave.llm.storage import ROW, cut, keep, largest, ship_code, with_row
 from monthweave.llm.words import U64, small_batches, text_bytes, word_hashes, word_places
 
 DEPTH = 5
@@ -200,9 +200,8 @@ def grow_tree(grams_counted: DataFrame, depth: int, max_contexts: int) -> Tree:
         .groupBy("length", "context")
         .agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("expected"))).alias("gain"))
         .filter(F.col("gain") >= MIN_GAIN)
-        .orderBy(F.desc("gain"), "length", "context")
-        .limit(max_contexts)
     )
+    gains = largest(cut(gains), "gain", max_contexts)
     held = {(0, 0)}
     for length, code, _ in gains.collect():
         held |= {(k, _suffix(code, k)) for k in range(1, length + 1)}
@@ -241,7 +240,7 @@ def train(
     )
     words = counted.filter(F.col("kind") == WORD).select("key", F.col("n").alias("c"))
     total, distinct = words.agg(F.sum("c"), F.count(F.lit(1))).first()
-    often = words.orderBy(F.desc("c"), "key").limit(head).toArrow()
+    often = largest(words, "c", head).toArrow()
     keys = often.column("key").to_numpy().view(U64)
     order = np.argsort(keys)
     return Model(
