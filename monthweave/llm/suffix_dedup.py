@@ -25,6 +25,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,6 +114,17 @@ def _anchors(length: int, size: int) -> Callable:
     return anchors
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compress the texts before they are shuffled."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in small_batches(batches):
+        packed = [pack(t.as_py().encode()) for t in batch.column("text")]
+        names = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(n) for n in names), pa.array(packed, pa.binary())], [*names, "packed"]
+        )
+
+
 def _digest(*parts: bytes) -> int:
     state = blake2b(digest_size=8)
     for part in parts:
@@ -126,17 +138,18 @@ def _segments(length: int) -> Callable:
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for batch in small_batches(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in small_batches(batches, "packed"):
             out: list[tuple] = []
             if len(seen) > REMEMBERED:
                 seen.clear()
-            for row, text, anchors, runs in zip(
+            for row, packed, anchors, runs in zip(
                 batch.column(ROW).to_pylist(),
-                batch.column("text"),
+                batch.column("packed"),
                 batch.column("anchors").to_pylist(),
                 batch.column("runs").to_pylist(),
             ):
-                data = text.as_py().encode()
+                data = unpack(packed.as_py())
                 for anchor, run in zip(anchors, runs):
                     first, count, place = run >> 24, run >> 8 & 0xFFFF, run & 0xFF
                     string = data[first : first + count + length - 1]
@@ -260,10 +273,11 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 def _removed(length: int) -> Callable:
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in small_batches(batches, "packed"):
             spans, kept = [], []
-            for text, runs in zip(batch.column("text"), batch.column("runs").to_pylist()):
-                data = text.as_py().encode()
+            for packed, runs in zip(batch.column("packed"), batch.column("runs").to_pylist()):
+                data = unpack(packed.as_py())
                 merged: list[list[int]] = []
                 for low, high in sorted((r["low"], r["high"]) for r in runs or ()):
                     stop = high - 1 + length
@@ -313,6 +327,8 @@ def remove_repeats(
     )
     segments = keep(
         texts.select(ROW, "text")
+        .filter(F.octet_length("text") >= length)
+        .mapInArrow(_packed, f"{ROW} long, packed binary")
         .join(runs, ROW)
         .mapInArrow(
             _segments(length),
@@ -346,4 +362,5 @@ def remove_repeats(
             discard(spark, folder)
     release(spark)
     kinds = f"{ROW} long, id long, spans array<struct<start: long, stop: long>>, kept binary"
-    return texts.join(runs_by_row, ROW, "left").mapInArrow(_removed(length), kinds)
+    packed = texts.mapInArrow(_packed, f"{ROW} long, id long, packed binary")
+    return packed.join(runs_by_row, ROW, "left").mapInArrow(_removed(length), kinds)
