@@ -3,11 +3,16 @@
 The symbols are the UTF-8 bytes of the text, A to Z made lower case, and an end. Every
 context of up to ``depth`` symbols is counted over the whole corpus. A context is retained if
 its next-symbol distribution diverges from that of its suffix one symbol shorter: count times
-Kullback-Leibler divergence of at least ``MIN_GAIN`` nats. Of these at most ``MAX_CONTEXTS``, those of most
-gain, make the tree; that is the model's size, and what is broadcast. Distributions are
-smoothed by those of the shorter suffixes, down to a uniform one. A text is read as a
-sequence of states, each the longest suffix of what came before that the tree holds,
-and every symbol scored in its state.
+Kullback-Leibler divergence of at least ``MIN_GAIN`` nats. All of these, with their
+suffixes, make the tree. Distributions are smoothed by those of the shorter suffixes, down to
+a uniform one. A text is read as a sequence of states, each the longest suffix of what came
+before that the tree holds, and every symbol scored in its state.
+
+The most frequent contexts, ``HEAD_CONTEXTS`` at most, are broadcast as an automaton; all others,
+the tail, stay a table. A suffix is at least as frequent as its context, so the head
+holds all suffixes of its contexts, and a tail context applies only where the one that is one symbol
+longer than the head's is in the tail. A bitmap of bounded size finds those places, and
+some others besides; a shuffle join of their n-grams with the tail scores them exactly.
 
 Beside it stands a unigram model of words with one added to every count. Words are
 counted over the whole corpus; the most frequent, ``HEAD`` at most, are looked up where the text
@@ -29,12 +34,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monthweave.llm.storage import ROW, cut, keep, largest, ship_code, with_row
-from monthweave.llm.words import U64, small_batches, text_bytes, word_hashes, word_places
+from monthweave.llm.words import U64, mixed, small_batches, text_bytes, word_hashes, word_places
 
 DEPTH = 5
 MIN_COUNT = 32
 MIN_GAIN = 24.0
-MAX_CONTEXTS = 1 << 15
+#: Contexts of the broadcast automaton, and the most bits of the bitmap of the others.
+HEAD_CONTEXTS = 1 << 15
+TAIL_BITS = 1 << 27
 SMOOTHING = 4.0
 HEAD = 1 << 18
 #: Distinct n-grams or words a task holds before it adds up.
@@ -149,9 +156,18 @@ class Tree:
     counts: np.ndarray
 
 
+@dataclass(frozen=True)
+class Tail:
+    """The contexts that the head does not hold, and a bitmap that has at least them."""
+
+    contexts: DataFrame  # length, context, total, seen (map of symbol to count)
+    bits: np.ndarray
+
+
 @dataclass(frozen=True)
 class Model:
-    tree: Tree
+    tree: Tree  # the most frequent contexts
+    tail: Tail | None
     words: DataFrame  # key, c
     head: tuple[np.ndarray, np.ndarray]  # sorted hashes and their counts
     total: int
@@ -162,8 +178,47 @@ def _suffix(code: int, length: int) -> int:
     return code & ((1 << SYMBOL_BITS * length) - 1)
 
 
-def grow_tree(grams_counted: DataFrame, depth: int, max_contexts: int) -> Tree:
-    """Contexts retained by the divergence test, with all their suffixes."""
+def marks(lengths: np.ndarray, contexts: np.ndarray, n_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each context in a bitmap of ``n_bits``, a power of two."""
+    mark = mixed(mixed(contexts.astype(U64)) + lengths.astype(U64))
+    return mark & U64(n_bits - 1), (mark >> U64(32)) & U64(n_bits - 1)
+
+
+def has_marks(bits: np.ndarray, lengths: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    one, two = marks(lengths, contexts, 64 * len(bits))
+    found = np.ones(len(contexts), bool)
+    for bit in (one, two):
+        found &= (bits[bit >> U64(6)] >> (bit & U64(63)) & U64(1)).astype(bool)
+    return found
+
+
+def _bitmap(contexts: DataFrame, count: int) -> np.ndarray:
+    """A bitmap of (length, context), its words put together by the executors."""
+    n_bits = 1 << 10
+    while n_bits < min(TAIL_BITS, 64 * count):
+        n_bits *= 2
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = marks(batch.column("length").to_numpy(), batch.column("context").to_numpy(), n_bits)
+            bit = np.concatenate(both)
+            values = [(bit >> U64(6)).view(np.int64), (U64(1) << (bit & U64(63))).view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], ["word", "bits"])
+
+    found = (
+        contexts.select("length", "context")
+        .mapInArrow(words, "word long, bits long")
+        .groupBy("word")
+        .agg(F.bit_or("bits").alias("bits"))
+        .toArrow()
+    )
+    bits = np.zeros(n_bits // 64, U64)
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(U64)
+    return bits
+
+
+def grow_tree(grams_counted: DataFrame, depth: int, head_contexts: int) -> tuple[Tree, Tail | None]:
+    """Contexts retained by the divergence test, with all their suffixes, in head and tail."""
     spark = grams_counted.sparkSession
     context = F.shiftrightunsigned("key", SYMBOL_BITS)
     spread = F.explode(
@@ -201,10 +256,15 @@ def grow_tree(grams_counted: DataFrame, depth: int, max_contexts: int) -> Tree:
         .agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("expected"))).alias("gain"))
         .filter(F.col("gain") >= MIN_GAIN)
     )
-    gains = largest(cut(gains), "gain", max_contexts)
-    held = {(0, 0)}
-    for length, code, _ in gains.collect():
-        held |= {(k, _suffix(code, k)) for k in range(1, length + 1)}
+    suffixes = F.expr(
+        f"transform(sequence(0, length), k -> struct(k AS length, "
+        f"context & (shiftleft(1L, k * {SYMBOL_BITS}) - 1) AS context))"
+    )
+    retained = cut(
+        gains.select(F.inline(suffixes)).distinct().join(totals, ["length", "context"])
+    )
+    often = largest(retained, "total", head_contexts)
+    held = {(0, 0)} | {(r.length, r.context) for r in often.collect()}
     named = spark.createDataFrame(sorted(held), "length int, context long")
     found = nexts.join(F.broadcast(named), ["length", "context"]).toArrow().to_pydict()
     contexts = sorted(held)
@@ -213,20 +273,31 @@ def grow_tree(grams_counted: DataFrame, depth: int, max_contexts: int) -> Tree:
     counts = np.zeros((len(contexts), len(symbols)), np.float64)
     rows = [place[c] for c in zip(found["length"], found["context"])]
     counts[rows, np.searchsorted(symbols, found["symbol"])] = found["n"]
-    return Tree(
+    tree = Tree(
         depth,
         np.array([c[1] for c in contexts], np.int64),
         np.array([c[0] for c in contexts], np.int64),
         symbols,
         counts,
     )
+    rest = retained.join(F.broadcast(named), ["length", "context"], "left_anti")
+    left = rest.count()
+    if not left:
+        return tree, None
+    tail = keep(
+        nexts.join(rest, ["length", "context"])
+        .groupBy("length", "context", "total")
+        .agg(F.map_from_entries(F.collect_list(F.struct("symbol", "n"))).alias("seen")),
+        "tail",
+    )
+    return tree, Tail(tail, _bitmap(tail, left))
 
 
 def train(
     docs: DataFrame,
     text_column: str = "text",
     depth: int = DEPTH,
-    max_contexts: int = MAX_CONTEXTS,
+    head_contexts: int = HEAD_CONTEXTS,
     head: int = HEAD,
 ) -> Model:
     """A model of all rows of ``docs``."""
@@ -244,7 +315,7 @@ def train(
     keys = often.column("key").to_numpy().view(U64)
     order = np.argsort(keys)
     return Model(
-        grow_tree(counted.filter(F.col("kind") == GRAM).select("key", "n"), depth, max_contexts),
+        *grow_tree(counted.filter(F.col("kind") == GRAM).select("key", "n"), depth, head_contexts),
         words,
         (keys[order], often.column("c").to_numpy()[order]),
         total or 0,
@@ -259,6 +330,7 @@ class Automaton:
     classes: np.ndarray  # of each symbol
     moves: np.ndarray  # states x classes
     logs: np.ndarray
+    matched: np.ndarray  # length of each state's longest suffix in the tree
 
 
 def automaton(tree: Tree) -> Automaton:
@@ -304,11 +376,20 @@ def automaton(tree: Tree) -> Automaton:
         moves[at] = np.where(moves[at] >= 0, moves[at], moves[shorter_state[at]])
     logs = np.log10(np.maximum(chances, 1e-300))[scored].astype(np.float32)
     logs[:, classes[START]] = 0
-    return Automaton(classes, moves, logs)
+    return Automaton(classes, moves, logs, tree.lengths[scored])
 
 
-def tree_scores(machine: Automaton, symbols: np.ndarray, begins: np.ndarray, depth: int) -> np.ndarray:
-    """Log10 probability of each text; long texts are read in segments that overlap by ``depth``."""
+def tree_scores(
+    machine: Automaton,
+    symbols: np.ndarray,
+    begins: np.ndarray,
+    depth: int,
+    before: np.ndarray | None = None,
+) -> np.ndarray:
+    """Log10 probability of each text; long texts are read in segments that overlap by ``depth``.
+
+    ``before`` takes the state in which each symbol is scored.
+    """
     sizes = np.diff(begins) - depth
     counts = -(-sizes // SEGMENT)
     row = np.repeat(np.arange(len(sizes)), counts)
@@ -328,10 +409,48 @@ def tree_scores(machine: Automaton, symbols: np.ndarray, begins: np.ndarray, dep
         at += coded[low[:n] + t]
         if t >= depth:
             total[:n] += logs.take(at)
+            if before is not None:
+                before[low[:n] + t] = state[:n]
         state[:n] = moves.take(at)
     return np.bincount(row, total, len(sizes)).astype(float)  # whole numbers if there are no rows
 
 
+def tail_grams(
+    machine: Automaton,
+    bits: np.ndarray,
+    symbols: np.ndarray,
+    begins: np.ndarray,
+    before: np.ndarray,
+    depth: int,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Row and n-gram of each symbol that a context of the tail may score."""
+    matched = machine.matched[before[depth:]]
+    at = np.flatnonzero((matched < depth) & (symbols[depth:] != START))
+    longer = (matched[at] + 1).astype(U64)
+    context = np.zeros(len(at), U64)
+    for k in range(1, depth + 1):
+        more = symbols[at + (depth - k)].astype(U64) << U64(SYMBOL_BITS * (k - 1))
+        context |= np.where(longer >= k, more, U64(0))
+    at = at[has_marks(bits, longer, context)]
+    code = np.zeros(len(at), U64)
+    for k in range(depth + 1):
+        code |= symbols[at + (depth - k)].astype(U64) << U64(SYMBOL_BITS * k)
+    return np.searchsorted(begins, at + depth, "right") - 1, code
+
+
+def _counted(row: np.ndarray, keys: np.ndarray, rows: int) -> tuple[pa.Array, pa.Array]:
+    """The distinct keys of each row, and how many times each occurs, as lists."""
+    keys = keys.view(np.int64)
+    order = np.lexsort((keys, row))
+    keys, row = keys[order], row[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
+    at = np.flatnonzero(new)
+    times = np.diff(np.append(at, len(keys))).astype(np.int32)
+    cuts = pa.array(np.searchsorted(row[at], np.arange(rows + 1)).astype(np.int32))
+    return pa.ListArray.from_arrays(cuts, pa.array(keys[at])), pa.ListArray.from_arrays(cuts, pa.array(times))
+
+
 _machines: dict[int, Automaton] = {}
 
 
@@ -343,7 +462,7 @@ def _machine(sent) -> Automaton:
     return _machines[sent.id]
 
 
-def _score(tree, head) -> Callable:
+def _score(tree, head, bits) -> Callable:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, depth = _machine(tree), tree.value.depth
         known, counts = head.value
@@ -351,7 +470,11 @@ def _score(tree, head) -> Callable:
         for batch in small_batches(batches):
             data, starts = text_bytes(batch.column("text"))
             symbols, begins = symbols_of(data, starts, depth)
-            scores = tree_scores(machine, symbols, begins, depth)
+            before = None if bits is None else np.zeros(len(symbols), np.int32)
+            scores = tree_scores(machine, symbols, begins, depth, before)
+            beyond = np.zeros(0, np.int64), np.zeros(0, U64)
+            if bits is not None and batch.num_rows:
+                beyond = tail_grams(machine, bits.value, symbols, begins, before, depth)
             first, end = word_places(data, starts)
             words = word_hashes(data, first, end)
             bounds = np.searchsorted(first, starts)
@@ -362,14 +485,6 @@ def _score(tree, head) -> Callable:
             hit = known[place] == words if len(known) else np.zeros(len(words), bool)
             sums = np.bincount(row[hit], gains[place[hit]], len(sizes)).astype(float)
             found = np.bincount(row[hit], minlength=len(sizes))
-            rest, row = words[~hit].view(np.int64), row[~hit]
-            order = np.lexsort((rest, row))
-            rest, row = rest[order], row[order]
-            new = np.ones(len(rest), bool)
-            new[1:] = (rest[1:] != rest[:-1]) | (row[1:] != row[:-1])
-            at = np.flatnonzero(new)
-            times = np.diff(np.append(at, len(rest))).astype(np.int32)
-            cuts = np.searchsorted(row[at], np.arange(len(sizes) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(ROW),
@@ -378,15 +493,79 @@ def _score(tree, head) -> Callable:
                     pa.array(found),
                     pa.array(sums),
                     pa.array(scores),
-                    pa.ListArray.from_arrays(pa.array(cuts), pa.array(rest[at])),
-                    pa.ListArray.from_arrays(pa.array(cuts), pa.array(times)),
+                    *_counted(row[~hit], words[~hit], len(sizes)),
+                    *_counted(*beyond, len(sizes)),
+                ],
+                [
+                    *(ROW, "id", "n_tokens", "n_known", "logs", "score"),
+                    *("rest", "times", "grams", "gram_times"),
                 ],
-                [ROW, "id", "n_tokens", "n_known", "logs", "score", "rest", "times"],
             )
 
     return score
 
 
+def _head_logs(tree) -> Callable:
+    """What the head says of n-grams: the length of the context that it uses, and the log10."""
+
+    def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, depth = _machine(tree), tree.value.depth
+        for batch in batches:
+            code = batch.column("gram").to_numpy().view(U64)
+            state = np.zeros(len(code), np.int64)
+            for k in range(depth, -1, -1):
+                symbol = machine.classes[(code >> U64(SYMBOL_BITS * k)) & U64((1 << SYMBOL_BITS) - 1)]
+                if k:
+                    state = machine.moves[state, symbol]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("gram"),
+                    pa.array(machine.matched[state].astype(np.int32)),
+                    pa.array(machine.logs[state, symbol].astype(float)),
+                ],
+                ["gram", "matched", "head_log"],
+            )
+
+    return logs
+
+
+def tail_gains(read: DataFrame, tail: DataFrame, tree: _Sent, depth: int) -> DataFrame:
+    """By how much the tail changes the score of each row that it changes: _row, gain."""
+    beyond = read.select(ROW, F.explode(F.arrays_zip("grams", "gram_times")).alias("g")).select(
+        ROW, F.col("g.grams").alias("gram"), F.col("g.gram_times").alias("times")
+    )
+    steps = (
+        beyond.select("gram")
+        .distinct()
+        .mapInArrow(_head_logs(tree), "gram long, matched int, head_log double")
+        .select("*", F.explode(F.sequence(F.col("matched") + 1, F.lit(depth))).alias("length"))
+        .withColumn(
+            "context",
+            F.expr(
+                f"shiftrightunsigned(gram, {SYMBOL_BITS}) & (shiftleft(1L, length * {SYMBOL_BITS}) - 1)"
+            ),
+        )
+    )
+    symbol = F.col("gram").bitwiseAND((1 << SYMBOL_BITS) - 1)
+    step = F.struct(
+        "length", "total", F.coalesce(F.try_element_at("seen", symbol), F.lit(0)).alias("n")
+    )
+    smoothed = lambda p, s: (s["n"] + F.lit(SMOOTHING) * p) / (s["total"] + F.lit(SMOOTHING))
+    chance = F.aggregate(F.array_sort("chain"), F.pow(F.lit(10.0), F.col("head_log")), smoothed)
+    known = (
+        steps.join(tail, ["length", "context"])
+        .groupBy("gram", "head_log")
+        .agg(F.collect_list(step).alias("chain"))
+        .select("gram", (F.log10(chance) - F.col("head_log")).alias("more"))
+    )
+    # A place that only the bitmap took for the tail's finds no context, and keeps the head's score.
+    return (
+        beyond.join(known, "gram")
+        .groupBy(ROW)
+        .agg(F.sum(F.col("times") * F.col("more")).alias("gain"))
+    )
+
+
 class _Sent:
     """A broadcast value with a name that tells it from others in a worker."""
 
@@ -404,13 +583,14 @@ def score(
 ) -> DataFrame:
     """Columns _row (place in ``docs``), id, n_tokens, n_known, base_score, score."""
     spark = docs.sparkSession
+    tree, tail = _Sent(spark, model.tree), model.tail
     read = keep(
         with_row(docs)
         .select(ROW, F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
         .mapInArrow(
-            _score(_Sent(spark, model.tree), _Sent(spark, model.head)),
+            _score(tree, _Sent(spark, model.head), tail and _Sent(spark, tail.bits)),
             f"{ROW} long, id long, n_tokens long, n_known long, logs double, score double, "
-            "rest array<long>, times array<int>",
+            "rest array<long>, times array<int>, grams array<long>, gram_times array<int>",
         ),
         "scores",
     )
@@ -430,7 +610,12 @@ def score(
         )
     )
     size = float(model.total + model.distinct + 1)
-    return read.drop("rest", "times").join(looked_up, ROW, "left").select(
+    slim = read.drop("rest", "times", "grams", "gram_times").join(looked_up, ROW, "left")
+    score = F.col("score")
+    if tail:
+        slim = slim.join(tail_gains(read, tail.contexts, tree, model.tree.depth), ROW, "left")
+        score = score + F.coalesce("gain", F.lit(0.0))
+    return slim.select(
         ROW,
         "id",
         "n_tokens",
@@ -441,5 +626,5 @@ def score(
             + F.log10(F.lit(end_count + 1.0))
             - F.col("n_tokens") * F.log10(F.lit(size))
         ).alias("base_score"),
-        "score",
+        score.alias("score"),
     )

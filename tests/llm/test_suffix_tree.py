@@ -75,6 +75,23 @@ def test_contexts_are_those_that_diverge(spark):
     assert (2, code("ba")) not in held
 
 
+@pytest.mark.parametrize("held, bits", [(1, 1 << 27), (40, 1 << 27), (200, 1 << 10)])
+def test_contexts_beyond_the_head_score_alike(spark, monkeypatch, held, bits):
+    monkeypatch.setattr(st, "TAIL_BITS", bits)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60).collect()]
+    docs = messy(spark, rows + TEXTS)
+    learn = docs.filter(queries.remainder("doc_id", 7) != 2)
+    whole, parted = st.train(learn), st.train(learn, head_contexts=held)
+    assert whole.tail is None and len(parted.tree.contexts) <= max(held, 1)
+    tail = parted.tail.contexts.collect()
+    kept = lambda tree: set(zip(tree.lengths.tolist(), tree.contexts.tolist()))
+    assert kept(whole.tree) == kept(parted.tree) | {(r.length, r.context) for r in tail}
+    want = {r._row: r.score for r in st.score(docs, whole).collect()}
+    found = {r._row: r.score for r in st.score(docs, parted).collect()}
+    assert found.keys() == want.keys()
+    assert all(abs(found[i] - want[i]) < 1e-5 * abs(want[i]) + 1e-5 for i in want)
+
+
 def test_segments_do_not_change_scores(spark, monkeypatch):
     docs = messy(spark, [(1, "the cat sat on the mat. " * 60), (2, "the dog")])
     tree = st.train(docs).tree
