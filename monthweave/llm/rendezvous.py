@@ -4,7 +4,8 @@ Every shard draws a number for every key; the shard with the smallest draw, afte
 division by its weight, gets the record. A further shard can only win records for
 itself, and a removed one only loses its own, so a changed shard count moves no other
 record. No shuffle is needed to place a record; only the gapless numbering within
-shards moves rows, cut into many pieces of each shard.
+shards moves rows, cut into many pieces of each shard. Equal rows are counted before they
+are numbered, so neither a frequent key nor a frequent row fills a piece.
 
 Cases: a null key draws like any other value, so all null keys share a shard. Repeated
 rows share a shard and get slots of their own. A null text has size 8 and the checksum
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 ROW_BYTES = 8
 PIECE_BITS = 10
+#: Equal rows that are written out together.
+RUN = 1 << 12
 
 
 def draw(key: Column, shard: int, weight: float = 1.0) -> Column:
@@ -58,24 +61,36 @@ def with_shards(
 def with_slots(df: DataFrame, key: str, ties: Sequence[str] = (), bits: int = PIECE_BITS) -> DataFrame:
     """Number the rows of every ``shard`` from 0 without gaps.
 
-    The order is that of a hash of the key, then the key, then ``ties``; it does not
-    depend on the number of pieces. A piece is a range of the hash, ``2 ** bits`` of them a
-    shard; one row for each piece is all that the running count sees. All rows of
-    one key are in one piece.
+    The order is that of a hash of key and ``ties``, then the key, ``ties`` and all else; it does
+    not depend on the number of pieces. A piece is a range of the hash, ``2 ** bits`` of them a
+    shard; one row for each piece is all that the running count sees. Rows that are equal
+    in all columns are one row with a count until they have their slots.
     """
     columns = df.columns
-    hashed = df.withColumn("_hash", F.xxhash64(F.col(key), F.lit("slot"))).withColumn(
+    rest = [c for c in columns if c not in ("shard", key, *ties)]
+    hashed = df.withColumn("_hash", F.xxhash64(key, *ties, F.lit("slot"))).withColumn(
         "_piece", F.shiftright("_hash", 64 - bits)
     )
-    counts = hashed.groupBy("shard", "_piece").agg(F.count(F.lit(1)).alias("_rows"))
+    equal = hashed.groupBy(*columns, "_hash", "_piece").agg(F.count(F.lit(1)).alias("_rows"))
+    counts = equal.groupBy("shard", "_piece").agg(F.sum("_rows").alias("_rows"))
     before = W.partitionBy("shard").orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select(
         "shard", "_piece", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start")
     )
-    inside = W.partitionBy("shard", "_piece").orderBy("_hash", key, *ties)
-    placed = hashed.withColumn("_place", F.row_number().over(inside) - 1)
-    return placed.join(starts, ["shard", "_piece"]).select(
-        *columns, (F.col("_start") + F.col("_place")).cast("long").alias("slot")
+    inside = (
+        W.partitionBy("shard", "_piece")
+        .orderBy("_hash", key, *ties, *rest)
+        .rowsBetween(W.unboundedPreceding, -1)
+    )
+    placed = equal.withColumn("_place", F.coalesce(F.sum("_rows").over(inside), F.lit(0)))
+    runs = (
+        placed.join(starts, ["shard", "_piece"])
+        .withColumn("_low", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1, F.lit(RUN))))
+        .repartition("_hash", "_low")
+    )
+    high = F.least(F.col("_low") + (RUN - 1), F.col("_rows") - 1)
+    return runs.withColumn("_copy", F.explode(F.sequence("_low", high))).select(
+        *columns, (F.col("_start") + F.col("_place") + F.col("_copy")).cast("long").alias("slot")
     )
 
 

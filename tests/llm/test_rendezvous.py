@@ -5,6 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from monthweave.llm import rendezvous
 from monthweave.llm.rendezvous import shard_texts, with_shards, with_slots
 from tests.llm.cases import TEXTS, messy, nothing
 
@@ -46,6 +47,31 @@ def test_slots_do_not_depend_on_the_number_of_pieces(spark):
     assert one == many and len(one) == 3000
 
 
+def test_rows_of_one_key_are_in_many_pieces(spark):
+    rows = [(None if i % 3 else i, f"text {i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    slots = [r.slot for r in shard_texts(docs, [1.0]).collect() if r.doc_id is None]
+    assert len(set(slots)) == 2000
+    # In each hundredth of the slots are some of them and some of the others.
+    assert all(0 < n < 30 for n in Counter(s // 30 for s in slots).values())
+    assert len({s // 30 for s in slots}) == 100
+
+
+def test_equal_rows_are_counted_before_they_are_numbered(spark, monkeypatch):
+    monkeypatch.setattr(rendezvous, "RUN", 7)
+    docs = messy(spark, [(5, "equal")] * 1000 + [(None, "equal")] * 20 + [(i, "x") for i in range(300)])
+    placed = shard_texts(docs, [1.0] * 2)
+    found = placed.collect()
+    assert Counter((r.doc_id, r.text_crc32) for r in found) == Counter(
+        (r.doc_id, zlib.crc32(r.text.encode())) for r in docs.collect()
+    )
+    for shard in (0, 1):
+        slots = sorted(r.slot for r in found if r.shard == shard)
+        assert slots == list(range(len(slots)))
+    window = placed._jdf.queryExecution().optimizedPlan().toString().split("Window", 1)[1]
+    assert "Aggregate [" in window and "count(1)" in window
+
+
 def test_runs_no_python(spark):
     plan = shard_texts(messy(spark), [1.0] * 24)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "Cartesian", "NestedLoop"))
