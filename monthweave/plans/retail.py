@@ -119,6 +119,18 @@ def _off_calendar(t: RetailTables) -> DataFrame:
     )
 
 
+def _orphans(t: RetailTables) -> DataFrame:
+    """Of both whole tables of facts, whatever the month."""
+    facts = (("balances", t.balance_lines()), ("spend", t.spend().by_org()))
+    found = [
+        contracts.orphans(df, t.organizations(), ORG_ID).select(
+            F.lit(table).alias("table_name"), ORG_ID, "n_rows"
+        )
+        for table, df in facts
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 def _duplicate_balance_lines(t: RetailTables) -> DataFrame:
     return contracts.duplicate_keys(with_account_id(t.balance_lines()), (ACCOUNT_ID, MONTH))
 
@@ -176,6 +188,7 @@ TABLE_QUERIES: dict[str, Callable[[RetailTables], DataFrame]] = {
     "check_lengths": _lengths,
     "check_amounts": _amounts_in_range,
     "check_first_of_month": _off_calendar,
+    "check_orphans": _orphans,
 }
 
 

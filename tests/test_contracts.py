@@ -3,13 +3,17 @@ from __future__ import annotations
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
+from check_oracle import duckdb_rows, duckdb_tables, normalised
 from monthweave.operators.contracts import (
     contract_report,
     duplicate_keys,
     limit_violations,
     null_counts,
     null_rows,
+    orphans,
 )
 from monthweave.schemas import BALANCES, ORGANIZATIONS, SPENDING
 from tests.conftest import month, org_row
@@ -120,3 +124,29 @@ def test_report_counts_each_rule(spark):
     assert report["unique organization_id, the_month"] == 1
     assert report["not null debit_card_spend_that_month"] == 1
     assert report["declared lengths and ranges"] == 0
+
+
+def test_orphans(spark, tables):
+    orgs, balances, spend = tables
+    assert orphans(balances, orgs, "organization_id").count() == 0
+    rows = [(o, month("2020-01"), Decimal("1.00")) for o in ("o1", "o8", "o8", "o9", None)]
+    found = orphans(loose(spark, SPENDING, rows), orgs, "organization_id").collect()
+    assert {tuple(r) for r in found} == {("o8", 2), ("o9", 1)}
+
+
+def test_facts_of_missing_customers_are_reported(spark, tmp_path):
+    source = "/root/testdata/sf0.001"
+    for table in ("nation", "region", "customer", "orders", "lineitem"):
+        df = spark.read.parquet(f"{source}/{table}.parquet")
+        if table == "customer":
+            df = df.where("c_custkey % 10 <> 1")
+        if table == "orders":
+            nobody = F.when(F.col("o_orderkey") % 7 != 2, F.col("o_custkey"))
+            df = df.withColumn("o_custkey", nobody)
+        df.write.parquet(f"{tmp_path}/{table}.parquet")
+    df = contract.queries()["check_orphans"](spark, str(tmp_path))
+    found = df.collect()
+    assert {r.table_name for r in found} == {"balances", "spend"}
+    assert all(r.organization_id % 10 == 1 for r in found)
+    columns, rows = duckdb_rows(duckdb_tables(str(tmp_path)), contract.oracle_sql()["check_orphans"])
+    assert normalised(df.columns, found) == normalised(columns, rows)
