@@ -3,7 +3,7 @@
 Patterns find emails, IP addresses, card and phone numbers. The field reads a text's words line by line,
 describes each by its shape (character classes, counts of digits and dots, length, first and last
 character, digits of the neighbours), and its Viterbi path adds runs of words that it takes for
-personal data and that touch no pattern match. It is trained in numpy on a small labelled table: windows of
+personal data; words that touch a pattern match are cut out of them. It is trained in numpy on a small labelled table: windows of
 words around the digits and at signs of at most ``SAMPLE_DOCS`` documents, labelled by the patterns.
 
 All offsets are code points, the end exclusive. Lines of more than ``LINE_WORDS`` words are
@@ -45,6 +45,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _HINT = re.compile(r"[@0-9]")
 
 Span = tuple[str, int, int]
@@ -315,6 +316,15 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -
     return None if windows is None else train(*windows)
 
 
+def trimmed(data: np.ndarray | bytes, low: int, high: int) -> tuple[int, int]:
+    """Outer punctuation is no part of the data."""
+    while low < high and _CLASS[data[low]] in (3, 4, 5, 7, 8) and data[low] != 0x28:
+        low += 1
+    while low < high and _CLASS[data[high - 1]] in (3, 4, 5, 6, 7, 8):
+        high -= 1
+    return low, high
+
+
 def added_spans(field: Field, data: np.ndarray, starts: np.ndarray) -> dict[int, list[Span]]:
     """Runs of words with one label, by row, in bytes from the row's start."""
     words = shapes(data, starts)
@@ -330,18 +340,32 @@ def added_spans(field: Field, data: np.ndarray, starts: np.ndarray) -> dict[int,
     begins = np.flatnonzero(new)
     stops = np.append(begins[1:], len(hit)) - 1
     for a, b in zip(hit[begins].tolist(), hit[stops].tolist()):
-        low, high = int(words.first[a]), int(words.end[b])
-        # Outer punctuation is no part of the data.
-        while low < high and _CLASS[data[low]] in (3, 4, 5, 7, 8) and data[low] != 0x28:
-            low += 1
-        while low < high and _CLASS[data[high - 1]] in (3, 4, 5, 6, 7, 8):
-            high -= 1
+        low, high = trimmed(data, int(words.first[a]), int(words.end[b]))
         if low < high:
             row = int(np.searchsorted(starts, low, "right")) - 1
             found.setdefault(row, []).append((LABELS[labels[a]], low - int(starts[row]), high - int(starts[row])))
     return found
 
 
+def beside(text: str, low: int, high: int, found: list[Span]) -> list[tuple[int, int]]:
+    """The parts of a run of words without those that touch a span of ``found``."""
+    near = [(x, y) for _, x, y in found if x < high and low < y]
+    if not near:
+        return [(low, high)]
+    parts = [[]]
+    for word in _WORD.finditer(text, low, high):
+        a, b = word.span()
+        if any(x < b and a < y for x, y in near):
+            parts.append([])
+            continue
+        raw = word.group().encode()
+        first, end = trimmed(raw, 0, len(raw))
+        if first < end:  # punctuation alone neither begins nor ends a part
+            begin = a + len(raw[:first].decode())
+            parts[-1].append((begin, begin + len(raw[first:end].decode())))
+    return [(part[0][0], part[-1][1]) for part in parts if part]
+
+
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
 
 
@@ -360,8 +384,7 @@ def _search(field: Field | None) -> Callable:
                     for kind, low, high in added[i]:
                         a = len(raw[:low].decode(errors="ignore"))
                         b = a + len(raw[low:high].decode(errors="ignore"))
-                        if all(b <= x or y <= a for _, x, y in found):
-                            both.append((kind, a, b))
+                        both += [(kind, x, y) for x, y in beside(text, a, b, found)]
                     both.sort(key=lambda s: (s[1], KINDS.index(s[0])))
                 base.append([{"kind": k, "start": a, "stop": b} for k, a, b in found])
                 spans.append([{"kind": k, "start": a, "stop": b} for k, a, b in both])

@@ -97,3 +97,26 @@ def test_rows(spark, field):
     assert pii_crf.find_personal_data(nothing(spark), field).count() == 0
     assert pii_crf.fit(nothing(spark)) is None
     assert all(r.base == r.spans for r in pii_crf.find_personal_data(messy(spark, rows), None).collect())
+
+
+@pytest.mark.parametrize(
+    "text, run, added",
+    [
+        ("to ab@c.de user@localhost now", (3, 25), ["user@localhost"]),
+        ("to root@host, ab@c.de (user@localhost). x", (3, 37), ["root@host", "(user@localhost"]),
+        ("+14155552671, 415 555 2672 end", (0, 26), ["415 555 2672"]),
+        ("é ab@c.de, -- , ü@localhost", (2, 27), ["ü@localhost"]),
+        ("to user@localhost now", (3, 17), ["user@localhost"]),
+        ("to ab@c.de now", (3, 10), []),
+    ],
+)
+def test_words_beside_a_match_stay(monkeypatch, text, run, added):
+    import pyarrow as pa
+
+    low, high = (len(text[:at].encode()) for at in run)
+    monkeypatch.setattr(pii_crf, "added_spans", lambda *_: {0: [("email", low, high)]})
+    batch = pa.RecordBatch.from_pydict({"_row": [0], "id": [1], "text": [text]})
+    (out,) = pii_crf._search(object())(iter([batch]))
+    base, spans = (out.column(c).to_pylist()[0] for c in ("base", "spans"))
+    assert [(s["kind"], s["start"], s["stop"]) for s in base] == expected(text)
+    assert [text[s["start"] : s["stop"]] for s in spans if s not in base] == added
