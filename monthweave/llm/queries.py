@@ -13,6 +13,7 @@ from monthweave.llm import bigru, byte_bpe, pii_crf, suffix_tree
 from monthweave.llm.containment import contained_items
 from monthweave.llm.exact_dedup import DigestIndex
 from monthweave.llm.near_dedup import near_duplicates
+from monthweave.llm.periodic_runs import periodic_runs
 from monthweave.llm.quality_bayes import score_quality
 from monthweave.llm.rendezvous import shard_texts
 from monthweave.llm.storage import shared_folder
@@ -150,6 +151,50 @@ def op10_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SPACES = r"[\x20\x09-\x0D]+"
+
+
+def with_loops(docs: DataFrame) -> DataFrame:
+    """Columns doc_id and text, with a loop in the texts whose checksum of the id ends in 0.
+
+    From word a on, such a text repeats its words a to a + p - 1.
+    """
+    checksum = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", SPACES), lambda w: w != "")
+    named = docs.select("doc_id", "text", F.floor(checksum / 10).alias("g"), F.when(checksum % 10 == 0, words).alias("words"))
+    n = F.size("words")
+    placed = named.withColumn("a", F.when(n > 0, F.col("g") % n).cast("int"))
+    placed = placed.withColumn(
+        "p", (F.floor((n - F.col("a")) / (F.col("g") % 8 + 3)) + 1).cast("int")
+    )
+    loop = F.transform(
+        F.sequence(F.lit(0), n - F.col("a") - 1), lambda i: F.get("words", F.col("a") + i % F.col("p"))
+    )
+    looped = F.array_join(F.concat(F.slice("words", 1, F.col("a")), loop), " ")
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), looped).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_loops(read(spark, sf_dir, "documents")))
+    # Runs come by start and period, so the first of those with the greatest exponent stays.
+    greater = lambda best, r: F.when(
+        best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r
+    ).otherwise(best)
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")
+    best = found.withColumn("best", F.aggregate("runs", none, greater))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return best.select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_exact_dedup": op2_exact_dedup,
@@ -161,6 +206,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bigru_language": op8_bigru_language,
     "op9_quality_bayes": op9_quality_bayes,
     "op10_suffix_tree_scores": op10_suffix_tree_scores,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

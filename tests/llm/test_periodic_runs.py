@@ -1,0 +1,139 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+
+from monthweave.llm import periodic_runs as module
+from monthweave.llm import queries
+from monthweave.llm.periodic_runs import collapsed, periodic_runs, runs_of, scales
+from tests.llm.cases import TEXTS, messy, nothing
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def split(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def by_definition(words):
+    """Every stretch of every period, extended as far as it goes."""
+    found = {}
+    for q in range(1, len(words) // 3 + 1):
+        i = 0
+        while i + q < len(words):
+            j = i
+            while j + q < len(words) and words[j] == words[j + q]:
+                j += 1
+            if j - i + q >= max(24, 3 * q):
+                found.setdefault((i, j - i + q), q)
+            i = j + 1
+    return sorted((s, n, q) for (s, n), q in found.items())
+
+
+def kept(words, runs):
+    gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+    return [w for i, w in enumerate(words) if i not in gone]
+
+
+def looped(doc_id, words):
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def random_words(rnd):
+    letters = rnd.choice([1, 2, 3, 6, 1000])
+    words = [str(rnd.randrange(letters)) for _ in range(rnd.randrange(500))]
+    for _ in range(rnd.randrange(4)):
+        at = rnd.randrange(len(words) + 1)
+        period = rnd.randrange(1, rnd.choice([4, 20, 60, 180]))
+        loop = [str(rnd.randrange(letters)) for _ in range(period)]
+        words[at:at] = [loop[i % period] for i in range(rnd.randrange(1, 4 * period + 50))]
+    return words
+
+
+def test_runs_are_those_of_the_definition():
+    rnd = random.Random(5)
+    for _ in range(25):
+        texts = [random_words(rnd) for _ in range(rnd.randrange(1, 15))]
+        found = runs_of([[w.encode() for w in t] for t in texts])
+        for words, runs in zip(texts, found):
+            assert runs == by_definition(words)
+            assert collapsed([w.encode() for w in words], runs).decode() == " ".join(kept(words, runs))
+
+
+@pytest.mark.parametrize("period", [1, 2, 8, 9, 16, 17, 24, 25, 36, 37, 54, 81, 121, 122, 400])
+def test_shortest_run_of_every_scale(period):
+    """Exactly the least length is found, one word less is not, at the borders of the scales."""
+    rnd = random.Random(period)
+    size = max(24, 3 * period)
+    loop = [b"w%d" % rnd.randrange(10**9) for _ in range(period)]
+    for length, want in ((size, 1), (size - 1, 0)):
+        run = [loop[i % period] for i in range(length)]
+        text = [b"before", b"it", *run, b"after"]
+        assert runs_of([text, [b"short"]]) == [[(2, length, period)] if want else [], []]
+
+
+def test_scales_join_without_gap():
+    ranges = list(scales(10**6))
+    assert ranges[0][0] == module.SHORT and ranges[-1][1] >= 10**6
+    assert all(a[1] == b[0] for a, b in zip(ranges, ranges[1:]))
+    # A window and a stretch fit twice, one period apart, into three periods.
+    assert all(low + 1 + high + (2 * low + 3 - high) - 1 <= 3 * (low + 1) and 2 * low + 3 > high for low, high in ranges)
+
+
+def test_no_run_reaches_over_texts():
+    words = [b"x"] * 20
+    assert runs_of([words, words, words]) == [[], [], []]
+
+
+def test_many_pairs_of_one_run_are_extended_once(monkeypatch):
+    calls = []
+    ahead = module.equal_ahead
+    monkeypatch.setattr(module, "equal_ahead", lambda *a: calls.append(a) or ahead(*a))
+    loop = [b"w%d" % i for i in range(50)]
+    assert runs_of([loop * 400]) == [[(0, 20000, 50)]]
+    assert len(calls) < 5
+
+
+def test_cases(spark, monkeypatch):
+    monkeypatch.setattr(module, "BATCH_BYTES", 1000)
+    rows = TEXTS + [(20, "a b " * 30), (21, "é\x85ü " * 40 + "end")]
+    found = periodic_runs(messy(spark, rows)).collect()
+    want = []
+    for i, text in rows:
+        words = split(text)
+        runs = by_definition(words) if len(words) < 1000 else [(0, len(words) // 4 * 4, 4)]
+        want.append((i, len(words), runs, " ".join(kept(words, runs))))
+    assert sorted(((r.id, r.n_words, [tuple(x) for x in r.runs], r.collapsed) for r in found), key=repr) == sorted(
+        want, key=repr
+    )
+    assert periodic_runs(nothing(spark)).count() == 0
+
+
+def test_query_against_the_definition(spark):
+    docs = {r.doc_id: r.text for r in queries.read(spark, FOLDER, "documents").collect()}
+    found = queries.op11_periodic_runs(spark, FOLDER).collect()
+    assert sorted(r.doc_id for r in found) == sorted(docs)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    some = 0
+    for r in found:
+        words = looped(r.doc_id, split(docs[r.doc_id]))
+        runs = by_definition(words)
+        some += len(runs)
+        best = max(runs, key=lambda x: (x[1] / x[2], -x[0], -x[2]), default=None)
+        milli = best and 1000 * best[1] // best[2]
+        assert (r.n_runs, r.start, r.length, r.period, r.exponent_milli) == (
+            len(runs), *(best or (None,) * 3), milli
+        )
+        assert r.runs_sha256 == sha("".join(f"{s},{n},{q}\n" for s, n, q in runs))
+        assert r.collapsed_sha256 == sha(" ".join(kept(words, runs)))
+    assert some > 10

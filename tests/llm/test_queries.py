@@ -19,6 +19,7 @@ COLUMNS = {
     "op8_bigru_language": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
     "op9_quality_bayes": {"doc_id": "bigint", "score": "double", "kept": "boolean"},
     "op10_suffix_tree_scores": {"doc_id": "bigint", "held_out": "boolean", "n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double"},
+    "op11_periodic_runs": {"doc_id": "bigint", "n_runs": "bigint", "start": "bigint", "length": "bigint", "period": "bigint", "exponent_milli": "bigint", "runs_sha256": "string", "collapsed_sha256": "string"},
 }
 
 
@@ -27,7 +28,7 @@ def con():
     return duckdb_tables(FOLDER)
 
 
-def test_ten_operators():
+def test_all_operators():
     assert set(queries.QUERIES) == set(COLUMNS)
 
 
