@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from monthweave.llm import bigru, byte_bpe, pii_crf, suffix_tree
 from monthweave.llm.containment import contained_items
 from monthweave.llm.exact_dedup import DigestIndex
+from monthweave.llm.fingerprints import likeness, with_fingerprint
 from monthweave.llm.near_dedup import near_duplicates
+from monthweave.llm.next_texts import with_next
 from monthweave.llm.periodic_runs import periodic_runs
 from monthweave.llm.quality_bayes import score_quality
 from monthweave.llm.rendezvous import shard_texts
@@ -195,6 +197,22 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_next(read(spark, sf_dir, "documents"), lambda df: with_fingerprint(df, output="about"))
+    edited = docs.select(
+        "id", "n_chars", "about", "next_about", F.concat("kept", "next_head").alias("edited")
+    )
+    return with_fingerprint(edited, "edited", "edited_fingerprint").select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        F.col("about").alias("fingerprint"),
+        "edited_fingerprint",
+        likeness(F.col("about"), F.col("edited_fingerprint")).alias("near_edited"),
+        likeness(F.col("about"), F.col("next_about")).alias("near_next"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_exact_dedup": op2_exact_dedup,
@@ -207,6 +225,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_bayes": op9_quality_bayes,
     "op10_suffix_tree_scores": op10_suffix_tree_scores,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_document_fingerprints": op13_document_fingerprints,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
