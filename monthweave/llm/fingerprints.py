@@ -78,6 +78,7 @@ def with_fingerprint(
     # a bin stands for an empty one: sorted in, it makes the array of first hashes complete.
     all_bins = F.sequence(F.lit(-half).cast("long"), F.lit(half - 1).cast("long"))
     none = F.transform(all_bins, lambda b: F.shiftleft(b, rest) + F.lit((1 << rest) - 1))
+    place = lambda b: (b + half).cast("int")
     is_empty = lambda v: v.bitwiseAND((1 << rest) - 1) == F.lit((1 << rest) - 1)
 
     steps = df.select(F.struct("*").alias("_all"), word_hashes(F.col(text_column)).alias("_words"))
@@ -87,16 +88,19 @@ def with_fingerprint(
         _bin(v, bin_bits) != _bin(F.get("_sorted", F.greatest(i - 1, F.lit(0))), bin_bits)
     )
     steps = steps.select("_all", F.filter("_sorted", first).alias("_bins"))
-    steps = steps.select("_all", "_bins", F.filter("_bins", lambda v: ~is_empty(v)).alias("_full"))
+    full = F.transform(F.filter("_bins", lambda v: ~is_empty(v)), lambda v: place(_bin(v, bin_bits)))
+    steps = steps.select("_all", "_bins", full.alias("_full"))
 
     def drawn(i: Column, attempt: int) -> Column:
-        return F.get("_bins", (_bin(F.xxhash64(i, F.lit(attempt)), bin_bits) + half).cast("int"))
+        return F.get("_bins", place(_bin(F.xxhash64(i, F.lit(attempt)), bin_bits)))
 
     def preferred(i: Column) -> Column:
+        # A priority has the bin's place in its lowest bits.
         by_priority = F.transform(
-            "_full", lambda v: F.struct(F.xxhash64(i, _bin(v, bin_bits), F.lit("order")).alias("p"), v.alias("v"))
+            "_full",
+            lambda b: F.xxhash64(i, b).bitwiseAND(F.lit(-2 * half).cast("long")).bitwiseOR(b.cast("long")),
         )
-        return F.array_min(by_priority)["v"]
+        return F.get("_bins", F.array_min(by_priority).bitwiseAND(2 * half - 1).cast("int"))
 
     def filled(value: Column, i: Column) -> Column:
         choices = reduce(

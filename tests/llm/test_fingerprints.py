@@ -45,7 +45,7 @@ def by_definition(text, bin_bits=8, low_bits=8):
     for i in range(2 * half):
         looked = [i - half] + [chained(("i", i), ("i", j)) >> (64 - bin_bits) for j in range(ATTEMPTS)]
         full = [b for b in looked if b in bins]
-        b = full[0] if full else min(bins, key=lambda b: chained(("i", i), ("l", b), ("s", "order")))
+        b = full[0] if full else min(bins, key=lambda b: (chained(("i", i), ("i", b + half)) >> bin_bits, b))
         out.append(format(bins[b] & ((1 << low_bits) - 1), f"0{low_bits // 4}x"))
     return "".join(out)
 
