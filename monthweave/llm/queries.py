@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthweave.llm import bigru, byte_bpe, pii_crf, suffix_tree
+from monthweave.llm import bigru, byte_bpe, pii_crf, suffix_tree, token_alignment
 from monthweave.llm.containment import contained_items
 from monthweave.llm.exact_dedup import DigestIndex
 from monthweave.llm.fingerprints import likeness, with_fingerprint
@@ -18,7 +18,7 @@ from monthweave.llm.next_texts import with_next
 from monthweave.llm.periodic_runs import periodic_runs
 from monthweave.llm.quality_bayes import score_quality
 from monthweave.llm.rendezvous import shard_texts
-from monthweave.llm.storage import shared_folder
+from monthweave.llm.storage import ROW, keep, shared_folder
 from monthweave.llm.suffix_dedup import remove_repeats
 
 SHARDS = 24
@@ -197,6 +197,29 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_token_alignment(
+    spark: SparkSession,
+    sf_dir: str,
+    a_file: str | None = None,
+    b_file: str | None = None,
+    head_pairs: int = token_alignment.HEAD,
+) -> DataFrame:
+    shared = token_alignment.share_tokenizers(
+        spark,
+        a_file or public_tokenizers.path("byte_bpe_50k.json"),
+        b_file or public_tokenizers.path("piece_bpe_32k.model"),
+        public_tokenizers.PATTERN,
+    )
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    found = token_alignment.align(read(spark, sf_dir, "documents"), shared)
+    aligned = keep(found.select("*", digest).drop("groups"), "aligned")
+    pairs = token_alignment.pair_counts(aligned, shared)
+    numbers = token_alignment.link_statistics(aligned, pairs, shared, head_pairs)
+    return (
+        aligned.select(ROW, F.col("id").alias("doc_id"), "groups_sha256").join(numbers, ROW).drop(ROW)
+    )
+
+
 def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_next(read(spark, sf_dir, "documents"), lambda df: with_fingerprint(df, output="about"))
     edited = docs.select(
@@ -225,6 +248,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_bayes": op9_quality_bayes,
     "op10_suffix_tree_scores": op10_suffix_tree_scores,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_token_alignment": op12_token_alignment,
     "op13_document_fingerprints": op13_document_fingerprints,
 }
 
