@@ -67,6 +67,25 @@ def followers(rows: DataFrame) -> DataFrame:
     return after.join(nexts, "_place").drop("_place")
 
 
+def _heads(rows: DataFrame, describe: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Columns _key, _tie, about, before_key, before_tie, next_head, one row for each document: what the
+    document before it needs of it. Written."""
+    # Equal rows are put together before and after the shuffle.
+    texts = rows.groupBy(*KEY).agg(F.any_value("text").alias("text"))
+    asked = followers(rows).select(
+        F.col("next_key").alias("_key"),
+        F.col("next_tie").alias("_tie"),
+        F.col("_key").alias("before_key"),
+        F.col("_tie").alias("before_tie"),
+        "half",
+    )
+    head = F.substring("text", F.lit(1), F.col("half").cast("int")).alias("next_head")
+    return keep(
+        describe(texts.join(asked, KEY)).select(*KEY, "before_key", "before_tie", "about", head),
+        "next-heads",
+    )
+
+
 def with_next(
     docs: DataFrame,
     describe: Callable[[DataFrame], DataFrame],
@@ -80,27 +99,8 @@ def with_next(
     whole ``text``; each text's is found once.
     """
     rows = named(docs, id_column, text_column)
-    # Equal rows are put together before and after the shuffle. The text of a document meets the
-    # document before it here, and only what that one needs of it goes on.
-    texts = rows.groupBy(*KEY).agg(F.any_value("text").alias("text"))
-    nexts = followers(rows)
-    asked = nexts.select(
-        F.col("next_key").alias("_key"),
-        F.col("next_tie").alias("_tie"),
-        F.col("_key").alias("before_key"),
-        F.col("_tie").alias("before_tie"),
-        "half",
-    )
-    heads = keep(
-        describe(texts.join(asked, KEY)).select(
-            *KEY,
-            "before_key",
-            "before_tie",
-            "about",
-            F.substring("text", F.lit(1), F.col("half").cast("int")).alias("next_head"),
-        ),
-        "next-heads",
-    )
+    heads = _heads(rows, describe)
+    # The whole texts' shuffle files can go before the halves are shuffled.
     release(docs.sparkSession)
     own = heads.select(*KEY, "about")
     following = heads.select(

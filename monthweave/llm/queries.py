@@ -221,18 +221,25 @@ def op12_token_alignment(
 
 
 def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_next(read(spark, sf_dir, "documents"), lambda df: with_fingerprint(df, output="about"))
+    # Shuffled as bytes, half as long as their digits.
+    packed = lambda df: with_fingerprint(df, output="digits").withColumn("about", F.unhex("digits"))
+    docs = with_next(read(spark, sf_dir, "documents"), packed)
+    digits = lambda name: F.lower(F.hex(name))
     edited = docs.select(
-        "id", "n_chars", "about", "next_about", F.concat("kept", "next_head").alias("edited")
+        "id",
+        "n_chars",
+        digits("about").alias("fingerprint"),
+        digits("next_about").alias("next_fingerprint"),
+        F.concat("kept", "next_head").alias("edited"),
     )
     return with_fingerprint(edited, "edited", "edited_fingerprint").select(
         F.col("id").alias("doc_id"),
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        F.col("about").alias("fingerprint"),
+        "fingerprint",
         "edited_fingerprint",
-        likeness(F.col("about"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("about"), F.col("next_about")).alias("near_next"),
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
 
 
