@@ -210,14 +210,26 @@ def op12_token_alignment(
         b_file or public_tokenizers.path("piece_bpe_32k.model"),
         public_tokenizers.PATTERN,
     )
-    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    number = lambda column: F.size(column).cast("long")
     found = token_alignment.align(read(spark, sf_dir, "documents"), shared)
-    aligned = keep(found.select("*", digest).drop("groups"), "aligned")
-    pairs = token_alignment.pair_counts(aligned, shared)
-    numbers = token_alignment.link_statistics(aligned, pairs, shared, head_pairs)
-    return (
-        aligned.select(ROW, F.col("id").alias("doc_id"), "groups_sha256").join(numbers, ROW).drop(ROW)
+    aligned = keep(
+        found.select(
+            ROW,
+            F.col("id").alias("doc_id"),
+            number("a_ids").alias("n_a"),
+            number("b_ids").alias("n_b"),
+            number("a_sizes").alias("n_groups"),
+            F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"),
+            "pairs",
+            "times",
+        ),
+        "aligned",
     )
+    pairs = token_alignment.pair_counts(aligned)
+    numbers = token_alignment.link_statistics(aligned, pairs, head_pairs)
+    counted = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_links", "n_best", "count_sum")]
+    own = ["doc_id", "n_a", "n_b", "n_groups", "groups_sha256"]
+    return aligned.select(ROW, *own).join(numbers, ROW, "left").select(*own, *counted)
 
 
 def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,10 @@ keys that both have, sorted, cut the two lists of ids into groups that cover the
 Within a group each A token is linked with each B token that it shares a byte with: one token
 with all of the other side, or else by the ends within the group.
 
-How often a pair of ids is linked is counted over the whole corpus: summed in each task, then by
-one shuffle. A document looks up the HEAD most frequent pairs in a table of fixed size that all tasks have;
-the other links meet their counts in a shuffle join, where no key is frequent, since all of the head's
-pairs are more frequent.
+How often a pair of ids is linked is counted over the whole corpus, from each text's distinct pairs:
+summed in each task, then by one shuffle. The HEAD most frequent pairs, a table of fixed
+size, are broadcast to look up their counts; the others meet theirs in a shuffle join, where no key
+is frequent, since all of the head's pairs are more frequent.
 
 Each text is encoded whole, within one task, in small batches; memory is some hundred bytes
 for each token of a batch, and a very long text is a batch of its own.
@@ -25,7 +25,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
-from itertools import accumulate
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +37,9 @@ from pyspark.sql import functions as F
 from monthweave.llm.storage import ROW, keep, largest, with_row
 from monthweave.llm.words import small_batches
 
-#: Pairs of ids that all tasks look up; the others are joined.
+#: Pairs of ids that are looked up in a broadcast; the others are joined.
 HEAD = 1 << 18
-#: Pairs that a task sums up before it hands them on.
-SUMMED = 1 << 20
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 #: A pair of ids as one number.
 B_BITS = 32
 
@@ -114,84 +112,17 @@ def share_tokenizers(spark: SparkSession, a_path: str, b_path: str, pattern: str
 
 
 def covered(ids: list[int], tokens: list[bytes], text: bytes) -> bool:
-    return b"".join([tokens[i] for i in ids]) == text
+    return b"".join(map(tokens.__getitem__, ids)) == text
 
 
-def group_sizes(a_lengths: list[int], b_lengths: list[int]) -> tuple[list[int], list[int]]:
-    """How many tokens of either side each group has, from the bytes of the tokens.
-
-    A group ends where a token of either side ends.
+def group_stops(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int]]:
+    """How many tokens of either side there are up to the end of each group, from the byte
+    offsets where tokens end. A group ends where a token of either side ends.
     """
-    a_at = {end: i for i, end in enumerate(accumulate(a_lengths), 1)}
-    b_at = {end: i for i, end in enumerate(accumulate(b_lengths), 1)}
-    common = sorted(a_at.keys() & b_at.keys())
-    a_stops, b_stops = [a_at[end] for end in common], [b_at[end] for end in common]
-    sizes = lambda stops: [n - m for m, n in zip([0, *stops], stops)]
-    return sizes(a_stops), sizes(b_stops)
-
-
-def group_text(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the ids of both sides of every group."""
-    parts, i, j = [], 0, 0
-    for m, n in zip(a_sizes, b_sizes):
-        if m == n == 1:
-            parts.append(f"{a[i]}|{b[j]}")
-        else:
-            parts.append(",".join(map(str, a[i : i + m])) + "|" + ",".join(map(str, b[j : j + n])))
-        i, j = i + m, j + n
-    return ";".join(parts)
-
-
-def _align(shared) -> Callable:
-    def align_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = shared.value.made()
-        a_size, b_size = list(map(len, a.tokens)), list(map(len, b.tokens))
-        ints = pa.list_(pa.int32())
-        for batch in small_batches(batches, limit=BATCH_BYTES):
-            texts = [t.as_py() or "" for t in batch.column("text")]
-            columns = [[], [], [], [], []]
-            for text, ids_a, ids_b in zip(texts, a.encode(texts), b.encode(texts)):
-                whole = b" " + text.encode()
-                if not text or not covered(ids_a, a.tokens, whole) or not covered(ids_b, b.tokens, whole):
-                    ids_a = ids_b = []
-                sizes = group_sizes([a_size[i] for i in ids_a], [b_size[i] for i in ids_b])
-                for column, value in zip(columns, (ids_a, ids_b, *sizes, group_text(ids_a, ids_b, *sizes))):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(ROW),
-                    batch.column("id"),
-                    *(pa.array(c, ints) for c in columns[:4]),
-                    pa.array(columns[4], pa.string()),
-                ],
-                [ROW, "id", "a_ids", "b_ids", "a_sizes", "b_sizes", "groups"],
-            )
-
-    return align_batches
-
-
-def align(
-    docs: DataFrame, shared, id_column: str = "doc_id", text_column: str = "text"
-) -> DataFrame:
-    """Columns _row, id, a_ids, b_ids, a_sizes, b_sizes (tokens of either side in each group), groups (the same
-    as text, see ``group_text``).
-
-    Write the result, as ``keep`` does, before handing it to the functions below, which read it
-    more than once; they do not need ``groups``.
-    """
-    slim = with_row(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")))
-    kind = slim.schema["id"].dataType.simpleString()
-    return slim.select(ROW, "id", "text").mapInArrow(
-        _align(shared),
-        f"{ROW} long, id {kind}, a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>, groups string",
-    )
-
-
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All values of a list column, and how many each row has."""
-    offsets = column.offsets.to_numpy().astype(np.int64)
-    values = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
-    return values.astype(np.int64), np.diff(offsets)
+    a_at, b_at = dict(zip(a_ends, count(1))), dict(zip(b_ends, count(1)))
+    # A dictionary keeps the order of its keys, and ends rise, so the common keys come sorted.
+    common = list(filter(b_at.__contains__, a_at))
+    return list(map(a_at.__getitem__, common)), list(map(b_at.__getitem__, common))
 
 
 def links(
@@ -221,156 +152,149 @@ def links(
     return (a[at_a] << B_BITS) | b[at_b], n
 
 
-class _Lengths:
-    """Bytes of every token of both sides, made once a worker."""
+class Batch:
+    """The tokens and groups of some texts, each side in one array, and where each text's begin."""
+
+    def __init__(self, texts: Sequence[str], a: ByteLevelBPE, b: PieceModel):
+        a_ids, b_ids = a.encode(texts), b.encode(texts)
+        for i, text in enumerate(texts):
+            whole = b" " + text.encode()
+            if not text or not covered(a_ids[i], a.tokens, whole) or not covered(b_ids[i], b.tokens, whole):
+                a_ids[i] = b_ids[i] = []
+        self.a_len, self.b_len = np.array(list(map(len, a.tokens))), np.array(list(map(len, b.tokens)))
+        self.a, self.a_at = _joined(a_ids)
+        self.b, self.b_at = _joined(b_ids)
+        # Both sides of each text cover the same bytes, so offsets can go on from text to text.
+        a_ends, b_ends = np.cumsum(self.a_len[self.a]).tolist(), np.cumsum(self.b_len[self.b]).tolist()
+        within = lambda ends, at: [ends[low:high] for low, high in zip(at.tolist(), at[1:].tolist())]
+        stops = [group_stops(*sides) for sides in zip(within(a_ends, self.a_at), within(b_ends, self.b_at))]
+        a_stops, self.at = _joined([a for a, _ in stops])
+        b_stops, _ = _joined([b for _, b in stops])
+        self.a_sizes = _sizes(a_stops, self.a_at, self.at)
+        self.b_sizes = _sizes(b_stops, self.b_at, self.at)
+
+    def texts_of_groups(self, names: tuple[np.ndarray, ...]) -> list[str]:
+        """``a1,a2|b1;a3|b2,b3`` for each text: the ids of both sides of every group."""
+        a_more, a_last, b_more, b_last = names
+        a_stop, b_stop = np.cumsum(self.a_sizes), np.cumsum(self.b_sizes)
+        out = np.empty(len(self.a) + len(self.b), object)
+        a_names, b_names = a_more[self.a], b_more[self.b]
+        a_names[a_stop - 1], b_names[b_stop - 1] = a_last[self.a[a_stop - 1]], b_last[self.b[b_stop - 1]]
+        # The A tokens of a group come behind the B tokens of the groups before it, its B tokens behind them.
+        out[np.arange(len(self.a)) + np.repeat(b_stop - self.b_sizes, self.a_sizes)] = a_names
+        out[np.arange(len(self.b)) + np.repeat(a_stop, self.b_sizes)] = b_names
+        at = (self.a_at + self.b_at).tolist()
+        return ["".join(out[low:high].tolist())[:-1] for low, high in zip(at, at[1:])]
+
+    def pairs(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The distinct linked pairs of each text and how many links each has."""
+        codes, n = links(self.a, self.b, self.a_sizes, self.b_sizes, self.a_len, self.b_len)
+        at = np.concatenate([[0], np.cumsum(n)])[self.at].tolist()
+        found = [np.unique(codes[low:high], return_counts=True) for low, high in zip(at, at[1:])]
+        return [pair for pair, _ in found], [times for _, times in found]
+
+
+def _joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    at = np.concatenate([[0], np.cumsum(list(map(len, lists)))]).astype(np.int64)
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(at[-1])), at
 
-    _made: dict = {}
 
-    @classmethod
-    def of(cls, shared) -> tuple[np.ndarray, np.ndarray]:
-        key = (hash(shared.value.a), hash(shared.value.b))
-        if key not in cls._made:
-            cls._made[key] = tuple(np.array(list(map(len, t.tokens)), np.int64) for t in shared.value.made())
-        return cls._made[key]
+def _sizes(stops: np.ndarray, tokens_at: np.ndarray, groups_at: np.ndarray) -> np.ndarray:
+    """How many tokens each group has, from the tokens of its text up to its end."""
+    return np.diff(stops + np.repeat(tokens_at[:-1], np.diff(groups_at)), prepend=0)
 
 
-def _links_of(batch: pa.RecordBatch, shared) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All links of a batch, how many each row has, and the groups of each row."""
-    (a, _), (b, _) = _flat(batch.column("a_ids")), _flat(batch.column("b_ids"))
-    (a_sizes, groups), (b_sizes, _) = _flat(batch.column("a_sizes")), _flat(batch.column("b_sizes"))
-    codes, n = links(a, b, a_sizes, b_sizes, *_Lengths.of(shared))
-    sums = np.concatenate([[0], np.cumsum(n)])
-    stops = np.concatenate([[0], np.cumsum(groups)])
-    return codes, np.diff(sums[stops]), groups
+def _lists(values: np.ndarray, at: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values).cast(kind))
 
 
-def _parts(batches: Iterator[pa.RecordBatch], tokens: int = 1 << 19) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about so many A tokens, or of one longer text."""
-    for batch in batches:
-        ends = np.cumsum(_flat(batch.column("a_ids"))[1])
-        low = 0
-        while low < batch.num_rows:
-            before = ends[low - 1] if low else 0
-            high = max(int(np.searchsorted(ends, before + tokens, "right")), low + 1)
-            yield batch.slice(low, high - low)
-            low = high
+def _names(tokens: int, end: str) -> np.ndarray:
+    return np.array([f"{i}{end}" for i in range(tokens)], object)
 
 
-def _pair_batch(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(n, pa.int64())], ["pair", "n"])
+def _align(shared) -> Callable:
+    def align_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = shared.value.made()
+        names = tuple(_names(len(t.tokens), end) for t, end in ((a, ","), (a, "|"), (b, ","), (b, ";")))
+        for rows in small_batches(batches, limit=BATCH_BYTES):
+            batch = Batch([t.as_py() or "" for t in rows.column("text")], a, b)
+            pairs, times = batch.pairs()
+            at = np.concatenate([[0], np.cumsum(list(map(len, pairs)))])
+            flat = lambda arrays: np.concatenate([np.zeros(0, np.int64), *arrays])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows.column(ROW),
+                    rows.column("id"),
+                    _lists(batch.a, batch.a_at, pa.int32()),
+                    _lists(batch.b, batch.b_at, pa.int32()),
+                    _lists(batch.a_sizes, batch.at, pa.int32()),
+                    _lists(batch.b_sizes, batch.at, pa.int32()),
+                    pa.array(batch.texts_of_groups(names), pa.string()),
+                    _lists(flat(pairs), at, pa.int64()),
+                    _lists(flat(times), at, pa.int64()),
+                ],
+                [ROW, "id", "a_ids", "b_ids", "a_sizes", "b_sizes", "groups", "pairs", "times"],
+            )
 
+    return align_batches
 
-def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    code, which = np.unique(np.concatenate(codes), return_inverse=True)
-    n = np.zeros(len(code), np.int64)
-    np.add.at(n, which, np.concatenate(counts))
-    return code, n
 
+def align(
+    docs: DataFrame, shared, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """Columns _row, id, a_ids, b_ids, a_sizes, b_sizes (tokens of either side in each group), groups (the
+    same as text, a1,a2|b1;a3|b2,b3), pairs (distinct linked pairs, a * 2**32 + b) and times (their links).
+
+    Write what is wanted of it, as ``keep`` does, before handing it to the functions below: they
+    read _row, pairs and times more than once.
+    """
+    slim = with_row(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")))
+    kind = slim.schema["id"].dataType.simpleString()
+    ints = ", ".join(f"{c} array<int>" for c in ("a_ids", "b_ids", "a_sizes", "b_sizes"))
+    return slim.select(ROW, "id", "text").mapInArrow(
+        _align(shared),
+        f"{ROW} long, id {kind}, {ints}, groups string, pairs array<long>, times array<long>",
+    )
 
-def _count(shared) -> Callable:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts, held = [], [], 0
-        for batch in _parts(batches):
-            code, n = np.unique(_links_of(batch, shared)[0], return_counts=True)
-            codes.append(code)
-            counts.append(n)
-            held += len(code)
-            if held > SUMMED:
-                code, n = _summed(codes, counts)
-                if len(code) > SUMMED // 2:
-                    yield _pair_batch(code, n)
-                    code, n = code[:0], n[:0]
-                codes, counts, held = [code], [n], len(code)
-        if held:
-            yield _pair_batch(*_summed(codes, counts))
 
-    return count
+def _links(aligned: DataFrame) -> DataFrame:
+    pairs = aligned.select(ROW, F.explode(F.arrays_zip("pairs", "times")).alias("l"))
+    return pairs.select(ROW, F.col("l.pairs").alias("pair"), F.col("l.times").alias("times"))
 
 
-def pair_counts(aligned: DataFrame, shared) -> DataFrame:
+def pair_counts(aligned: DataFrame) -> DataFrame:
     """Columns a, b, pair (both ids as one number), n (links of the pair in all rows), is_best
     (no pair of the same ``b`` has more). Written, one row for each pair that is linked.
     """
     counted = keep(
-        aligned.select("a_ids", "b_ids", "a_sizes", "b_sizes")
-        .mapInArrow(_count(shared), "pair long, n long")
+        _links(aligned)
         .groupBy("pair")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("times").alias("n"))
         .withColumn("b", F.col("pair").bitwiseAND((1 << B_BITS) - 1).cast("int")),
         "pair-counts",
     )
     best = counted.groupBy("b").agg(F.max("n").alias("most"))
-    return keep(
-        counted.join(best, "b").select(
-            F.shiftright("pair", B_BITS).cast("int").alias("a"), "b", "pair", "n", (F.col("n") == F.col("most")).alias("is_best")
-        ),
-        "pairs",
-    )
-
+    is_best = (F.col("n") == F.col("most")).alias("is_best")
+    a = F.shiftright("pair", B_BITS).cast("int").alias("a")
+    return keep(counted.join(best, "b").select(a, "b", "pair", "n", is_best), "pairs")
 
-def _look_up(shared, head) -> Callable:
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, n, best = head.value
-        for batch in _parts(batches):
-            codes, per_row, groups = _links_of(batch, shared)
-            at = np.minimum(np.searchsorted(pairs, codes), len(pairs) - 1)
-            known = pairs[at] == codes
-            row = np.repeat(np.arange(batch.num_rows), per_row)
-            stops = np.concatenate([[0], np.cumsum(per_row)])
-            sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[stops])
-            # Links beyond the head: equal ones of a row once, with their number.
-            order = np.lexsort((codes[~known], row[~known]))
-            rest, rest_row = codes[~known][order], row[~known][order]
-            fresh = np.ones(len(rest), bool)
-            fresh[1:] = (rest[1:] != rest[:-1]) | (rest_row[1:] != rest_row[:-1])
-            first = np.flatnonzero(fresh)
-            offsets = pa.array(np.searchsorted(rest_row[first], np.arange(batch.num_rows + 1)), pa.int32())
-            lists = lambda x: pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64()))
-            size = lambda name: _flat(batch.column(name))[1]
-            numbers = (size("a_ids"), size("b_ids"), groups, per_row, sums(known & best[at]), sums(np.where(known, n[at], 0)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(ROW),
-                    *(pa.array(x, pa.int64()) for x in numbers),
-                    lists(rest[first]),
-                    lists(np.diff(np.append(first, len(rest)))),
-                ],
-                [ROW, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "rest", "times"],
-            )
 
-    return look_up
-
-
-def link_statistics(aligned: DataFrame, pairs: DataFrame, shared, head_pairs: int = HEAD) -> DataFrame:
-    """Columns _row, n_a, n_b, n_groups, n_links, n_best (links whose pair ``is_best``), count_sum (the
-    counts of the pairs of all links); one row for each row of ``aligned``.
+def link_statistics(aligned: DataFrame, pairs: DataFrame, head_pairs: int = HEAD) -> DataFrame:
+    """Columns _row, n_links, n_best (links whose pair ``is_best``), count_sum (the counts of the pairs of
+    all links); one row for each row of ``aligned`` that has a link.
     """
-    spark = aligned.sparkSession
-    found = largest(pairs, "n", head_pairs).select("pair", "n", "is_best").toPandas().sort_values("pair")
-    # At most ``head_pairs`` rows of 17 bytes. A pair that no link has stands in for an empty head.
-    none = ([-1], [0], [False])
-    arrays = [found[c].to_numpy() if len(found) else np.array(x) for c, x in zip(("pair", "n", "is_best"), none)]
-    head = spark.sparkContext.broadcast(tuple(arrays))
-    kinds = ", ".join(f"{c} long" for c in (ROW, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"))
-    read = keep(
-        aligned.select(ROW, "a_ids", "b_ids", "a_sizes", "b_sizes").mapInArrow(
-            _look_up(shared, head), f"{kinds}, rest array<long>, times array<long>"
-        ),
-        "link-statistics",
-    )
-    beyond = read.select(ROW, F.explode(F.arrays_zip("rest", "times")).alias("l")).select(
-        ROW, F.col("l.rest").alias("pair"), F.col("l.times").alias("times")
-    )
-    more = (
-        beyond.join(pairs.select("pair", "n", "is_best"), "pair")
-        .groupBy(ROW)
-        .agg(
-            F.sum(F.when(F.col("is_best"), F.col("times")).otherwise(0)).alias("more_best"),
-            F.sum(F.col("times") * F.col("n")).alias("more_counts"),
+    counts = pairs.select("pair", "n", "is_best")
+    # At most ``head_pairs`` rows of 17 bytes; written, so that both uses below have the same.
+    head = keep(largest(counts, "n", head_pairs), "head-pairs")
+
+    def summed(links: DataFrame) -> DataFrame:
+        return links.groupBy(ROW).agg(
+            F.sum("times").alias("n_links"),
+            F.sum(F.when(F.col("is_best"), F.col("times")).otherwise(0)).alias("n_best"),
+            F.sum(F.col("times") * F.col("n")).alias("count_sum"),
         )
-    )
-    slim = read.drop("rest", "times").join(more, ROW, "left")
-    added = lambda name, more: (F.col(name) + F.coalesce(more, F.lit(0))).alias(name)
-    return slim.select(
-        ROW, "n_a", "n_b", "n_groups", "n_links", added("n_best", "more_best"), added("count_sum", "more_counts")
-    )
+
+    known = summed(_links(aligned).join(F.broadcast(head), "pair"))
+    beyond = _links(aligned).join(F.broadcast(head.select("pair")), "pair", "left_anti")
+    both = known.unionByName(summed(beyond.join(counts, "pair")))
+    return both.groupBy(ROW).agg(*[F.sum(c).alias(c) for c in ("n_links", "n_best", "count_sum")])

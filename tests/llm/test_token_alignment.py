@@ -100,22 +100,23 @@ def texts():
 
 def numbers(spark, docs, shared, head):
     aligned = keep(module.align(docs, shared), "test-aligned")
-    pairs = module.pair_counts(aligned, shared)
-    stats = module.link_statistics(aligned, pairs, shared, head)
-    return aligned, pairs, stats
+    pairs = module.pair_counts(aligned)
+    stats = module.link_statistics(aligned, pairs, head)
+    return aligned, pairs, {r._row: r for r in stats.collect()}
 
 
-@pytest.mark.parametrize("head, summed", [(1 << 18, 1 << 20), (40, 10), (0, 1)])
-def test_numbers_are_those_of_the_libraries(spark, libraries, shared, monkeypatch, head, summed):
-    monkeypatch.setattr(module, "SUMMED", summed)
+@pytest.mark.parametrize("head, batch", [(1 << 18, 1 << 19), (40, 200), (0, 1)])
+def test_numbers_are_those_of_the_libraries(spark, libraries, shared, monkeypatch, head, batch):
+    monkeypatch.setattr(module, "BATCH_BYTES", batch)
     rows = list(enumerate(texts())) + [(None, "a row"), (None, "a row")]
     aligned, _, stats = numbers(spark, messy(spark, rows), shared, head)
-    text = {r._row: r for r in aligned.collect()}
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest() if t else ""
-    found = [
-        (text[r._row].id, r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, sha(text[r._row].groups))
-        for r in stats.collect()
-    ]
+    found = []
+    for r in aligned.collect():
+        n = stats.get(r._row)
+        of_links = (n.n_links, n.n_best, n.count_sum) if n else (0, 0, 0)
+        assert (sum(r.a_sizes), sum(r.b_sizes), sum(r.times)) == (len(r.a_ids), len(r.b_ids), of_links[0])
+        found.append((r.id, len(r.a_ids), len(r.b_ids), len(r.a_sizes), *of_links, sha(r.groups)))
     assert sorted(found, key=repr) == expected(libraries, rows)
 
 
@@ -153,11 +154,11 @@ def test_merges_out_of_order_are_refused():
 def test_long_texts_and_empty_table(spark, shared):
     rows = [(1, "long text without end " * 4000), (2, "x" * 50000), (3, None), (4, "")]
     aligned, _, stats = numbers(spark, messy(spark, rows), shared, 10)
-    ids = {r._row: r.id for r in aligned.select("_row", "id").collect()}
-    found = {ids[r._row]: r for r in stats.collect()}
-    assert found[1].n_links > 10000 and found[2].n_a > 1000
-    assert all(found[i].n_links == found[i].n_groups == found[i].count_sum == 0 for i in (3, 4))
-    assert numbers(spark, nothing(spark), shared, 10)[2].count() == 0
+    found = {r.id: (r, stats.get(r._row)) for r in aligned.collect()}
+    assert found[1][1].n_links > 10000 and len(found[2][0].a_ids) > 1000
+    assert all(found[i][1] is None and found[i][0].groups == "" for i in (3, 4))
+    aligned, pairs, stats = numbers(spark, nothing(spark), shared, 10)
+    assert aligned.count() == pairs.count() == len(stats) == 0
 
 
 def test_query_against_the_libraries(spark, libraries):
