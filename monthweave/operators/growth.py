@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from monthweave.functions.columns import months_later, ratio
 from monthweave.operators.calendar import MonthRange, MonthRanges
-from monthweave.operators.ranking import Rank, add_ranks
+from monthweave.operators.ranking import Rank, add_ranks, ranked_values
 from monthweave.schemas import MONTH
 
 
@@ -135,16 +135,16 @@ def growth_ratios(summary: DataFrame, segment: str, spec: GrowthSpec) -> DataFra
     )
 
 
+def _measures(spec: GrowthSpec) -> list[Rank]:
+    measures = ["latest_spend", *[f"ratio{h}" for h in spec.horizons]]
+    return [Rank(f"rank_{m}", m, missing=spec.missing) for m in measures]
+
+
 def growth_ranks(ratios: DataFrame, segment: str, spec: GrowthSpec) -> DataFrame:
     """Ascending ranks of latest spend and of each ratio among all segments of an anchor."""
-    measures = ["latest_spend", *[f"ratio{h}" for h in spec.horizons]]
-    keyed = ratios.withColumns(
-        {f"_by_{m}": F.coalesce(F.col(m), F.lit(spec.missing)) for m in measures}
-    )
-    ranked = add_ranks(
-        keyed, [Rank(f"rank_{m}", f"_by_{m}") for m in measures], key=(segment, MONTH), group=MONTH
-    )
-    return ranked.select(segment, MONTH, *measures, *[f"rank_{m}" for m in measures])
+    ranks = _measures(spec)
+    ranked = add_ranks(ratios, ranks, key=(segment, MONTH), group=MONTH)
+    return ranked.select(segment, MONTH, *[r.value for r in ranks], *[r.output for r in ranks])
 
 
 def index_components(ranks: DataFrame, segment: str, spec: GrowthSpec) -> DataFrame:
@@ -172,3 +172,26 @@ def final_index(
         .agg(F.sum("growth_index").alias("overall_growth_index"))
         .orderBy(F.col("overall_growth_index").desc_nulls_last(), F.col(segment))
     )
+
+
+def growth_index(
+    ratios: DataFrame, segment: str, spec: GrowthSpec, keep: Sequence[str] | None = None
+) -> DataFrame:
+    """What ``final_index`` makes of the components, without putting the ranks of a row together first.
+
+    The index is a sum of weighted ranks, so each rank goes to its segment directly. Only rows of
+    kept segments look up their ranks.
+    """
+    ranks = _measures(spec)
+    found = ranked_values(ratios, ranks, (segment, MONTH), group=MONTH, carried=("latest_spend",))
+    if keep is not None:
+        found = found.where(F.col(segment).isin(list(keep)))
+    weight = F.lit(Decimal("0.0"))
+    for anchor, w in spec.weights.items():
+        of_measure = F.when(F.col("measure") == 0, F.lit(w.latest)).otherwise(F.lit(w.ratios))
+        weight = F.when(F.col(MONTH) == F.lit(anchor), of_measure).otherwise(weight)
+    return (
+        found.groupBy(segment, "latest_spend")
+        .agg(F.sum(weight * F.col("rank")).alias("overall_growth_index"))
+        .orderBy(F.col("overall_growth_index").desc_nulls_last(), F.col(segment))
+    )

@@ -165,7 +165,7 @@ class Books:
     def growth_index(
         self, segment: Segment, spec: GrowthSpec, keep: Sequence[str] | None = None
     ) -> DataFrame:
-        return growth.final_index(self.index_components(segment, spec), segment.name, keep)
+        return growth.growth_index(self.growth_ratios(segment, spec), segment.name, spec, keep)
 
     def growth_index_state(self) -> DataFrame:
         return self.growth_index(

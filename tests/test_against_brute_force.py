@@ -11,12 +11,21 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from monthweave.operators import growth
 from monthweave.operators.calendar import MonthRange, MonthRanges
 from monthweave.operators.growth import AnchorWeights, GrowthSpec, growth_ratios
 from monthweave.operators.panel import Segment, org_month_panel, segment_month_summary
 from monthweave.operators.ranking import Rank, add_ranks, value_range
 from monthweave.operators.spend import Spend
 from monthweave.operators.totals import segment_totals
+from monthweave.plans.books import Books
+from monthweave.plans.settings import (
+    ACCOUNT_STUDY,
+    STATE,
+    STATE_INDUSTRY,
+    STATE_INDUSTRY_WEIGHTS,
+    STATE_WEIGHTS,
+)
 from monthweave.schemas import BALANCES, ORGANIZATIONS, SPENDING
 from monthweave.sources.tables import rows_of
 from tests.conftest import org_row
@@ -185,6 +194,30 @@ def test_ranks_count_the_values_before(spark, group, descending):
     assert len(found) == len(data)
 
 
+def test_null_values_groups_and_further_columns(spark):
+    """A null ranks as the value that stands for it, and a null group is a group."""
+    rows = [(1, None, 5.0, "a"), (2, None, None, None), (3, "g", None, "c"), (4, "g", -7.0, "d"), (5, None, 5.0, "e")]
+    df = spark.createDataFrame(rows, "id int, g string, v double, rest string")
+    found = add_ranks(df, [Rank("r", "v", missing=-99), Rank("d", "v", True)], ("id",), "g")
+    assert found.columns == ["id", "g", "v", "rest", "r", "d"]
+    assert sorted(map(tuple, found.collect())) == [
+        (1, None, 5.0, "a", 2, 1), (2, None, None, None, 1, 3), (3, "g", None, "c", 1, 1),
+        (4, "g", -7.0, "d", 2, 2), (5, None, 5.0, "e", 2, 1),
+    ]
+
+
+def test_index_of_ranks_is_that_of_the_components(spark):
+    frames = as_frames(spark, *random_tables(12, True))
+    books = Books(frames[0], frames[1], Spend(frames[2]), ACCOUNT_STUDY)
+    for segment, weights in ((STATE, STATE_WEIGHTS), (STATE_INDUSTRY, STATE_INDUSTRY_WEIGHTS)):
+        spec = ACCOUNT_STUDY.growth(weights)
+        for keep in (None, ["CA", "UT", "CA-b2b"]):
+            want = growth.final_index(books.index_components(segment, spec), segment.name, keep)
+            assert sorted(map(tuple, books.growth_index(segment, spec, keep).collect()), key=repr) == sorted(
+                map(tuple, want.collect()), key=repr
+            )
+
+
 def test_ranges_follow_the_values(spark):
     values = sorted([-1e9, -99.0, -1.5, -1e-9, 0.0, 1e-9, 0.5, 0.5001, 1.0, 2.0, 1e6, 1e6 + 1, 1e15])
     df = spark.createDataFrame([(v,) for v in values], "v double")

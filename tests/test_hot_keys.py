@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from check_oracle import duckdb_rows, duckdb_tables, normalised
 from monthweave.operators.panel import summarise_panel
+from monthweave.operators.ranking import Rank, add_ranks
 from monthweave.operators.spend import Spend
 from monthweave.plans.books import Books
 from monthweave.plans.settings import ACCOUNT_STUDY, STATE
@@ -82,6 +83,39 @@ def test_hot_keys_are_split_and_nothing_is_lost(spark, folder, small_splits, nam
     assert len(re.findall("skew=true", final_plan(df))) >= split_joins
 
 
+def test_no_task_holds_a_third_of_the_segments_that_tie(spark, small_splits):
+    """Missing ratios tie on one value, which is one row for each task before it is ordered."""
+    size = 60_000
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    segments = spark.range(0, size, 1, 8).selectExpr(
+        "concat('a rather long name of segment ', id) AS segment",
+        "if(id % 3 = 0, null, (id * 7919 % 10007) / 100.0) AS ratio",
+        "cast(id % 5 AS decimal(9,2)) AS spend",
+    )
+    ranks = [Rank("rank_ratio", "ratio", missing=-99), Rank("rank_spend", "spend", descending=True)]
+    df = add_ranks(segments, ranks, ("segment",))
+    try:
+        rows = df.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    plan = final_plan(df)
+    assert "skew=true" in plan
+    # What is ordered was counted by value first.
+    first, *others = plan.split("Window [sum(_rows")[1:]
+    assert re.search(r"HashAggregate\(keys=\[measure\S+ range\S+ v0\S+ v1\S+ functions=\[partial_count\(1\)", first)
+    assert not any("Window [rank" in part for part in (first, *others))
+
+    ratios = sorted(-99.0 if r.ratio is None else float(r.ratio) for r in rows)
+    first = {}
+    for place, value in enumerate(ratios, 1):
+        first.setdefault(value, place)
+    assert len(rows) == size
+    for r in rows:
+        assert r.rank_ratio == first[-99.0 if r.ratio is None else float(r.ratio)]
+        assert r.rank_spend == 1 + (4 - int(r.spend)) * size // 5
+
+
 def test_an_organization_with_a_third_of_all_accounts_is_split(spark, small_splits):
     """Its panel rows alone outnumber everybody else's, in one month even."""
     balances = spark.range(0, 90_000, 1, 8).select(
