@@ -13,6 +13,11 @@ def month_start(col: Column | str) -> Column:
     return F.trunc(col, "month")
 
 
+def month_number(col: Column | str) -> Column:
+    """Months since the year 0, whatever the day; months that follow each other differ by one."""
+    return F.year(col) * 12 + F.month(col) - 1
+
+
 def months_later(month: date, n: int) -> date:
     """First day of the month ``n`` months after ``month``."""
     number = month.year * 12 + month.month - 1 + n

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from monthweave.functions.columns import months_later, ratio
+from monthweave.functions.columns import month_number, months_later, ratio
 from monthweave.operators.calendar import MonthRange, MonthRanges
 from monthweave.operators.ranking import Rank, add_ranks, ranked_values
 from monthweave.schemas import MONTH
@@ -67,16 +67,24 @@ def anchor_months(
     )
 
 
-def forward_sums(summary: DataFrame, segment: str, horizons: Sequence[int] = (2, 4)) -> DataFrame:
-    """Spend and customers of the next h months, this month excluded.
+def forward_sums(
+    summary: DataFrame, segment: str, horizons: Sequence[int] = (2, 4), gaps: bool = False
+) -> DataFrame:
+    """Spend and customers of the next h months, this month excluded; null where none of them is there.
 
-    Counts rows, so the summary must hold every month of every segment. The sum
-    is null where no month follows.
+    Rows are counted, so the summary must hold every month of every segment. With ``gaps`` months
+    are compared by their number instead, and a month that is missing adds nothing.
     """
-    ahead = W.partitionBy(segment).orderBy(F.col(MONTH).asc_nulls_last())
+    in_order = W.partitionBy(segment)
+    if gaps:
+        ahead = in_order.orderBy(month_number(MONTH))
+        frame = lambda h: ahead.rangeBetween(1, h)
+    else:
+        ahead = in_order.orderBy(F.col(MONTH).asc_nulls_last())
+        frame = lambda h: ahead.rowsBetween(1, h)
     return summary.withColumns(
         {
-            f"fwd{h}_{what}": F.sum(what).over(ahead.rowsBetween(1, h))
+            f"fwd{h}_{what}": F.sum(what).over(frame(h))
             for h in horizons
             for what in ("spend", "customers")
         }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from monthweave.functions.columns import ratio
 from monthweave.functions.money import with_decimals
-from monthweave.operators import activity, calendar, growth, panel, totals
+from monthweave.operators import activity, calendar, cohorts, growth, panel, totals
 from monthweave.operators.calendar import MonthRange, Months
 from monthweave.operators.growth import GrowthSpec
 from monthweave.operators.panel import Segment
@@ -134,6 +134,22 @@ class Books:
     def forward_spend(self, segment: Segment) -> DataFrame:
         return growth.forward_sums(self.month_summary(segment), segment.name)
 
+    def sparse_forward_spend(self, segment: Segment) -> DataFrame:
+        """Over the months with spend alone; those without are not there."""
+        summary = self.month_summary(segment, with_balance=False).where(F.col("spend") != 0)
+        return growth.forward_sums(summary, segment.name, gaps=True)
+
+    def cohort_usage(self, offsets: Sequence[int] = tuple(range(7))) -> DataFrame:
+        months = cohorts.cohort_months(self.movements, self.spend)
+        usage = self._amounts(
+            cohorts.cohort_usage(months, offsets, self.study.months.last), *(f"spend_{k}" for k in offsets)
+        )
+        return cohorts.spend_per_org(usage, offsets)
+
+    def cohort_trend(self, offset: int = 3) -> DataFrame:
+        """Usage in one month of the cohorts' lives, month 3 unless said otherwise."""
+        return cohorts.cohort_trend(self.cohort_usage((offset,)), offset)
+
     def anchor_averages(
         self, segment: Segment, horizons: Sequence[int] = (2, 4)
     ) -> DataFrame:

@@ -178,6 +178,13 @@ TABLE_QUERIES: dict[str, Callable[[RetailTables], DataFrame]] = {
     "growth_index_state_industry": lambda t: as_doubles(
         RetailBooks(t).growth_index_state_industry(), ("latest_spend", "overall_growth_index")
     ),
+    "cohort_usage": lambda t: as_doubles(
+        RetailBooks(t).cohort_usage(), [f"spend_{k}" for k in range(7)]
+    ),
+    "cohort_month3_trend": lambda t: as_doubles(RetailBooks(t).cohort_trend(3), ("spend",)),
+    "state_industry_sparse_forward_spend": lambda t: as_doubles(
+        RetailBooks(t).sparse_forward_spend(STATE_INDUSTRY), ("spend", "fwd2_spend", "fwd4_spend")
+    ),
     "check_org_pk": lambda t: contracts.duplicate_keys(t.organizations(), (ORG_ID,), primary=True),
     # Rows of one day, before anything is summed.
     "check_balance_unique": lambda t: _duplicate_balance_lines(t.dated()),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import defaultdict
 from dataclasses import replace
 from datetime import date
@@ -12,12 +13,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from monthweave.operators import growth
+from monthweave.operators.activity import dates_held, month_bitmaps
 from monthweave.operators.calendar import MonthRange, MonthRanges
 from monthweave.operators.growth import AnchorWeights, GrowthSpec, growth_ratios
 from monthweave.operators.panel import Segment, org_month_panel, segment_month_summary
 from monthweave.operators.ranking import Rank, add_ranks, value_range
 from monthweave.operators.spend import Spend
 from monthweave.operators.totals import segment_totals
+from monthweave.plans import retail
 from monthweave.plans.books import Books
 from monthweave.plans.settings import (
     ACCOUNT_STUDY,
@@ -218,6 +221,26 @@ def test_index_of_ranks_is_that_of_the_components(spark):
             )
 
 
+def test_bitmaps_hold_every_date_once(spark):
+    """Months of two centuries, days within a month, repeated and missing dates."""
+    rng = random.Random(6)
+    days = [date(1899 + k // 12, k % 12 + 1, rng.choice([1, 1, 1, 15, 28])) for k in range(0, 2400, 7)]
+    rows = [(rng.choice(["a", "b", None]), rng.choice(days)) for _ in range(3000)] + [("a", None), (None, None)]
+    df = spark.createDataFrame(rows, "organization_id string, the_month date")
+    held = month_bitmaps(df, "organization_id")
+    found = held.select("organization_id", F.explode(dates_held()).alias("d")).collect()
+    assert len(found) == len(set(rows)) and set(map(tuple, found)) == set(rows)
+    assert month_bitmaps(df.limit(0), "organization_id").count() == 0
+
+
+@pytest.mark.parametrize("name", ["active_users", "active_region_counts"])
+def test_no_row_of_an_organization_and_month_is_shuffled(spark, name):
+    plan = retail.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    by_org = [line for line in plan.splitlines() if "Exchange hashpartitioning(organization_id" in line and "_span" in line]
+    assert len(by_org) == 1
+    assert not re.search(r"Exchange hashpartitioning\([^)]*organization_id[^)]*the_month", plan)
+
+
 def test_ranges_follow_the_values(spark):
     values = sorted([-1e9, -99.0, -1.5, -1e-9, 0.0, 1e-9, 0.5, 0.5001, 1.0, 2.0, 1e6, 1e6 + 1, 1e15])
     df = spark.createDataFrame([(v,) for v in values], "v double")
