@@ -36,6 +36,15 @@ class Segment:
         return joined_text(self.columns, self.sep).alias(self.name)
 
 
+def total_balances(balances: DataFrame) -> DataFrame:
+    """One balance for each organization and month, the sum over its accounts.
+
+    Given to the panel or the summary in place of the balances, it makes both count each
+    organization's spend once, and equal balances of two accounts as two.
+    """
+    return balances.groupBy(ORG_ID, MONTH).agg(F.sum(or_zero(BALANCE)).alias(BALANCE))
+
+
 def distinct_balances(balances: DataFrame, months: Months) -> DataFrame:
     """Distinct (organization, month, balance) within the range, null balance as zero."""
     return (

@@ -20,7 +20,7 @@ def monthly_total(df: DataFrame, measure: str, output: str, month: str = MONTH)
 
 
 def segment_totals(
-    dim: DataFrame, balances: DataFrame, spend: DataFrame, segment: str, at_month: date
+    dim: DataFrame, balances: DataFrame, spend: DataFrame, segment: str, at_month: date | DataFrame
 ) -> DataFrame:
     """Balance and spend per segment in one month; segments without any get zeros.
 
@@ -28,18 +28,15 @@ def segment_totals(
     an organization with k accounts brings its spend k times. Each fact is
     reduced to one row per organization before the join, so the join fans
     nothing out and a large organization is one row on every side. ``spend`` may
-    hold several rows per organization, which add up.
+    hold several rows per organization, which add up. ``at_month`` is a date, or a relation
+    whose latest ``the_month`` is wanted, see ``rows_at``.
     """
     accounts = (
-        balances.where(F.col(MONTH) == F.lit(at_month))
+        rows_at(balances, at_month)
         .groupBy(ORG_ID)
         .agg(F.sum(or_zero(BALANCE)).alias("_balance"), F.count(F.lit(1)).alias("_accounts"))
     )
-    cards = (
-        spend.where(F.col(MONTH) == F.lit(at_month))
-        .groupBy(ORG_ID)
-        .agg(F.sum(or_zero(SPEND)).alias("_spend"))
-    )
+    cards = rows_at(spend, at_month).groupBy(ORG_ID).agg(F.sum(or_zero(SPEND)).alias("_spend"))
     return (
         dim.select(ORG_ID, segment)
         .join(accounts, ORG_ID, "left")
@@ -52,6 +49,18 @@ def segment_totals(
     )
 
 
+def rows_at(facts: DataFrame, at_month: date | DataFrame) -> DataFrame:
+    """The facts of one month.
+
+    A relation is read when the question runs. Its latest month is one row, so it is broadcast, and
+    facts stored by month are pruned to it as they are read, like those of a date known before.
+    """
+    if isinstance(at_month, DataFrame):
+        wanted = at_month.agg(F.max(MONTH).alias(MONTH))
+        return facts.join(F.broadcast(wanted), MONTH, "left_semi")
+    return facts.where(F.col(MONTH) == F.lit(at_month))
+
+
 def leaders(totals: DataFrame, segment: str) -> DataFrame:
     """Segments that rank first on balance or on spend, with both ranks; ties stay."""
     ranked = add_ranks(

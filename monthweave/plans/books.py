@@ -71,6 +71,13 @@ class Books:
             totals.monthly_total(self.spend.rows, SPEND, "total_spend"), "total_spend"
         )
 
+    def industry_totals_at(self, parameter: DataFrame) -> DataFrame:
+        """At the month that a relation holds when the question runs."""
+        found = totals.segment_totals(
+            self.organizations, self.balances, self.spend.by_org(), INDUSTRY, parameter
+        )
+        return self._amounts(found, "total_balance", "total_spend")
+
     def industry_totals(self) -> DataFrame:
         month = self.study.leader_month
         balances, spend = self.facts(MonthRange(month, month), few=True)
@@ -93,18 +100,28 @@ class Books:
     def active_region_share(self) -> DataFrame:
         return activity.active_region_share(self.active_region_counts())
 
-    def org_month_panel(self, attributes: Sequence[str] | None = None) -> DataFrame:
+    def org_month_panel(
+        self, attributes: Sequence[str] | None = None, pre_aggregate: bool = False
+    ) -> DataFrame:
+        """With ``pre_aggregate`` accounts are summed first: one row a month, spend counted once."""
         months = self.study.months
         balances, spend = self.facts(months)
+        balances = panel.total_balances(balances) if pre_aggregate else balances
         rows = panel.org_month_panel(self.organizations, balances, spend, months, attributes)
         return self._amounts(rows, BALANCE, SPEND)
 
     def month_summary(
-        self, segment: Segment, with_balance: bool = True, months: Months | None = None
+        self,
+        segment: Segment,
+        with_balance: bool = True,
+        months: Months | None = None,
+        pre_aggregate: bool = False,
     ) -> DataFrame:
+        """With ``pre_aggregate`` accounts are summed first, so that spend counts once."""
         few = months is not None
         months = self.study.months if months is None else months
         balances, spend = self.facts(months, few)
+        balances = panel.total_balances(balances) if pre_aggregate else balances
         summary = panel.segment_month_summary(
             self.organizations, balances, spend, months, segment, with_balance
         )

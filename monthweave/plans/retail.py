@@ -165,6 +165,13 @@ TABLE_QUERIES: dict[str, Callable[[RetailTables], DataFrame]] = {
     "org_month_panel": lambda t: as_doubles(
         RetailBooks(t, with_country=True).org_month_panel(), (BALANCE, SPEND)
     ),
+    # Accounts summed first, so that spend counts once.
+    "org_month_panel_once": lambda t: as_doubles(
+        RetailBooks(t, with_country=True).org_month_panel(pre_aggregate=True), (BALANCE, SPEND)
+    ),
+    "state_month_summary_once": lambda t: as_doubles(
+        RetailBooks(t).month_summary(STATE, pre_aggregate=True), ("balance", "spend")
+    ),
     # Days instead of months: only what is dated the first of a month counts.
     "org_month_panel_dated": lambda t: as_doubles(
         RetailBooks(t.dated(), with_country=True).org_month_panel(), (BALANCE, SPEND)

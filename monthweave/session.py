@@ -25,6 +25,8 @@ def build_session(
         .config("spark.ui.enabled", "false")
         # Sums of whole cents fail on overflow.
         .config("spark.sql.ansi.enabled", "true")
+        # Minima and maxima of stored tables come from file footers where the reader can.
+        .config("spark.sql.parquet.aggregatePushdown", "true")
         # Room for the generated code of many queries, so repeats need not compile.
         .config("spark.sql.codegen.cache.maxEntries", "2000")
         # Recording the Python call site of each expression takes longer than

@@ -7,6 +7,8 @@ order priority) and its shipped lines are card spend. Amounts are whole cents
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import dataclass, field, replace
 from datetime import date, datetime
 from functools import reduce
 
@@ -33,54 +35,60 @@ COLUMNS = {
 }
 
 
+@dataclass(frozen=True)
 class RetailTables:
     """Tables over a folder of customer, nation, region, orders and lineitem Parquet.
 
     Every fact takes the months wanted, which become a date filter on the
     scan. ``balance_lines`` are the movements before they are summed to a balance:
-    a total or a distinct over them needs no shuffle by account first. With ``dated`` facts
-    keep their days in the month column instead of being rounded down to months.
+    a total or a distinct over them needs no shuffle by account first. With ``dates_kept`` facts
+    keep their days in the month column instead of being rounded down to months. ``stored`` has
+    tables that are read instead of the folder's, with the columns of ``COLUMNS``.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, dated: bool = False):
-        check_overflow(spark)
-        self._spark = spark
-        self._folder = folder
-        self._dated = dated
+    spark: SparkSession
+    folder: str
+    dates_kept: bool = False
+    stored: Mapping[str, DataFrame] = field(default_factory=dict)
+
+    def __post_init__(self):
+        check_overflow(self.spark)
 
     def dated(self) -> RetailTables:
-        return RetailTables(self._spark, self._folder, dated=True)
+        return replace(self, dates_kept=True)
+
+    def read(self, name: str) -> DataFrame:
+        if name in self.stored:
+            return self.stored[name]
+        return self.spark.read.schema(COLUMNS[name]).parquet(f"{self.folder}/{name}.parquet")
 
     def _month(self, column: str, months: Months | None) -> Column:
         """The month of a date; a constant in a one-month scan, so grouping drops it."""
-        if self._dated:
+        if self.dates_kept:
             return F.to_date(column).alias(MONTH)
         if months is not None and months.count() == 1:
             return F.lit(months.ranges()[0].first).alias(MONTH)
         return month_start(column).alias(MONTH)
 
-    def _read(self, name: str) -> DataFrame:
-        return self._spark.read.schema(COLUMNS[name]).parquet(f"{self._folder}/{name}.parquet")
-
     def organizations(self, with_country: bool = False) -> DataFrame:
-        places = self._read("nation").select(
+        places = self.read("nation").select(
             F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias(REGION), "n_regionkey"
         )
         columns = [REGION]
         if with_country:
-            countries = self._read("region").select(
+            countries = self.read("region").select(
                 F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("country")
             )
             places = places.join(countries, "n_regionkey", "left")
             columns.append("country")
         return (
-            self._read("customer")
+            self.read("customer")
             .join(places, "c_nationkey", "left")
             .select(F.col("c_custkey").alias(ORG_ID), F.col("c_mktsegment").alias(INDUSTRY), *columns)
         )
 
     def balance_lines(self, months: Months | None = None) -> DataFrame:
-        orders = _within(self._read("orders"), "o_orderdate", months)
+        orders = _within(self.read("orders"), "o_orderdate", months)
         return orders.select(
             self._month("o_orderdate", months),
             F.col("o_custkey").alias(ORG_ID),
@@ -97,7 +105,7 @@ class RetailTables:
 
     def orders_and_lines(self) -> tuple[DataFrame, DataFrame]:
         """All movements with their order key, and all lines with that of their order."""
-        orders = self._read("orders").select(
+        orders = self.read("orders").select(
             "o_orderkey",
             F.col("o_custkey").alias(ORG_ID),
             self._month("o_orderdate", None),
@@ -107,12 +115,12 @@ class RetailTables:
 
     def spend(self, months: Months | None = None) -> Spend:
         """Spend by order line; a line finds its organization through its order."""
-        lines = _within(self._read("lineitem"), "l_shipdate", months).select(
+        lines = _within(self.read("lineitem"), "l_shipdate", months).select(
             F.col("l_orderkey").alias("o_orderkey"),
             self._month("l_shipdate", months),
             minor_units(F.col("l_extendedprice")).alias(SPEND),
         )
-        owners = self._read("orders").select("o_orderkey", F.col("o_custkey").alias(ORG_ID))
+        owners = self.read("orders").select("o_orderkey", F.col("o_custkey").alias(ORG_ID))
         return Spend(lines, owners, link="o_orderkey")
 
 

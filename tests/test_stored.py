@@ -1,0 +1,172 @@
+"""Facts stored in buckets or by month, keys of growing tables, and what their plans show."""
+
+from __future__ import annotations
+
+import re
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from check_oracle import duckdb_rows, duckdb_tables, normalised
+from monthweave.operators.key_index import KeyIndex
+from monthweave.operators.panel import summarise_panel
+from monthweave.plans import stored
+from monthweave.plans.settings import STATE
+from monthweave.schemas import BALANCES, MONTH, ORG_ID, SPENDING
+from monthweave.sources.retail import RetailTables
+from monthweave.sources.tables import (
+    Buckets,
+    append_rows,
+    read_buckets,
+    read_table,
+    rows_of,
+    stored_month_bounds,
+)
+from oracles.retail import oracle_sql
+from tests.conftest import BALANCE_ROWS, SPEND_ROWS, month
+
+FOLDER = "/root/testdata/sf0.001"
+KEY = T.StructType([T.StructField("org", T.StringType()), T.StructField("mn", T.LongType())])
+
+
+@pytest.fixture
+def shuffle_joins(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_meet_their_orders_without_a_shuffle(spark, shuffle_joins):
+    df = stored.org_month_panel_bucketed(RetailTables(spark, FOLDER))
+    plan = plan_of(df)
+    join = plan[plan.index("SortMergeJoin [o_orderkey") :]
+    sides = re.split(r"FileScan parquet[^\n]*\[(?:l_orderkey|o_orderkey)[^\n]*", join, maxsplit=2)
+    assert len(sides) == 3 and not any("Exchange" in side for side in sides[:2])
+    assert join.count("Bucketed: true") >= 2
+    columns, rows = duckdb_rows(duckdb_tables(FOLDER), oracle_sql()["org_month_panel"])
+    assert normalised(df.columns, df.collect()) == normalised(columns, rows)
+
+
+def test_buckets_are_appended_to_and_found_again(spark, tmp_path):
+    path, dealt = f"{tmp_path}/balances", Buckets((ORG_ID,), 4)
+    rows = rows_of(spark, BALANCES, BALANCE_ROWS)
+    for part in (rows.where(F.col(MONTH) < month("2019-09")), rows.where(F.col(MONTH) >= month("2019-09")), rows.limit(0)):
+        append_rows(part, path, buckets=dealt)
+    for _ in range(2):  # the second time as a session that does not know the table yet
+        found = read_table(spark, BALANCES, path, buckets=dealt)
+        assert sorted(map(tuple, found.collect())) == sorted(BALANCE_ROWS)
+        assert "Exchange" not in plan_of(found.groupBy(ORG_ID).count())
+        for table in spark.catalog.listTables():
+            spark.sql(f"DROP TABLE IF EXISTS {table.name}")
+
+
+def test_months_of_a_parameter_table_are_pruned(spark):
+    df = stored.industry_totals_by_parameter(RetailTables(spark, FOLDER))
+    plan = plan_of(df)
+    pruned = re.findall(r"PartitionFilters: \[[^\]]*dynamicpruning", plan)
+    assert len(pruned) == 2  # balances and spend
+    columns, rows = duckdb_rows(duckdb_tables(FOLDER), oracle_sql()["industry_totals"])
+    assert normalised(df.columns, df.collect()) == normalised(columns, rows)
+    final = plan_of(df).split("== Initial Plan ==")[0]
+    assert "SubqueryBroadcast" in final or "ReusedSubquery" in final
+
+
+def test_a_month_that_is_not_there_gives_zeros(spark, tables, books):
+    from monthweave.operators.totals import segment_totals
+
+    orgs, balances, spend = tables
+    none = spark.createDataFrame([], f"{MONTH} date")
+    rows = segment_totals(orgs, balances, spend, "industry", none).collect()
+    assert {(r.total_balance, r.total_spend) for r in rows} == {(Decimal(0), Decimal(0))} and len(rows) == 3
+    one = spark.createDataFrame([(month("2019-09"),), (month("2019-08"),)], f"{MONTH} date")
+    want = segment_totals(orgs, balances, spend, "industry", month("2019-09"))
+    found = segment_totals(orgs, balances, spend, "industry", one)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_bounds_come_from_footers(spark, tmp_path):
+    path = f"{tmp_path}/spend"
+    for rows in (SPEND_ROWS[:5], SPEND_ROWS[5:]):
+        append_rows(rows_of(spark, SPENDING, rows), path)
+    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    bounds = stored_month_bounds(spark, path)
+    explained = bounds._jdf.queryExecution().toString()
+    assert re.search(r"PushedAggregation: \[MIN\(the_month\), MAX\(the_month\)\]", explained)
+    want = (min(r[1] for r in SPEND_ROWS), max(r[1] for r in SPEND_ROWS))
+    assert tuple(bounds.first()) == want
+    # Without it, and for texts, which footers may hold cut short, the column is read.
+    spark.conf.set("spark.sql.parquet.aggregatePushdown", "false")
+    assert tuple(stored_month_bounds(spark, path).first()) == want
+    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    assert tuple(stored_month_bounds(spark, path, ORG_ID).first()) == ("o1", "o4")
+
+
+def keys(spark, rows):
+    return spark.createDataFrame(rows, KEY)
+
+
+def found(df):
+    return sorted(map(tuple, df.select("org", "mn", "n_rows", "n_before").collect()))
+
+
+def test_keys_clash_within_and_across_batches(spark, tmp_path):
+    index = KeyIndex(spark, f"{tmp_path}/keys", KEY, 4)
+    first = keys(spark, [("a", 1), ("a", 1), ("b", 1), (None, 1), (None, 1), ("c", None)])
+    assert found(index.add(first, "2020 first's {batch}\\")) == [("a", 1, 2, 0)]
+    assert found(index.add(keys(spark, [("b", 2), ("d", 1), (None, 1)]), "second")) == []
+    third = keys(spark, [("a", 1), ("b", 1), ("b", 1), ("e", 5)])
+    assert found(index.add(third, "third")) == [("a", 1, 1, 2), ("b", 1, 2, 1)]
+    # Cut short and repeated, a batch takes its own place and does not clash with itself.
+    assert found(index.add(third, "third")) == [("a", 1, 1, 2), ("b", 1, 2, 1)]
+    assert found(index.add(first, "2020 first's {batch}\\")) == [("a", 1, 2, 1), ("b", 1, 1, 2)]
+    assert index.rows().count() == 2 + 2 + 3
+    # Corrected, it holds its new keys alone.
+    assert found(index.add(keys(spark, [("e", 5)]), "third")) == [("e", 5, 1, 0)][:0]
+    assert found(index.clashes("2020 first's {batch}\\")) == [("a", 1, 2, 0)]
+    again = KeyIndex(spark, f"{tmp_path}/keys", KEY, 4)
+    assert found(again.add(keys(spark, [("d", 1)]), "fourth")) == [("d", 1, 1, 1)]
+    assert found(again.add(keys(spark, []), "empty")) == []
+
+
+def test_a_batch_meets_the_index_without_a_shuffle(spark, tmp_path, shuffle_joins):
+    index = KeyIndex(spark, f"{tmp_path}/keys", KEY, 8)
+    for batch in range(3):
+        rows = spark.range(400).selectExpr("concat('o', id % 97) AS org", f"id + {batch * 350} AS mn")
+        clashes = index.add(rows, f"batch {batch}")
+    plan = plan_of(clashes)
+    assert "Exchange" not in plan and "SortMergeJoin" in plan and plan.count("Bucketed: true") == 2
+    # Ids above 350 of the batch before come again, under the same organization where 350 is added.
+    want = sum((i + 350) % 97 == i % 97 for i in range(50))
+    assert clashes.count() == want
+
+
+def test_spend_counts_once_when_accounts_are_summed_first(books):
+    """o1 holds 100 and 250 and spends 10; o2 holds 5 twice and spends 6."""
+    at = month("2019-09")
+    rows = lambda panel: sorted(
+        (r.organization_id, float(r.available_balance), float(r.debit_card_spend_that_month))
+        for r in panel.collect()
+        if r.the_month == at and r.organization_id in ("o1", "o2")
+    )
+    assert rows(books.org_month_panel()) == [("o1", 100, 10), ("o1", 250, 10), ("o2", 5, 6)]
+    once = books.org_month_panel(pre_aggregate=True)
+    assert rows(once) == [("o1", 350, 10), ("o2", 10, 6)]
+    assert once.count() == 5 * 22  # each organization has each month once
+    summary = books.month_summary(STATE, pre_aggregate=True)
+    rolled = summarise_panel(once, STATE).select(summary.columns)
+    assert sorted(map(tuple, summary.collect())) == sorted(map(tuple, rolled.collect()))
+
+
+def test_stored_tables_are_read_whole(spark, tmp_path):
+    tables = stored.bucketed(RetailTables(spark, FOLDER), str(tmp_path), 3)
+    for name in ("orders", "lineitem"):
+        assert tables.read(name).count() == RetailTables(spark, FOLDER).read(name).count()
+    schema = RetailTables(spark, FOLDER).read("orders").schema
+    assert read_buckets(spark, schema, f"{tmp_path}/orders", Buckets(("o_orderkey",), 3)).count() == 1500
