@@ -187,19 +187,21 @@ def growth_index(
 ) -> DataFrame:
     """What ``final_index`` makes of the components, without putting the ranks of a row together first.
 
-    The index is a sum of weighted ranks, so each rank goes to its segment directly. Only rows of
-    kept segments look up their ranks.
+    The index is a sum of weighted ranks, so each rank goes to its segment directly. Segments are
+    kept by a sum's outcome: a filter on their names would move down to the tables on one side of
+    the ranks, and these would be read twice.
     """
     ranks = _measures(spec)
     found = ranked_values(ratios, ranks, (segment, MONTH), group=MONTH, carried=("latest_spend",))
-    if keep is not None:
-        found = found.where(F.col(segment).isin(list(keep)))
     weight = F.lit(Decimal("0.0"))
     for anchor, w in spec.weights.items():
         of_measure = F.when(F.col("measure") == 0, F.lit(w.latest)).otherwise(F.lit(w.ratios))
         weight = F.when(F.col(MONTH) == F.lit(anchor), of_measure).otherwise(weight)
+    kept = F.lit(True) if keep is None else F.col(segment).isin(list(keep))
     return (
         found.groupBy(segment, "latest_spend")
-        .agg(F.sum(weight * F.col("rank")).alias("overall_growth_index"))
+        .agg(F.sum(weight * F.col("rank")).alias("overall_growth_index"), F.bool_or(kept).alias("_kept"))
+        .where("_kept")
+        .drop("_kept")
         .orderBy(F.col("overall_growth_index").desc_nulls_last(), F.col(segment))
     )
