@@ -2,13 +2,15 @@
 
 The network reads a text in windows of 128 bytes, forwards and backwards, and gives
 every byte a probability for each language; a text's probability is the mean over all of its bytes.
-It is trained in numpy by backpropagation through time on windows of a bounded sample:
-at most ``SAMPLE_DOCS`` labelled documents a language, taken by a hash of their ids,
-and at most ``MAX_LANGUAGES`` languages, the most frequent ones.
+It is trained in numpy by backpropagation through time on a bounded sample: a window of
+``SAMPLE_CHARS`` characters from each of at most ``SAMPLE_DOCS`` labelled documents of every
+language, taken by a hash of id and text.
 
 Cases: a null text or one without a letter is ``und`` with score 0. Without any labelled
-text every text is. Repeated rows are labelled each and all other columns carried along; an empty
-table gives no rows. Ties between languages go to the first in order.
+text every text is. Repeated rows are labelled each, and learned from once; null ids are learned from
+like others. All other columns are carried along, but for ``lang_pred`` and ``score``, which are replaced. An empty
+table gives no rows. Ties between languages go to the first in order. A very long text is read
+whole, as a batch of its own.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ from monthweave.llm.words import small_batches, text_bytes
 
 UNDETERMINED = "und"
 SAMPLE_DOCS = 256
-MAX_LANGUAGES = 64
 SAMPLE_CHARS = 192
 HIDDEN = 8
 WINDOW = 128
@@ -248,36 +249,31 @@ def train(samples: list[tuple[str, str]]) -> Model | None:
 
 
 def sample_of(docs: DataFrame, id_column: str, text_column: str, label_column: str) -> list:
-    """Bounded (text window, label) pairs of labelled rows, by a hash of the ids."""
-    mark = F.xxhash64(F.col(id_column), F.lit("sample"))
-    named = docs.filter(F.col(label_column).isNotNull())
-    common = {
-        r[0]: r[1]
-        for r in named.groupBy(label_column)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), label_column)
-        .limit(MAX_LANGUAGES)
-        .collect()
-    }
-    label, order = F.col("label"), F.xxhash64("id", F.lit("sample"))
+    """(text window, label) pairs: of each label at most SAMPLE_DOCS rows with a text, by a hash of id and text.
+
+    Rows equal in id and text are one. Which rows these are depends on the rows alone.
+    """
+    text = F.col(text_column)
+    mark = F.xxhash64(F.col(id_column), text, F.lit("sample"))
+    start = F.pmod(mark, F.greatest(F.length(text) - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
+    named = docs.filter(F.col(label_column).isNotNull() & (F.coalesce(F.length(text), F.lit(0)) > 0)).select(
+        F.col(label_column).alias("label"),
+        mark.alias("mark"),
+        F.substring(text, start, F.lit(SAMPLE_CHARS)).alias("text"),
+    )
+    # One row a label.
+    counts = named.groupBy("label").agg(F.approx_count_distinct("mark").alias("n")).collect()
     few = F.lit(False)
-    for language, n in common.items():
-        few = few | ((label == language) & hash_below(order, SAMPLE_DOCS, n))
+    for label, n in sorted(map(tuple, counts)):
+        few = few | ((F.col("label") == label) & hash_below(F.col("mark"), SAMPLE_DOCS, n))
     ranked = (
-        named.select(F.col(id_column).alias("id"), F.col(label_column).alias("label"))
-        .filter(few)
-        .withColumn("place", F.row_number().over(W.partitionBy("label").orderBy(order, "id")))
-    )
-    # At most MAX_LANGUAGES x SAMPLE_DOCS ids.
-    picked = ranked.filter(F.col("place") <= SAMPLE_DOCS)
-    size = F.length(text_column)
-    start = F.pmod(mark, F.greatest(size - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
-    windows = (
-        named.join(F.broadcast(picked.select(F.col("id").alias("_picked")).distinct()), F.col(id_column) == F.col("_picked"))
-        .select(F.substring(F.col(text_column), start, F.lit(SAMPLE_CHARS)).alias("text"), F.col(label_column).alias("label"))
-        .filter("text is not null and text <> ''")
+        named.filter(few)
+        .dropDuplicates(["label", "mark"])
+        .withColumn("place", F.row_number().over(W.partitionBy("label").orderBy("mark")))
     )
-    return [tuple(r) for r in windows.limit(MAX_LANGUAGES * SAMPLE_DOCS * 2).collect()]
+    # At most SAMPLE_DOCS windows a label.
+    picked = ranked.filter(F.col("place") <= SAMPLE_DOCS).select("label", "place", "text").collect()
+    return [(r.text, r.label) for r in sorted(picked, key=lambda r: (r.label, r.place))]
 
 
 def fit(

@@ -7,7 +7,9 @@ one row per digest, then anti-joined with the index; what is left is appended.
 Cases: a null text counts as empty. Texts are equal when identical without the
 characters 0x20 and 0x09 to 0x0D. Repeated rows, ids included, are copies of which one
 row stays. A null id loses against any other id of an equally long text. An empty table
-appends nothing and gives no verdicts. Other columns are ignored.
+appends nothing and gives no verdicts. Other columns are ignored. A very long text is one row of
+which only the digest is shuffled. A batch that was cut short is repeated under its own
+name: it finds what it appended, appends the rest, and gets the verdicts it would have had.
 """
 
 from __future__ import annotations
@@ -62,16 +64,21 @@ class DigestIndex:
         ).write.insertInto(self.table)
 
     def deduplicate(
-        self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
+        self,
+        docs: DataFrame,
+        id_column: str = "doc_id",
+        text_column: str = "text",
+        batch: str | None = None,
     ) -> DataFrame:
         """Append the new texts of ``docs``; a verdict for each of its rows.
 
         Of equal texts in the batch the one with the most code points stays, then the
-        smallest id; a text that the index already held keeps its earlier row, and
-        none of the batch stays. ``group_size`` counts the rows of the batch.
+        smallest id; a text that another batch brought before keeps its earlier row, and
+        none of this batch stays. ``group_size`` counts the rows of the batch. ``batch`` names the
+        batch, so that it can be repeated; without a name it is a new one each time.
         Columns: _row (place in the batch), id, keep_id, group_size, kept, digest.
         """
-        batch = uuid.uuid4().hex
+        batch = batch or uuid.uuid4().hex
         text = F.col(text_column)
         base = cut(
             with_row(docs).select(
@@ -92,11 +99,14 @@ class DigestIndex:
             F.lit(batch).alias("batch"),
         )
         self.append(fresh)
-        held = groups.join(self.rows().hint("merge"), "digest").select(
-            "digest",
-            "group_size",
-            "keep_id",
-            F.when(F.col("batch") == batch, F.col("keep_row")).alias("keep_row"),
+        # Written, so that the join below has a plain shuffle on both sides and a frequent digest is split.
+        held = cut(
+            groups.join(self.rows().hint("merge"), "digest").select(
+                "digest",
+                "group_size",
+                "keep_id",
+                F.when(F.col("batch") == batch, F.col(f"best.{ROW}")).alias("keep_row"),
+            )
         )
         return base.join(held, "digest").select(
             ROW,
@@ -108,8 +118,12 @@ class DigestIndex:
         )
 
     def kept_rows(
-        self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
+        self,
+        docs: DataFrame,
+        id_column: str = "doc_id",
+        text_column: str = "text",
+        batch: str | None = None,
     ) -> DataFrame:
         """The rows of ``docs`` that ``deduplicate`` keeps, with all their columns."""
-        dropped = self.deduplicate(docs, id_column, text_column).filter(~F.col("kept"))
+        dropped = self.deduplicate(docs, id_column, text_column, batch).filter(~F.col("kept"))
         return without_rows(docs, dropped)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 ROW = "_row"
+LEAST_PARTITIONS = "spark.sql.files.minPartitionNum"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -80,13 +81,26 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def hold_splits(spark: SparkSession) -> None:
+    """Let the same files be split alike for the rest of the session.
+
+    Spark cuts files by the number of cores that are registered when they are read, unless a least number
+    of partitions is set. If none is, the present number is; executors that come or
+    go between two reads of a table then change nothing.
+    """
+    if spark.conf.get(LEAST_PARTITIONS, None) is None:
+        spark.conf.set(LEAST_PARTITIONS, str(spark.sparkContext.defaultParallelism))
+
+
 def with_row(df: DataFrame) -> DataFrame:
     """Number the rows in ``_row``, so that null or repeated ids stay apart.
 
     The number is made of the input partition and the place in it. Reading the same
-    files again gives the same numbers; rows from a shuffle must be written first.
+    files again in the session gives the same numbers, since ``hold_splits`` makes partitions
+    independent of the executors that are there; rows from a shuffle must be written first.
     """
     ship_code(df.sparkSession)
+    hold_splits(df.sparkSession)
     return df.withColumn(ROW, F.monotonically_increasing_id())
 
 

@@ -73,3 +73,35 @@ def test_nothing_to_learn_from(spark, model):
     assert bigru.fit(nothing(spark)) is None
     assert {(r.lang_pred, r.score) for r in bigru.identify(messy(spark), None).collect()} == {("und", 0.0)}
     assert bigru.identify(nothing(spark), model).count() == 0
+
+
+def test_sample_of_any_rows(spark, docs):
+    """Null ids, repeated rows, many languages and a column named as the sample's own."""
+    texts = [r.text for r in docs.filter("lang is not null and text <> ''").limit(60).collect()]
+    rows = [(None, t, f"language {i % 30}") for i, t in enumerate(texts) for _ in range(3)] + [(1, "", "empty"), (2, "x", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr(
+        "*", "1 AS mark", "2 AS place", "3 AS _picked", "4 AS label"
+    )
+    sample = bigru.sample_of(table, "doc_id", "text", "lang")
+    assert sorted({label for _, label in sample}) == sorted({f"language {i}" for i in range(30)})
+    assert len(sample) == len({(t, i % 30) for i, t in enumerate(texts)})
+    assert all(window and any(window in t for t in texts) for window, _ in sample)
+    assert bigru.sample_of(table.repartition(7), "doc_id", "text", "lang") == sample
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(bigru, "SAMPLE_DOCS", 20)
+    table = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "if(id % 3 = 0, 'a', 'b') AS lang")
+    labels = [label for _, label in bigru.sample_of(table, "doc_id", "text", "lang")]
+    assert (labels.count("a"), labels.count("b")) == (20, 20)
+
+
+def test_same_splits_for_other_cores(spark):
+    from monthweave.llm.storage import LEAST_PARTITIONS, hold_splits
+
+    hold_splits(spark)
+    assert spark.conf.get(LEAST_PARTITIONS) == str(spark.sparkContext.defaultParallelism)
+    spark.conf.set(LEAST_PARTITIONS, "3")
+    hold_splits(spark)
+    assert spark.conf.get(LEAST_PARTITIONS) == "3"
+    spark.conf.unset(LEAST_PARTITIONS)

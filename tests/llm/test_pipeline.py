@@ -70,3 +70,14 @@ def test_messy_tables(spark, make):
     assert len({(r.doc_id, r.text) for r in rows}) == len(rows)
     if make is messy:
         assert {r.doc_id for r in rows} >= {None, 7, 11, 13, 14, 16} and not {4, 5, 6, 15} & {r.doc_id for r in rows}
+
+
+def test_columns_named_as_results_stay(spark):
+    """A table with a score, a prediction and working names of its own leaves the language stage as it came."""
+    own = ["score", "lang_pred", "_letters", "_picked", "column0", "mark", "a name, with <marks>"]
+    docs = queries.read(spark, FOLDER, "documents").select("*", *[F.concat(F.lit(n), "doc_id").alias(n) for n in own])
+    kept = corpus_pipeline.language(spark, docs, FOLDER)
+    assert kept.columns == docs.columns and kept.schema.simpleString() == docs.schema.simpleString()
+    rows = {tuple(r) for r in docs.collect()}
+    found = [tuple(r) for r in kept.collect()]
+    assert len(found) >= 0.99 * len(rows) and set(found) <= rows
