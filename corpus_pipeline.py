@@ -30,9 +30,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = queries.language_model(docs)
     if model is None:
         return docs.filter(bigru.has_letter(F.col("text")))
-    found = bigru.identify(docs, model)
+    # Columns of the documents may have the names of the result.
+    numbered = docs.toDF(*(f"column{i}" for i in range(len(docs.columns))))
+    found = bigru.identify(numbered, model, f"column{docs.columns.index('text')}")
     clear = (F.col("lang_pred") != bigru.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)
-    return found.filter(clear).select(*docs.columns)
+    return found.filter(clear).select(*numbered.columns).toDF(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
