@@ -40,6 +40,8 @@ GROUP_STRINGS = 2048
 PIECE_WINDOWS = 16
 #: Bytes of the segments in a block.
 BLOCK_BYTES = 1 << 17
+#: Strings of groups without a transform that are handed on together.
+WHOLE_ROWS = 1 << 14
 #: Segments a task knows to have sent; it starts afresh when they are more.
 REMEMBERED = 300_000
 #: Bytes whose anchors are found at a time; places within must fit PLACE_BITS.
@@ -197,34 +199,53 @@ def _pieces(length: int, windows: int) -> Callable:
 
 
 def _repeated(length: int) -> Callable:
-    """Blocks of whole groups, which come one after the other, through the transform."""
+    """Blocks of whole groups, which come one after the other, through the transform.
+
+    All windows of a string that occurs several times are repeated, so a group of nothing else needs no
+    transform. Nor does a single string that occurs once: its windows hold their anchor at
+    different places, and equal windows hold it at the same one.
+    """
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        whole: list[tuple] = []
+        group: list[tuple] = []
         held = 0
 
         def solve() -> pa.RecordBatch:
-            which, first, end = repeated_windows(
-                [r[2] for r in rows], np.array([r[3] for r in rows], np.int64), length
-            )
+            found = list(whole)
+            if rows:
+                which, first, end = repeated_windows(
+                    [r[2] for r in rows], np.array([r[3] for r in rows], np.int64), length
+                )
+                found += [(*rows[i][:2], low, high) for i, low, high in zip(which.tolist(), first.tolist(), end.tolist())]
+            columns = list(zip(*found)) if found else [()] * 4
             return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([rows[i][0] for i in which], pa.int64()),
-                    pa.array([rows[i][1] for i in which], pa.int64()),
-                    pa.array(first),
-                    pa.array(end),
-                ],
-                ["grp", "digest", "low", "high"],
+                [pa.array(c, pa.int64()) for c in columns], ["grp", "digest", "low", "high"]
             )
 
+        def close() -> int:
+            """Sort the rows of a complete group; the bytes that it adds to the block."""
+            if all(r[3] > 1 for r in group):
+                whole.extend((*r[:2], 0, len(r[2]) - length + 1) for r in group)
+            elif len(group) > 1:
+                rows.extend(group)
+                return sum(len(r[2]) + 1 for r in group)
+            return 0
+
         for batch in small_batches(batches, "string"):
             for row in zip(*(batch.column(n).to_pylist() for n in ("grp", "digest", "string", "times"))):
-                if held > BLOCK_BYTES and row[0] != rows[-1][0]:
-                    yield solve()
-                    rows, held = [], 0
-                rows.append(row)
-                held += len(row[2]) + 1
-        if rows:
+                if group and row[0] != group[0][0]:
+                    held += close()
+                    group.clear()
+                    if held > BLOCK_BYTES or len(whole) > WHOLE_ROWS:
+                        yield solve()
+                        rows.clear()
+                        whole.clear()
+                        held = 0
+                group.append(row)
+        close()
+        if rows or whole:
             yield solve()
 
     return repeated
