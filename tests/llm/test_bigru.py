@@ -105,3 +105,38 @@ def test_same_splits_for_other_cores(spark):
     hold_splits(spark)
     assert spark.conf.get(LEAST_PARTITIONS) == "3"
     spark.conf.unset(LEAST_PARTITIONS)
+
+
+def by_equations(model, text):
+    """Mean over the bytes of what the two directions say, byte after byte in double precision."""
+    size, total, n = bigru.HIDDEN, 0.0, 0
+    gate = lambda x: min(1.0, max(0.0, 0.25 * x + 0.5))
+    squash = lambda x: x / (1 + abs(x))
+
+    def states(direction, window):
+        byte, weights = direction.byte.astype(float), direction.state.astype(float)
+        h, out = np.zeros(size), []
+        for x in window:
+            past = h @ weights
+            update = np.array([gate(v) for v in byte[x, :size] + past[:size]])
+            reset = np.array([gate(v) for v in byte[x, size : 2 * size] + past[size : 2 * size]])
+            new = np.array([squash(v) for v in byte[x, 2 * size :] + reset * past[2 * size :]])
+            h = (1 - update) * h + update * new
+            out.append(h)
+        return out
+
+    for low in range(0, len(text), bigru.WINDOW):
+        window = list(text[low : low + bigru.WINDOW])
+        ahead, behind = states(model.forward, window), states(model.backward, window[::-1])[::-1]
+        for a, b in zip(ahead, behind):
+            logits = np.concatenate([a, b]) @ model.out.astype(float) + model.bias
+            chance = np.exp(logits - logits.max())
+            total, n = total + chance / chance.sum(), n + 1
+    return total / n
+
+
+def test_forward_pass_is_that_of_the_equations(model):
+    texts = ["a", "the and of it is", "été de la que " * 9, "x" * 128, "und der " * 40, "中文\x00 zz" * 20]
+    found = bigru.pooled(model, *text_bytes(pa.array(texts)))
+    for got, text in zip(found, texts):
+        assert np.allclose(got, by_equations(model, text.encode()), atol=2e-4)

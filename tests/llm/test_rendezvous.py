@@ -75,3 +75,26 @@ def test_equal_rows_are_counted_before_they_are_numbered(spark, monkeypatch):
 def test_runs_no_python(spark):
     plan = shard_texts(messy(spark), [1.0] * 24)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "Cartesian", "NestedLoop"))
+
+
+def test_the_shard_with_the_least_draw_wins(spark):
+    """Draws computed here from the hash's definition: each value is hashed with the hash so far as its seed."""
+    import math
+    import struct
+
+    import xxhash
+
+    weights = [1.0, 2.5, 0.0, 0.5, 1.0]
+
+    def draw(key, shard):
+        h = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+        h = xxhash.xxh64_intdigest(struct.pack("<i", shard), h)
+        return -math.log(((h >> 11) + 0.5) / 2**53)
+
+    keys = [None, -1, 0, 2**62, *range(1, 500)]
+    df = spark.createDataFrame([(k,) for k in keys], "id long")
+    for r in with_shards(df, "id", weights, grown_weight=2.0).collect():
+        draws = {s: draw(r.id, s) / w for s, w in enumerate(weights) if w}
+        assert r.shard == min(draws, key=draws.get)
+        grown = {**draws, 5: draw(r.id, 5) / 2.0}
+        assert r.grown_shard == min(grown, key=grown.get)
