@@ -8,6 +8,10 @@ pattern separately, and put together in order. A text of one chunk needs no stit
 and no shuffle. A text in which a border falls into a pre-token longer than the overlap has
 no common boundary there and is encoded as one piece.
 
+Long texts are cut and written once; boundaries, pieces and texts that stay whole are read from
+there. A worker remembers the ids of words: stretches that begin with a space before something
+that is none. That is done for a pattern that always begins a pre-token there (``Vocabulary.at_spaces``).
+
 Decoding concatenates the bytes of the ids; a text's bytes come back exactly.
 
 Cases: a null text counts as empty and has no ids. Repeated rows are encoded each, null ids are
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -29,31 +34,39 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthweave.llm.storage import ROW, cut, with_row
+from monthweave.llm.storage import ROW, cut, keep, with_row
+from monthweave.llm.words import small_batches
 
 CHUNK_CHARS = 1 << 16
 OVERLAP_CHARS = 1 << 11
 #: Matches that end this near the end of a chunk may go on behind it.
 MARGIN_CHARS = 8
-#: Encoded pre-tokens that a worker remembers; it starts afresh when they are more.
-REMEMBERED = 300_000
+#: Encoded pre-tokens, and as many words, that a worker remembers; it starts afresh when they are more.
+REMEMBERED = 200_000
 #: Pre-tokens up to this many bytes are merged by scanning, longer ones with a heap.
 SCAN_BYTES = 48
+#: Where a word begins. Python's white space holds all that patterns take for it.
+_WORD_START = re.compile(r" (?=\S)")
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Token bytes in the order of their ids, and the pattern of pre-tokens."""
+    """Token bytes in the order of their ids, and the pattern of pre-tokens.
+
+    ``at_spaces`` says that the pattern begins a pre-token at every space before a character
+    that is no white space, and looks no further ahead than to such a space.
+    """
 
     tokens: tuple[bytes, ...]
     pattern: str
+    at_spaces: bool = False
 
 
-def read_vocabulary(path: str, pattern: str) -> Vocabulary:
+def read_vocabulary(path: str, pattern: str, at_spaces: bool = False) -> Vocabulary:
     """A rank file: on each line a token in base64 and its id."""
     with open(path, "rb") as lines:
         found = {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, lines)}
-    return Vocabulary(tuple(found[i] for i in range(len(found))), pattern)
+    return Vocabulary(tuple(found[i] for i in range(len(found))), pattern, at_spaces)
 
 
 class Encoder:
@@ -64,6 +77,8 @@ class Encoder:
         self.ranks = {token: i for i, token in enumerate(vocabulary.tokens)}
         self.split = regex.compile(vocabulary.pattern)
         self.known: dict[str, bytes] = {}
+        self.at_spaces = vocabulary.at_spaces
+        self.words: dict[str, bytes] = {}  # without the space they begin with
 
     def merged(self, token: bytes) -> list[int]:
         """Ids after merging, again and again, the leftmost pair of the least rank."""
@@ -124,6 +139,22 @@ class Encoder:
             known.update({t: v for t, v in fresh.items() if len(t) <= SCAN_BYTES})
             return b"".join([known.get(t) or fresh[t] for t in pre_tokens])
 
+    def text_ids(self, text: str) -> bytes:
+        """Ids of a whole text."""
+        if not self.at_spaces:
+            return self.ids(self.split.findall(text))
+        first, *rest = _WORD_START.split(text)
+        begin, words = self.ids(self.split.findall(first)), self.words
+        try:
+            return begin + b"".join([words[w] for w in rest])
+        except KeyError:
+            if len(words) > REMEMBERED:
+                words.clear()
+            fresh = {w: self.ids(self.split.findall(" " + w)) for w in set(rest).difference(words)}
+            ids = begin + b"".join([words.get(w) or fresh[w] for w in rest])
+            words.update({w: v for w, v in fresh.items() if len(w) <= SCAN_BYTES})
+            return ids
+
 
 _encoders: dict[int, Encoder] = {}
 
@@ -141,7 +172,7 @@ class SharedVocabulary:
 
     def __init__(self, spark: SparkSession, vocabulary: Vocabulary):
         self._sent = spark.sparkContext.broadcast(vocabulary)
-        self.id = hash((vocabulary.pattern, vocabulary.tokens))
+        self.id = hash((vocabulary.pattern, vocabulary.at_spaces, vocabulary.tokens))
 
     @property
     def value(self) -> Vocabulary:
@@ -151,9 +182,8 @@ class SharedVocabulary:
 def _encode_whole(shared: SharedVocabulary) -> Callable:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
-        for batch in batches:
-            texts = batch.column("text")
-            ids = [encoder.ids(encoder.split.findall(t.as_py() or "")) for t in texts]
+        for batch in small_batches(batches):
+            ids = [encoder.text_ids(t.as_py() or "") for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(ROW), batch.column("id"), pa.array(ids, pa.binary())],
                 [ROW, "id", "ids"],
@@ -162,6 +192,27 @@ def _encode_whole(shared: SharedVocabulary) -> Callable:
     return encode
 
 
+def _chunks(chunk_chars: int, overlap: int) -> Callable:
+    """Chunks of long texts, each with the beginning of the next one."""
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            for row, name, cell in zip(*(batch.column(n) for n in (ROW, "id", "text"))):
+                text = cell.as_py()
+                for low in range(0, len(text), chunk_chars):
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([row.as_py()], pa.int64()),
+                            pa.array([name.as_py()], pa.int64()),
+                            pa.array([low // chunk_chars], pa.int32()),
+                            pa.array([text[low : low + chunk_chars + overlap]]),
+                        ],
+                        [ROW, "id", "chunk", "part"],
+                    )
+
+    return chunks
+
+
 def _boundaries(shared: SharedVocabulary, chunk_chars: int, overlap: int) -> Callable:
     """Pre-token starts of a chunk within its two overlaps, as places in the text."""
 
@@ -245,19 +296,12 @@ def encode(
         F.coalesce(F.col(text_column), F.lit("")).alias("text"),
     )
     size = F.length("text")
-    numbers = F.sequence(F.lit(0), F.floor((size - 1) / chunk_chars).cast("int"))
-    chunks = (
+    # Written once: no later step depends on how rows are numbered when they are read again.
+    chunks = keep(
         texts.filter(size > chunk_chars)
-        .select(ROW, "id", "text", F.explode(numbers).alias("chunk"))
-        .select(
-            ROW,
-            "id",
-            "chunk",
-            F.substring("text", F.col("chunk") * chunk_chars + 1, F.lit(chunk_chars + overlap)).alias(
-                "part"
-            ),
-        )
-        .repartition(ROW, "chunk")
+        .mapInArrow(_chunks(chunk_chars, overlap), f"{ROW} long, id long, chunk int, part string")
+        .repartition(ROW, "chunk"),
+        "chunks",
     )
     borders = chunks.select(ROW, "chunk", "part").mapInPandas(
         _boundaries(shared, chunk_chars, overlap),
@@ -272,9 +316,12 @@ def encode(
     encode_whole = _encode_whole(shared)
     kinds = f"{ROW} long, id long, ids binary"
     short = texts.filter(size <= chunk_chars).mapInArrow(encode_whole, kinds)
+    own = F.struct("chunk", F.substring("part", 1, chunk_chars).alias("part"))
+    in_order = F.transform(F.array_sort(F.collect_list(own)), lambda c: c["part"])
     whole = (
-        texts.filter(size > chunk_chars)
-        .join(unstitched, ROW, "left_semi")
+        chunks.join(unstitched, ROW, "left_semi")
+        .groupBy(ROW, "id")
+        .agg(F.array_join(in_order, "").alias("text"))
         .mapInArrow(encode_whole, kinds)
     )
     encoded = (
@@ -282,7 +329,7 @@ def encode(
         .select(ROW, "chunk", "part", "start", "stop")
         .mapInPandas(_encode_pieces(shared, chunk_chars), f"{ROW} long, chunk int, ids binary")
     )
-    names = texts.filter(size > chunk_chars).select(ROW, "id")
+    names = chunks.filter("chunk = 0").select(ROW, "id")
     joined = F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda p: F.hex(p["ids"])), ""
     )
@@ -295,7 +342,7 @@ def encode(
 def _decode(shared: SharedVocabulary) -> Callable:
     def decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = shared.value.tokens.__getitem__
-        for batch in batches:
+        for batch in small_batches(batches, "ids"):
             texts = [
                 None if ids is None else b"".join(map(token, np.frombuffer(ids, "<u4").tolist()))
                 for ids in batch.column("ids").to_pylist()

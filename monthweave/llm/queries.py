@@ -97,7 +97,9 @@ def vocabulary(
     spark: SparkSession, ranks: str | None = None, pattern: str = public_tokenizers.PATTERN
 ) -> byte_bpe.SharedVocabulary:
     path = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return byte_bpe.SharedVocabulary(spark, byte_bpe.read_vocabulary(path, pattern))
+    # The public pattern takes a space along with what follows it.
+    at_spaces = pattern == public_tokenizers.PATTERN
+    return byte_bpe.SharedVocabulary(spark, byte_bpe.read_vocabulary(path, pattern, at_spaces))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:

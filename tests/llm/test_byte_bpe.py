@@ -23,7 +23,7 @@ def library():
 
 @pytest.fixture(scope="module")
 def shared(spark):
-    return byte_bpe.SharedVocabulary(spark, byte_bpe.read_vocabulary(PATH, public_tokenizers.PATTERN))
+    return byte_bpe.SharedVocabulary(spark, byte_bpe.read_vocabulary(PATH, public_tokenizers.PATTERN, True))
 
 
 def texts():
@@ -47,6 +47,51 @@ def test_ids_are_those_of_the_library(spark, library, shared, chunk, overlap):
         assert decoded == (text or "").encode()
 
 
+def test_words_give_the_ids_of_the_pattern(library):
+    """Any mixture of white space, letters, numbers and marks, cut into words or not."""
+    cut, whole = (
+        byte_bpe.Encoder(byte_bpe.read_vocabulary(PATH, public_tokenizers.PATTERN, at)) for at in (True, False)
+    )
+    rnd = random.Random(8)
+    bits = [" ", "  ", "\t", "\n", "\r\n", "\x85", "\x1c", "\x1f", "\xa0", "\u2003", "\u2028", "\u3000", "\u200b",
+            "'s", "'", "a", "bc", "É", "中", "7", "½", "!", "...", "\x00", "\u0301", "🙂"]
+    for _ in range(20000):
+        text = "".join(rnd.choice(bits) for _ in range(rnd.randrange(14)))
+        want = struct.pack(f"<{len(ids)}I", *ids) if (ids := library.encode_ordinary(text)) else b""
+        assert cut.text_ids(text) == whole.text_ids(text) == want, repr(text)
+
+
+def test_worker_forgets_words(monkeypatch, library):
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 5)
+    encoder = byte_bpe.Encoder(byte_bpe.read_vocabulary(PATH, public_tokenizers.PATTERN, True))
+    for k in range(40):
+        text = " ".join(f"word{k * j} same" for j in range(7)) + " " + "long" * 40
+        ids = library.encode_ordinary(text)
+        assert encoder.text_ids(text) == struct.pack(f"<{len(ids)}I", *ids)
+        assert len(encoder.words) < 30 and "long" * 40 not in encoder.words
+
+
+def test_file_splits_between_building_and_running_change_nothing(spark, library, shared, tmp_path):
+    """Long and short texts of one file that is cut otherwise when the query runs."""
+    rows = [(i, f"text {i} " * (5 + 400 * (i % 7 == 0))) for i in range(600)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.option(
+        "parquet.block.size", 1 << 14).parquet(path)
+    least = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(least, None)
+    try:
+        spark.conf.set(least, "2")
+        built = byte_bpe.encode(spark.read.parquet(path), shared, chunk_chars=1000, overlap=64)
+        spark.conf.set(least, "16")
+        found = {r.id: bytes(r.ids) for r in built.collect()}
+    finally:
+        spark.conf.unset(least) if before is None else spark.conf.set(least, before)
+    assert len(found) == len(rows)
+    for i, text in rows:
+        ids = library.encode_ordinary(text)
+        assert found[i] == struct.pack(f"<{len(ids)}I", *ids)
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark, shared):
     found = byte_bpe.encode(messy(spark), shared).collect()
     assert sorted(map(repr, (r.id for r in found))) == sorted(map(repr, (i for i, _ in TEXTS)))
