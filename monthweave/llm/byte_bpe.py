@@ -9,8 +9,7 @@ and no shuffle. A text in which a border falls into a pre-token longer than the
 no common boundary there and is encoded as one piece.
 
 Long texts are cut and written once; boundaries, pieces and texts that stay whole are read from
-there. A worker remembers the ids of words: stretches that begin with a space before something
-that is none. That is done for a pattern that always begins a pre-token there (``Vocabulary.at_spaces``).
+there.
 
 Decoding concatenates the bytes of the ids; a text's bytes come back exactly.
 
@@ -23,7 +22,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -41,32 +39,25 @@ CHUNK_CHARS = 1 << 16
 OVERLAP_CHARS = 1 << 11
 #: Matches that end this near the end of a chunk may go on behind it.
 MARGIN_CHARS = 8
-#: Encoded pre-tokens, and as many words, that a worker remembers; it starts afresh when they are more.
-REMEMBERED = 200_000
+#: Encoded pre-tokens that a worker remembers; it starts afresh when they are more.
+REMEMBERED = 300_000
 #: Pre-tokens up to this many bytes are merged by scanning, longer ones with a heap.
 SCAN_BYTES = 48
-#: Where a word begins. Python's white space holds all that patterns take for it.
-_WORD_START = re.compile(r" (?=\S)")
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Token bytes in the order of their ids, and the pattern of pre-tokens.
-
-    ``at_spaces`` says that the pattern begins a pre-token at every space before a character
-    that is no white space, and looks no further ahead than to such a space.
-    """
+    """Token bytes in the order of their ids, and the pattern of pre-tokens."""
 
     tokens: tuple[bytes, ...]
     pattern: str
-    at_spaces: bool = False
 
 
-def read_vocabulary(path: str, pattern: str, at_spaces: bool = False) -> Vocabulary:
+def read_vocabulary(path: str, pattern: str) -> Vocabulary:
     """A rank file: on each line a token in base64 and its id."""
     with open(path, "rb") as lines:
         found = {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, lines)}
-    return Vocabulary(tuple(found[i] for i in range(len(found))), pattern, at_spaces)
+    return Vocabulary(tuple(found[i] for i in range(len(found))), pattern)
 
 
 class Encoder:
@@ -77,8 +68,6 @@ class Encoder:
         self.ranks = {token: i for i, token in enumerate(vocabulary.tokens)}
         self.split = regex.compile(vocabulary.pattern)
         self.known: dict[str, bytes] = {}
-        self.at_spaces = vocabulary.at_spaces
-        self.words: dict[str, bytes] = {}  # without the space they begin with
 
     def merged(self, token: bytes) -> list[int]:
         """Ids after merging, again and again, the leftmost pair of the least rank."""
@@ -87,19 +76,18 @@ class Encoder:
             return [ranks[token]]
         if len(token) > SCAN_BYTES:
             return self._merged_long(token)
+        find, none = ranks.get, len(ranks)  # a rank beyond all stands for no token
         parts = [token[i : i + 1] for i in range(len(token))]
-        costs = [ranks.get(a + b) for a, b in zip(parts, parts[1:])]
-        while True:
-            least = min((c for c in costs if c is not None), default=None)
-            if least is None:
-                return [ranks[p] for p in parts]
+        costs = [find(token[i : i + 2], none) for i in range(len(token) - 1)]
+        while costs and (least := min(costs)) < none:
             i = costs.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del costs[i]
+            parts[i] = self.tokens[least]
+            del parts[i + 1], costs[i]
             if i < len(costs):
-                costs[i] = ranks.get(parts[i] + parts[i + 1])
+                costs[i] = find(parts[i] + parts[i + 1], none)
             if i:
-                costs[i - 1] = ranks.get(parts[i - 1] + parts[i])
+                costs[i - 1] = find(parts[i - 1] + parts[i], none)
+        return [ranks[p] for p in parts]
 
     def _merged_long(self, token: bytes) -> list[int]:
         ranks, n = self.ranks, len(token)
@@ -139,22 +127,6 @@ class Encoder:
             known.update({t: v for t, v in fresh.items() if len(t) <= SCAN_BYTES})
             return b"".join([known.get(t) or fresh[t] for t in pre_tokens])
 
-    def text_ids(self, text: str) -> bytes:
-        """Ids of a whole text."""
-        if not self.at_spaces:
-            return self.ids(self.split.findall(text))
-        first, *rest = _WORD_START.split(text)
-        begin, words = self.ids(self.split.findall(first)), self.words
-        try:
-            return begin + b"".join([words[w] for w in rest])
-        except KeyError:
-            if len(words) > REMEMBERED:
-                words.clear()
-            fresh = {w: self.ids(self.split.findall(" " + w)) for w in set(rest).difference(words)}
-            ids = begin + b"".join([words.get(w) or fresh[w] for w in rest])
-            words.update({w: v for w, v in fresh.items() if len(w) <= SCAN_BYTES})
-            return ids
-
 
 _encoders: dict[int, Encoder] = {}
 
@@ -172,7 +144,7 @@ class SharedVocabulary:
 
     def __init__(self, spark: SparkSession, vocabulary: Vocabulary):
         self._sent = spark.sparkContext.broadcast(vocabulary)
-        self.id = hash((vocabulary.pattern, vocabulary.at_spaces, vocabulary.tokens))
+        self.id = hash((vocabulary.pattern, vocabulary.tokens))
 
     @property
     def value(self) -> Vocabulary:
@@ -183,7 +155,7 @@ def _encode_whole(shared: SharedVocabulary) -> Callable:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
         for batch in small_batches(batches):
-            ids = [encoder.text_ids(t.as_py() or "") for t in batch.column("text")]
+            ids = [encoder.ids(encoder.split.findall(t.as_py() or "")) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(ROW), batch.column("id"), pa.array(ids, pa.binary())],
                 [ROW, "id", "ids"],
