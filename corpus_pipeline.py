@@ -54,9 +54,14 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Columns doc_id, n_tokens, ids (little-endian unsigned 32-bit), text (decoded again)."""
+    """Columns doc_id, n_tokens, ids (little-endian unsigned 32-bit), text (decoded again).
+
+    The ids are written before they are decoded. In one plan every task would hold a Python worker
+    for each of the two steps, and executors keep those, grown to the largest step, through all later stages.
+    """
     shared = queries.vocabulary(spark)
-    decoded = byte_bpe.decode(byte_bpe.encode(docs, shared), shared)
+    encoded = keep(byte_bpe.encode(docs, shared), "ids")
+    decoded = byte_bpe.decode(encoded, shared)
     return decoded.select(
         F.col("id").alias("doc_id"),
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -81,3 +81,21 @@ def test_columns_named_as_results_stay(spark):
     rows = {tuple(r) for r in docs.collect()}
     found = [tuple(r) for r in kept.collect()]
     assert len(found) >= 0.99 * len(rows) and set(found) <= rows
+
+
+def python_steps(plan):
+    """The most steps in Python that one task of the plan runs side by side."""
+    name, below = plan.nodeName(), plan.children()
+    most = max((python_steps(below.apply(i)) for i in range(below.size())), default=0)
+    return most + any(kind in name for kind in ("InArrow", "InPandas", "EvalPython"))
+
+
+def test_tokens_need_one_python_worker_a_task(spark):
+    """Ids are decoded from where they were written, not beside a worker that still encodes."""
+    docs = queries.read(spark, FOLDER, "documents")
+    found = corpus_pipeline.tokens(spark, docs, FOLDER)
+    assert python_steps(found._jdf.queryExecution().optimizedPlan()) == 1
+    rows = {r.doc_id: r for r in found.collect()}
+    want = {r.doc_id: r.text for r in docs.collect()}
+    assert {i: r.text for i, r in rows.items()} == want
+    assert all(len(r.ids) == 4 * r.n_tokens for r in rows.values())
