@@ -39,7 +39,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays."""
-    return queries.new_index(spark).kept_rows(docs)
+    index = queries.new_index(spark)
+    kept = index.kept_rows(docs)
+    # Nothing can open this index again, and the later stages need the disk.
+    index.drop()
+    return kept
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from monthweave.llm.storage import cut
+from monthweave.llm.storage import cut, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -59,6 +59,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while before[0]:
         edges = cut(_small_star(_large_star(edges)))
         after = _state(edges)
+        # The number of steps grows with the links; their shuffle files must not.
+        release(links.sparkSession)
         if after == before:
             break
         before = after

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthweave.llm.storage import ROW, cut, with_row, without_rows
+from monthweave.llm.storage import ROW, cut, discard, with_row, without_rows
 
 DELETED = " \t\n\x0b\x0c\r"
 SCHEMA = "digest binary, keep_id long, keep_row long, batch string"
@@ -57,6 +57,11 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def drop(self) -> None:
+        """Remove the index with its files, if no other batch will come; verdicts given before can still be read."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        discard(self.spark, self.path)
+
     def append(self, rows: DataFrame) -> None:
         """Add rows whose digests the index does not hold; one file a bucket."""
         rows.repartition(self.buckets, "digest").select(

@@ -14,6 +14,8 @@
    task gets more than two blocks. Buckets of the same nodes are compared once.
 5. Components are grown by large-star and small-star steps.
 
+Shuffle files are let go after each step, so the disk holds those of one step beside what is written.
+
 Cases: a null text, an empty one and one without words has no set, size 0, and is alone in
 its class. A text of fewer than five words has its whole sequence as its one shingle. Repeated
 rows are nodes of one class. A class of which all ids are null has a null component;
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from monthweave.llm.components import connected_components
-from monthweave.llm.storage import ROW, cut, keep, with_row
+from monthweave.llm.storage import ROW, cut, discard_kept, keep, release, with_row
 from monthweave.llm.words import U64, mixed, shingle_sets, small_batches
 
 MINIMA = 128
@@ -341,6 +343,7 @@ def near_duplicates(
     ``kept`` marks rows whose id is their component's, ``stays`` exactly one row of each
     component; they differ where ids are null or repeated.
     """
+    spark = docs.sparkSession
     texts = with_row(docs).select(
         ROW, F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")
     )
@@ -356,6 +359,7 @@ def near_duplicates(
     entries = nodes.select("node", F.col("n_shingles").alias("size"), F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("met")).filter("met > 1")
     members = keep(entries.join(shared, "bucket"), "buckets")
+    release(spark)
     met = cut(members.select("node").distinct())
     sets = keep(
         texts.select(F.col(ROW).alias("node"), "text")
@@ -363,8 +367,11 @@ def near_duplicates(
         .mapInArrow(_sets, "node long, shingles array<long>"),
         "sets",
     )
+    release(spark)
     tested = cut(hub_pairs(members))
+    release(spark)
     links = cut(_confirmed(tested, nodes.select("node", "mark"), sets, threshold))
+    release(spark)
     labels = cut(connected_components(links))
     degrees = members.groupBy("node").agg(F.sum("met").alias("degree"))
     cells = open_cells(members.join(degrees, "node"), labels, tested)
@@ -375,8 +382,11 @@ def near_duplicates(
         .sortWithinPartitions("cell")
         .mapInArrow(_compare(threshold), "a long, b long")
     )
+    discard_kept(members, sets)
+    release(spark)
     if not more.isEmpty():
         labels = cut(connected_components(links.unionByName(more)))
+        release(spark)
     return _classes(base, heads, labels)
 
 

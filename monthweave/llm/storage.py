@@ -81,6 +81,13 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def discard_kept(*frames: DataFrame) -> None:
+    """Remove the folders of frames that ``keep`` returned and nothing reads any more."""
+    for df in frames:
+        for file in df.inputFiles()[:1]:
+            discard(df.sparkSession, file.rsplit("/", 1)[0])
+
+
 def hold_splits(spark: SparkSession) -> None:
     """Let the same files be split alike for the rest of the session.
 

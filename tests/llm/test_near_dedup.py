@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 
+from monthweave.llm import components
 from monthweave.llm.components import connected_components
 from monthweave.llm.near_dedup import near_duplicates
 from tests.llm.cases import TEXTS, changed, messy, nothing, random_text, shingles
@@ -37,6 +39,30 @@ def test_components(spark, seed):
     assert found.count() == len(linked)
 
 
+def test_shuffles_do_not_pile_up_with_the_steps(spark, monkeypatch):
+    """After each step the shuffle files of the earlier ones go, however long the chain."""
+    statuses = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    held = lambda: set(statuses.keySet().mkString(" ").split())
+    own = held()
+    plain, seen, stale = components._state, [], []
+
+    def watched(edges):
+        # Spark's cleaner works beside the job.
+        end = time.time() + 3
+        while len(seen) > 3 and held() & seen[-3] and time.time() < end:
+            time.sleep(0.1)
+        stale.append(held() & seen[-3] if len(seen) > 3 else set())
+        seen.append(held() - own)
+        return plain(edges)
+
+    monkeypatch.setattr(components, "_state", watched)
+    order = list(range(600))
+    random.Random(5).shuffle(order)
+    links = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")
+    assert {r.component for r in connected_components(links).collect()} == {0}
+    assert len(seen) > 6 and not any(stale), stale
+
+
 def test_no_links(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import struct
 
 import corpus_pipeline
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from monthweave.llm import queries
-from monthweave.llm.storage import keep
+from monthweave.llm.storage import keep, shared_folder
 from tests.llm.cases import messy, nothing, shingles
 from tests.llm.test_byte_bpe import PATH, library  # noqa: F401
 from tests.llm.test_exact_dedup import digest
@@ -99,3 +100,24 @@ def test_tokens_need_one_python_worker_a_task(spark):
     want = {r.doc_id: r.text for r in docs.collect()}
     assert {i: r.text for i, r in rows.items()} == want
     assert all(len(r.ids) == 4 * r.n_tokens for r in rows.values())
+
+
+def left_behind(spark, stage):
+    """The stage's rows, and what folders it leaves for them."""
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    rows = stage(spark, queries.read(spark, FOLDER, "documents"), FOLDER).collect()
+    return rows, {n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before if "-" in n and n.startswith(("digests", "monthweave"))}
+
+
+def test_stages_leave_only_what_their_rows_are_read_from(spark):
+    """No later stage holds the disk of an index that nothing can open again, or of sets that were compared."""
+    best = {}
+    for r in queries.read(spark, FOLDER, "documents").collect():
+        best[digest(r.text)] = max(best.get(digest(r.text), (0, 0)), (len(r.text or ""), -r.doc_id))
+    tables = len(spark.catalog.listTables())
+    rows, folders = left_behind(spark, corpus_pipeline.exact_copies)
+    assert {r.doc_id for r in rows} == {-i for _, i in best.values()} and len(rows) == len(best)
+    assert folders == set() and len(spark.catalog.listTables()) == tables
+    rows, folders = left_behind(spark, corpus_pipeline.near_copies)
+    assert rows and folders == {"monthweave-minima"}
